@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["technical"]
+MODULES = ["technical", "evaluation"]
 
 
 def load_all():

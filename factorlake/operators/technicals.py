@@ -146,8 +146,9 @@ def features_at(prices: DataFrame, dates: DataFrame, horizons: tuple[int, ...] =
     rows = folded.select(key, "macd", F.explode("bars").alias("b")).select(
         key, "macd", "b.session", "b.close", "b.f.*")
     # one record per (snapshot, horizon) this bar answers for
-    hits = F.concat(*[F.transform(F.col(f"at{h}"), lambda x, h=h: F.struct(x.alias("snapshot"), F.lit(h).alias("h")))
-                      for h in (0, *horizons)])
+    def tagged(days: int) -> Column:
+        return F.transform(f"at{days}", lambda x: F.struct(x.alias("snapshot"), F.lit(days).alias("h")))
+    hits = F.concat(*[tagged(h) for h in (0, *horizons)])
     rows = rows.withColumn("hit", F.explode(hits)).withColumn("snapshot", F.col("hit.snapshot"))
     mine = F.get(F.filter("macd", lambda m: m["bar"] == F.col("n")), F.lit(0))
     here = F.col("hit.h") == 0
