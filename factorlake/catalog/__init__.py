@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["technical", "evaluation"]
+MODULES = ["technical", "evaluation", "research"]
 
 
 def load_all():

@@ -72,10 +72,10 @@ _Q = [f"f_{f}" for f in S.QUANT_WEIGHTS]
 
 
 @query("quant_scores", "SCO-1 SCO-2 SCO-3 SCO-4 SCO-5 SCO-6 SCO-7 SCO-8", compose(
-    "SELECT ticker, snapshot, " + ", ".join(f"{r(c)} AS {c}" for c in [*_Q, "total"]) + ", disqualified FROM quant_classic"))
+    "SELECT ticker, snapshot, " + ", ".join(f"{r(c, 5)} AS {c}" for c in [*_Q, "total"]) + ", disqualified FROM quant_classic"))
 def quant_scores(spark, sf_dir):
     d = ranked(spark, sf_dir)
-    return d.select("ticker", "snapshot", *rounded(d, *_Q, "total"), "disqualified")
+    return d.select("ticker", "snapshot", *rounded(d, *_Q, "total", digits=5), "disqualified")
 
 
 _CL = {"quality": X.mix((X.lin("return_on_equity", .30, .05), .35), (X.lin("profit_margin", .25, .02), .25), (X.lin("earnings_growth", .25, -.05), .25), (X.lin("revenue_growth", .20, -.05), .15)),

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stable
+
 #: Buckets per power of two of the value, and keys per tie slice: both bound what one task sorts.
 PER_OCTAVE = 4096
 KEYS_PER_SLICE = 65_536
@@ -83,13 +85,17 @@ def top_n_many(df: DataFrame, group: list[str], ns: list[int], tie: str = "ticke
 def spearman(df: DataFrame, group: list[str], x: str, y: str, key: str, min_pairs: int = 5) -> DataFrame:
     """Rank correlation per group over rows where both values are known.
 
-    Pearson over average ranks; no result below ``min_pairs`` rows or with a constant side.
+    Pearson over average ranks; no result below ``min_pairs`` rows or with a constant side.  The mean
+    rank is always (n + 1) / 2, so centred ranks need one pass of plain sums.  ``df`` is read twice.
     """
+    def centred(d: DataFrame, value: str, out: str) -> DataFrame:
+        p = positions(d, group, value, key)
+        rank = F.col("_below") + (F.col("_ties") + 1) / 2.0
+        return p.withColumn(out, rank - (F.col("_size") + 1) / 2.0).drop("_below", "_ties", "_ordinal", "_size")
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, key, x, y)
-    from ..session import stable
-    ranked = average_rank(stable(average_rank(both, group, x, key, "rx")), group, y, key, "ry")
+    ranked = centred(stable(centred(both, x, "_rx")), y, "_ry")
     out = ranked.groupBy(*group).agg(
-        F.count("*").alias("pairs"), F.min("rx").alias("_x0"), F.max("rx").alias("_x1"),
-        F.min("ry").alias("_y0"), F.max("ry").alias("_y1"), F.corr("rx", "ry").alias("ic"))
-    ok = (F.col("pairs") >= min_pairs) & (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1"))
-    return out.filter(ok).select(*group, "pairs", "ic")
+        F.count("*").alias("pairs"), F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"),
+        F.sum(F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(F.col("_ry") * F.col("_ry")).alias("_yy"))
+    ok = (F.col("pairs") >= min_pairs) & (F.col("_xx") > 0) & (F.col("_yy") > 0)
+    return out.filter(ok).select(*group, "pairs", F.try_divide("_xy", F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))).alias("ic"))
