@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["technical", "evaluation", "research"]
+MODULES = ["technical", "evaluation", "research", "screening"]
 
 
 def load_all():

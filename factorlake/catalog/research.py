@@ -69,7 +69,9 @@ _LOCAL["wide"] = ("SELECT q.*, r6, r12, h.* EXCLUDE (ticker, snapshot) FROM quan
 
 def _ic(long: str, group: str) -> str:
     rank = lambda v: f"RANK() OVER (PARTITION BY {group} ORDER BY {v}) + (COUNT(*) OVER (PARTITION BY {group}, {v}) - 1) / 2e0"
-    return (f"(SELECT {group}, COUNT(*) AS pairs, CORR(rx, ry) AS ic FROM (SELECT *, {rank('x')} AS rx, {rank('y')} AS ry FROM (SELECT * REPLACE (x + 0e0 AS x, y + 0e0 AS y) FROM ({long}) WHERE x IS NOT NULL AND y IS NOT NULL)) "
+    # ranks are halves of integers and their mean is (n + 1) / 2, so these sums are exact
+    return (f"(SELECT {group}, COUNT(*) AS pairs, SUM(cx * cy) / (SQRT(SUM(cx * cx)) * SQRT(SUM(cy * cy))) AS ic FROM (SELECT *, rx - (m + 1) / 2e0 AS cx, ry - (m + 1) / 2e0 AS cy FROM ("
+            f"SELECT *, {rank('x')} AS rx, {rank('y')} AS ry, COUNT(*) OVER (PARTITION BY {group}) AS m FROM (SELECT * REPLACE (x + 0e0 AS x, y + 0e0 AS y) FROM ({long}) WHERE x IS NOT NULL AND y IS NOT NULL))) "
             f"GROUP BY {group} HAVING COUNT(*) >= 5 AND COUNT(DISTINCT x) >= 2 AND COUNT(DISTINCT y) >= 2)")
 
 
