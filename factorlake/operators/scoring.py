@@ -281,24 +281,32 @@ def uses_technical(flag: bool | None, model: str) -> bool:
     return model == "quant" if flag is None else flag
 
 
+def _outcome(d: DataFrame, kind: str, model: str, rationale: Column) -> Column:
+    """Total, breakdown and rationale of a scored row as one struct."""
+    value = (lambda n: F.bround(F.col(f"f_{n}"), 1)) if (kind, model) == ("ETF", "quant") else (lambda n: F.col(f"f_{n}"))
+    pairs = [x for n in BREAKDOWN[(kind, model)] for x in (F.lit(n), value(n))]
+    return F.struct(F.col("total").alias("total"), rationale.alias("rationale"), F.create_map(*pairs).alias("breakdown"))
+
+
 def score_assets(df: DataFrame, model: str = "quant", technical_flag: bool | None = None,
                  enforce_cap: bool = True) -> DataFrame:
-    """Scores stocks and funds of one table: adds total, breakdown map and rationale array."""
+    """Scores stocks and funds of one table: adds total, breakdown map and rationale array.
+
+    Both models are evaluated as expressions over the same rows, so the input is read once.
+    """
     tech = uses_technical(technical_flag, model)
-    stocks, funds = df.filter(F.col("asset_type") != "ETF"), df.filter(F.col("asset_type") == "ETF")
     if model == "quant":
-        s = score_quant(stocks, tech, enforce_cap).withColumn("rationale", quant_rationale(tech))
-        f = score_etf_quant(funds).withColumn("rationale", etf_quant_rationale())
+        s = score_quant(df, tech, enforce_cap)
+        s = s.select(*df.columns, _outcome(s, "STOCK", model, quant_rationale(tech)).alias("_stock"))
+        f = score_etf_quant(s)
+        both = f.select(*df.columns, "_stock", _outcome(f, "ETF", model, etf_quant_rationale()).alias("_fund"))
     else:
-        s = score_classic(stocks, tech).withColumn("rationale", classic_rationale(tech))
-        f = score_etf_classic(funds).withColumn("rationale", etf_classic_rationale())
-
-    def finish(d: DataFrame, kind: str) -> DataFrame:
-        names = BREAKDOWN[(kind, model)]
-        value = (lambda n: F.bround(F.col(f"f_{n}"), 1)) if (kind, model) == ("ETF", "quant") else (lambda n: F.col(f"f_{n}"))
-        pairs = [x for n in names for x in (F.lit(n), value(n))]
-        return d.select(*df.columns, "total", "rationale", F.create_map(*pairs).alias("breakdown"))
-    return finish(s, "STOCK").unionByName(finish(f, "ETF"))
+        s = score_classic(df, tech)
+        s = s.select(*df.columns, _outcome(s, "STOCK", model, classic_rationale(tech)).alias("_stock"))
+        f = score_etf_classic(s)
+        both = f.select(*df.columns, "_stock", _outcome(f, "ETF", model, etf_classic_rationale()).alias("_fund"))
+    d = both.withColumn("_o", F.when(F.col("asset_type") == "ETF", F.col("_fund")).otherwise(F.col("_stock")))
+    return d.select(*df.columns, "_o.total", "_o.rationale", "_o.breakdown")
 
 
 # ---- tilts, variants, candidates -------------------------------------------------------------

@@ -18,47 +18,62 @@ SLOPE_BARS = 125
 RSI_BARS = 14
 MIN_INDICATOR_BARS = 35
 EMA_FAST, EMA_SLOW, EMA_SIGNAL = 12, 26, 9
+#: Bars per block of the exponential averages.  What a block inherits from before its predecessor is
+#: below 1e-34 of its value, so carrying one block back is exact in double precision, and the weights
+#: inside a block stay below 1e100 however long the series is.
+EMA_BLOCK = 1024
 
 
 def _over_past(close: Column, past: Column) -> Column:
     return F.when(past > 0, F.try_divide(close, past) - 1.0)
 
 
-def bar_features(prices: DataFrame, key: str = "ticker") -> DataFrame:
-    """Every price feature at every bar; columns nobody reads are pruned with their windows."""
-    w = Window.partitionBy(key).orderBy("session")
+def numbered(prices: DataFrame, key: str) -> DataFrame:
+    """Known closes with their bar number ``n`` and its place (``block``, ``pos``) for the averages."""
+    d = prices.withColumn("close", finite("close")).filter(F.col("close").isNotNull())
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("session")))
+    return d.withColumns({"block": F.floor((F.col("n") - 1) / EMA_BLOCK).cast("int"), "pos": ((F.col("n") - 1) % EMA_BLOCK).cast("int")})
+
+
+def bar_features(prices: DataFrame, key: str = "ticker", with_averages: bool = False) -> DataFrame:
+    """Every price feature at every bar; columns nobody reads are pruned with their windows.
+
+    ``with_averages`` adds the MACD columns and the next session; then all windows share the order
+    (block, n) that the averages need, so the narrow rows are sorted once more and wide ones never.
+    """
+    w = Window.partitionBy(key).orderBy("block", "n") if with_averages else Window.partitionBy(key).orderBy("session")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     close = F.col("close")
-    d = (prices.withColumn("close", finite("close")).filter(F.col("close").isNotNull())
-         .withColumn("n", F.row_number().over(w))
-         .withColumn("prev", F.lag("close", 1).over(w))
-         .withColumn("base", F.first("close").over(so_far))
-         .withColumn("ret", _over_past(close, F.col("prev")))
-         .withColumn("gain", F.greatest(close - F.col("prev"), F.lit(0.0)))
-         .withColumn("loss", F.greatest(F.col("prev") - close, F.lit(0.0))))
+    d = numbered(prices, key)
+    extra = []
+    if with_averages:
+        d = with_macd(d, key).withColumn("next", F.lead("session").over(w))
+        extra = ["macd_line", "macd_histogram", "next"]
+    d = (d.withColumns({"prev": F.lag("close", 1).over(w), "base": F.first("close").over(so_far)})
+         .withColumns({"ret": _over_past(close, F.col("prev")), "gain": F.greatest(close - F.col("prev"), F.lit(0.0)),
+                       "loss": F.greatest(F.col("prev") - close, F.lit(0.0))}))
     last14 = w.rowsBetween(-(RSI_BARS - 1), 0)
     last252 = w.rowsBetween(-(TRADING_DAYS - 1), 0)
-    d = (d
-         .withColumn("cum", F.sum(close - F.col("base")).over(so_far))
-         .withColumn("ret1", F.coalesce(F.sum("ret").over(so_far), F.lit(0.0)))
-         .withColumn("ret2", F.coalesce(F.sum(F.col("ret") * F.col("ret")).over(so_far), F.lit(0.0)))
-         .withColumn("rets", F.count("ret").over(so_far))
-         .withColumn("avg_gain", F.avg("gain").over(last14))
-         .withColumn("avg_loss", F.avg("loss").over(last14))
-         .withColumn("low_so_far", F.min("close").over(so_far))
-         .withColumn("high_so_far", F.max("close").over(so_far))
-         .withColumn("high_252", F.max("close").over(last252)))
+    d = d.withColumns({
+        "cum": F.sum(close - F.col("base")).over(so_far),
+        "ret1": F.coalesce(F.sum("ret").over(so_far), F.lit(0.0)),
+        "ret2": F.coalesce(F.sum(F.col("ret") * F.col("ret")).over(so_far), F.lit(0.0)),
+        "rets": F.count("ret").over(so_far),
+        "avg_gain": F.avg("gain").over(last14), "avg_loss": F.avg("loss").over(last14),
+        "low_so_far": F.min("close").over(so_far), "high_so_far": F.max("close").over(so_far),
+        "high_252": F.max("close").over(last252)})
     back = TRADING_DAYS - 1
     s1 = F.col("ret1") - F.coalesce(F.lag("ret1", back).over(w), F.lit(0.0))
     s2 = F.col("ret2") - F.coalesce(F.lag("ret2", back).over(w), F.lit(0.0))
     m = F.col("rets") - F.coalesce(F.lag("rets", back).over(w), F.lit(0))
-    d = (d
-         .withColumn("sma200", F.when(F.col("n") >= SMA_BARS,
-                     F.col("base") + (F.col("cum") - F.coalesce(F.lag("cum", SMA_BARS).over(w), F.lit(0.0))) / SMA_BARS))
-         .withColumn("_m", m)
-         .withColumn("_std", F.when(m > 1, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(s2 - F.try_divide(s1 * s1, m), m - 1)))))
-         .withColumn("past_1m", F.lag("close", 21).over(w)).withColumn("past_3m", F.lag("close", 63).over(w))
-         .withColumn("past_6m", F.lag("close", 126).over(w)).withColumn("past_12m", F.lag("close", back).over(w)))
+    d = d.withColumns({
+        "sma200": F.when(F.col("n") >= SMA_BARS,
+                         F.col("base") + (F.col("cum") - F.coalesce(F.lag("cum", SMA_BARS).over(w), F.lit(0.0))) / SMA_BARS),
+        "_m": m, "_s1": s1, "_s2": s2,
+        "past_1m": F.lag("close", 21).over(w), "past_3m": F.lag("close", 63).over(w),
+        "past_6m": F.lag("close", 126).over(w), "past_12m": F.lag("close", back).over(w)})
+    square = F.greatest(F.lit(0.0), F.try_divide(F.col("_s2") - F.try_divide(F.col("_s1") * F.col("_s1"), F.col("_m")), F.col("_m") - 1))
+    d = d.withColumn("_std", F.when(F.col("_m") > 1, F.sqrt(square)))
     sma_back = F.lag("sma200", SLOPE_BARS).over(w)
     rs = F.try_divide(F.col("avg_gain"), F.col("avg_loss"))
     rsi = F.when(F.col("avg_loss") == 0, 100.0).otherwise(F.lit(100.0) - F.lit(100.0) / (rs + 1.0))
@@ -78,42 +93,46 @@ def bar_features(prices: DataFrame, key: str = "ticker") -> DataFrame:
         F.when(F.col("n") >= MIN_INDICATOR_BARS, rsi).alias("rsi_14"),
         F.when(F.col("n") >= 2, F.col("low_so_far")).alias("week52_low"),
         F.when(F.col("n") >= 2, F.col("high_so_far")).alias("week52_high"),
-        F.when(F.col("n") >= 2, _over_past(close, F.col("high_252"))).alias("pct_off_high"),
+        F.when(F.col("n") >= 2, _over_past(close, F.col("high_252"))).alias("pct_off_high"), *extra,
     )
 
 
 #: Features carried from a bar to the snapshot it answers for.
 FEATURES = ["daily_change", "return_1m", "return_3m", "return_6m", "return_12m", "price_vs_sma200",
-            "sma200_slope", "volatility_1y", "volatility_research", "rsi_14", "week52_low", "week52_high", "pct_off_high"]
-
+            "sma200_slope", "volatility_1y", "volatility_research", "rsi_14", "week52_low", "week52_high", "pct_off_high",
+            "macd_line", "macd_histogram"]
 
-def _ema_step(prev: Column, value: Column, span: int) -> Column:
-    a = 2.0 / (span + 1)
-    return F.when(prev.isNull(), value).otherwise(prev * (1.0 - a) + value * a)
 
+def _ema(d: DataFrame, key: str, values: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds exponential averages seeded with the first value: out -> (input column, span).
 
-def _fold_macd(bars: Column) -> Column:
-    """One pass over the sorted bars of a ticker; a struct is emitted only where a snapshot reads it.
-
-    The fold is exact for any history length (prefix-sum forms overflow on long ones).
+    Needs ``n``, ``block`` and ``pos``.  A recursive average is a weighted running sum: inside a block
+    the weights are rescaled to its first bar, the end of the previous block is carried over.
     """
-    null = F.lit(None).cast("double")
-    out_type = "array<struct<bar:int,macd_line:double,macd_histogram:double>>"
-    start = F.struct(null.alias("fast"), null.alias("slow"), null.alias("sig"), F.lit(0).alias("i"),
-                     F.array().cast(out_type).alias("out"))
-
-    def step(acc: Column, bar: Column) -> Column:
-        fast = _ema_step(acc["fast"], bar["close"], EMA_FAST)
-        slow = _ema_step(acc["slow"], bar["close"], EMA_SLOW)
-        line = fast - slow
-        sig = _ema_step(acc["sig"], line, EMA_SIGNAL)
-        ok = (acc["i"] + 1 >= MIN_INDICATOR_BARS) & (bar["close"] > 0)
-        emitted = F.struct((acc["i"] + 1).alias("bar"),
-                           F.when(ok, F.try_divide(line, bar["close"])).alias("macd_line"),
-                           F.when(ok, F.try_divide(line - sig, bar["close"])).alias("macd_histogram"))
-        return F.struct(fast.alias("fast"), slow.alias("slow"), sig.alias("sig"), (acc["i"] + 1).alias("i"),
-                        F.when(bar["read"], F.concat(acc["out"], F.array(emitted))).otherwise(acc["out"]).alias("out"))
-    return F.aggregate(bars, start, step, lambda acc: acc["out"])
+    order = Window.partitionBy(key).orderBy("block", "n")
+    inside = Window.partitionBy(key, "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    local, full = {}, {}
+    for out, (value, span) in values.items():
+        a = 2.0 / (span + 1)
+        keep = 1.0 - a
+        weight = F.when(F.col("n") == 1, 1.0).otherwise(a) * F.pow(F.lit(1.0 / keep), F.col("pos"))
+        local[out] = F.pow(F.lit(keep), F.col("pos")) * F.sum(F.col(value) * weight).over(inside)
+    d = d.withColumns(local)
+    for out, (_, span) in values.items():
+        keep = 1.0 - 2.0 / (span + 1)
+        end = F.when(F.col("pos") == EMA_BLOCK - 1, F.col(out))
+        carry = F.last(end, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        full[out] = F.col(out) + F.pow(F.lit(keep), F.col("pos") + 1) * F.coalesce(carry, F.lit(0.0))
+    return d.withColumns(full)
+
+
+def with_macd(bars: DataFrame, key: str = "ticker") -> DataFrame:
+    """Adds macd_line and macd_histogram (fractions of the close) to ``numbered`` bars."""
+    d = _ema(bars, key, {"_fast": ("close", EMA_FAST), "_slow": ("close", EMA_SLOW)})
+    d = _ema(d.withColumn("_line", F.col("_fast") - F.col("_slow")), key, {"_sig": ("_line", EMA_SIGNAL)})
+    ok = (F.col("n") >= MIN_INDICATOR_BARS) & (F.col("close") > 0)
+    return d.select(*bars.columns, F.when(ok, F.try_divide("_line", "close")).alias("macd_line"),
+                    F.when(ok, F.try_divide(F.col("_line") - F.col("_sig"), F.col("close"))).alias("macd_histogram"))
 
 
 def features_at(prices: DataFrame, dates: DataFrame, horizons: tuple[int, ...] = (),
@@ -122,62 +141,28 @@ def features_at(prices: DataFrame, dates: DataFrame, horizons: tuple[int, ...] =
 
     ``dates`` is one row with one array of dates.  A bar answers for the dates in
     ``[its session, next session)``, the last bar for everything later, so the as-of join needs no
-    second shuffle: windows, fold and the final pivot all run on the ticker partitioning.
+    second shuffle: windows and the final pivot all run on the ticker partitioning.
     ``horizons`` adds the as-of close that many days after the snapshot.
     """
-    w = Window.partitionBy(key).orderBy("session")
-    d = bar_features(prices, key).withColumn("next", F.lead("session").over(w)).withColumn("_dates", dates.scalar())
+    d = bar_features(prices, key, with_averages=True).withColumn("_dates", dates.scalar())
 
     def answered(days: int) -> Column:
-        return F.filter("_dates", lambda x: (F.date_add(x, days) >= F.col("session")) &
-                        (F.col("next").isNull() | (F.date_add(x, days) < F.col("next"))))
-    d = d.withColumn("at0", answered(0))
-    for h in horizons:
-        d = d.withColumn(f"at{h}", answered(h))
-    marked = [f"at{h}" for h in (0, *horizons)]
-    used = F.size("at0") > 0
-    for name in marked[1:]:
-        used = used | (F.size(name) > 0)
-    bar = F.struct(F.col("session"), F.col("close"), (F.size("at0") > 0).alias("read"),
-                   F.when(used, F.struct("n", *marked, *FEATURES)).alias("f"))
-    folded = (d.groupBy(key).agg(F.array_sort(F.collect_list(bar)).alias("bars"))
-              .withColumn("macd", _fold_macd(F.col("bars")))
-              .withColumn("bars", F.filter("bars", lambda b: b["f"].isNotNull())))
-    rows = folded.select(key, "macd", F.explode("bars").alias("b")).select(
-        key, "macd", "b.session", "b.close", "b.f.*")
-    # one record per (snapshot, horizon) this bar answers for
-    def tagged(days: int) -> Column:
-        return F.transform(f"at{days}", lambda x: F.struct(x.alias("snapshot"), F.lit(days).alias("h")))
-    hits = F.concat(*[tagged(h) for h in (0, *horizons)])
-    rows = rows.withColumn("hit", F.explode(hits)).withColumn("snapshot", F.col("hit.snapshot"))
-    mine = F.get(F.filter("macd", lambda m: m["bar"] == F.col("n")), F.lit(0))
+        hit = F.filter("_dates", lambda x: (F.date_add(x, days) >= F.col("session")) &
+                       (F.col("next").isNull() | (F.date_add(x, days) < F.col("next"))))
+        return F.transform(hit, lambda x: F.struct(x.alias("snapshot"), F.lit(days).alias("h")))
+    hits = [answered(h) for h in (0, *horizons)]
+    d = d.withColumn("hit", F.explode(F.concat(*hits) if len(hits) > 1 else hits[0])).withColumn("snapshot", F.col("hit.snapshot"))
     here = F.col("hit.h") == 0
     aggs = [F.max(F.when(here, F.col("session"))).alias("session"), F.max(F.when(here, F.col("close"))).alias("price"),
             F.max(F.when(here, F.col("n"))).alias("bars")]
     aggs += [F.max(F.when(here, F.col(f))).alias(f) for f in FEATURES]
-    aggs += [F.max(F.when(here, mine[f])).alias(f) for f in ("macd_line", "macd_histogram")]
     aggs += [F.max(F.when(F.col("hit.h") == h, F.col("close"))).alias(f"close_{h}") for h in horizons]
-    return rows.groupBy(key, "snapshot").agg(*aggs).filter(F.col("price").isNotNull())
+    return d.groupBy(key, "snapshot").agg(*aggs).filter(F.col("price").isNotNull())
 
 
 def macd_bars(prices: DataFrame, key: str = "ticker") -> DataFrame:
-    """MACD line and histogram at every bar, one ordered fold per ticker."""
-    d = prices.withColumn("close", finite("close")).filter(F.col("close").isNotNull())
-    # emitting everywhere would copy the output array once per bar: scan with pandas instead
-    import pandas as pd
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session", ignore_index=True)
-        c = pdf["close"]
-        line = c.ewm(span=EMA_FAST, adjust=False).mean() - c.ewm(span=EMA_SLOW, adjust=False).mean()
-        hist = line - line.ewm(span=EMA_SIGNAL, adjust=False).mean()
-        short = pdf.index < MIN_INDICATOR_BARS - 1
-        ok = (~short) & (c > 0)
-        return pd.DataFrame({key: pdf[key], "session": pdf["session"], "close": c,
-                             "macd_line": (line / c).where(ok), "macd_histogram": (hist / c).where(ok)})
-    kind = d.schema[key].dataType.simpleString()
-    return d.select(key, "session", "close").groupBy(key).applyInPandas(
-        scan, f"{key} {kind}, session date, close double, macd_line double, macd_histogram double")
+    """MACD line and histogram at every bar."""
+    return with_macd(numbered(prices.select(key, "session", "close"), key), key).drop("n", "block", "pos")
 
 
 def momentum_12_1(r12: Column, r1: Column) -> Column:

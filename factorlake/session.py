@@ -21,6 +21,8 @@ def build_session(master: str | None = None, app: str = "factorlake", **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call-site capture costs milliseconds per column expression while a plan is built
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     for key, value in settings.items():

@@ -9,6 +9,7 @@ single task with its raw rows: after that step a ticker has at most one row per
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 #: Bars that smooth one close, filing delay, report delay.
 SMOOTH_BARS = 60
@@ -21,8 +22,15 @@ SECTORS = ["Information Technology", "Consumer Discretionary", "Consumer Staples
            "Communication Services"]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """The table with its schema looked up once: a plan reads lineitem several times."""
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def cents(c: str) -> Column:
@@ -44,10 +52,14 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _smoothed(bars: DataFrame, key: str) -> DataFrame:
+    """Close = traded value over traded quantity of the last 60 bars, as differences of exact running sums."""
     w = Window.partitionBy(key).orderBy("session")
-    near = w.rowsBetween(-(SMOOTH_BARS - 1), 0)
-    return (bars.withColumn("bar_no", F.row_number().over(w))
-            .withColumn("close", F.sum("ext").over(near) / (F.sum("qty").over(near) * 100))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = bars.withColumns({"bar_no": F.row_number().over(w), "_e": F.sum("ext").over(so_far), "_q": F.sum("qty").over(so_far)})
+
+    def trailing(c: str) -> Column:
+        return F.col(c) - F.coalesce(F.lag(c, SMOOTH_BARS).over(w), F.lit(0))
+    return (d.withColumn("close", trailing("_e") / (trailing("_q") * 100))
             .filter(F.col("bar_no") >= SMOOTH_BARS)
             .select(key, "session", "close"))
 
