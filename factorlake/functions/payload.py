@@ -59,3 +59,30 @@ def percent_form(values: Column, keys: list[str]) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def json_walk_udtf():
+    """Table function over open-depth payloads: one row (path, key, value) per scalar, ``depth`` first.
+
+    The only Python table function: shapes without a known depth cannot be typed ahead.
+    """
+    import json
+
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="path string, key string, value string")
+    class JsonWalk:
+        def eval(self, text: str):
+            try:
+                stack = [("$", json.loads(text))]
+            except (TypeError, ValueError):
+                return
+            while stack:
+                path, node = stack.pop()
+                items = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
+                for k, v in items:
+                    if isinstance(v, (dict, list)):
+                        stack.append((f"{path}.{k}", v))
+                    elif isinstance(node, dict) and v is not None:
+                        yield path, str(k), v if isinstance(v, str) else json.dumps(v)
+    return JsonWalk

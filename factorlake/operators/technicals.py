@@ -35,20 +35,21 @@ def numbered(prices: DataFrame, key: str) -> DataFrame:
     return d.withColumns({"block": F.floor((F.col("n") - 1) / EMA_BLOCK).cast("int"), "pos": ((F.col("n") - 1) % EMA_BLOCK).cast("int")})
 
 
-def bar_features(prices: DataFrame, key: str = "ticker", with_averages: bool = False) -> DataFrame:
-    """Every price feature at every bar; columns nobody reads are pruned with their windows.
+def bar_features(prices: DataFrame, key: str = "ticker") -> DataFrame:
+    """Every price feature at every bar; columns nobody reads are pruned with their windows."""
+    return _finished(_windowed(prices, key), [key, "session", "close", "n"])
 
-    ``with_averages`` adds the MACD columns and the next session; then all windows share the order
+
+def _windowed(prices: DataFrame, key: str, with_averages: bool = False) -> DataFrame:
+    """The window values behind the features.  ``with_averages`` adds the MACD columns and the next session; then all windows share the order
     (block, n) that the averages need, so the narrow rows are sorted once more and wide ones never.
     """
     w = Window.partitionBy(key).orderBy("block", "n") if with_averages else Window.partitionBy(key).orderBy("session")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     close = F.col("close")
     d = numbered(prices, key)
-    extra = []
     if with_averages:
         d = with_macd(d, key).withColumn("next", F.lead("session").over(w))
-        extra = ["macd_line", "macd_histogram", "next"]
     d = (d.withColumns({"prev": F.lag("close", 1).over(w), "base": F.first("close").over(so_far)})
          .withColumns({"ret": _over_past(close, F.col("prev")), "gain": F.greatest(close - F.col("prev"), F.lit(0.0)),
                        "loss": F.greatest(F.col("prev") - close, F.lit(0.0))}))
@@ -74,12 +75,17 @@ def bar_features(prices: DataFrame, key: str = "ticker", with_averages: bool = F
         "past_6m": F.lag("close", 126).over(w), "past_12m": F.lag("close", back).over(w)})
     square = F.greatest(F.lit(0.0), F.try_divide(F.col("_s2") - F.try_divide(F.col("_s1") * F.col("_s1"), F.col("_m")), F.col("_m") - 1))
     d = d.withColumn("_std", F.when(F.col("_m") > 1, F.sqrt(square)))
-    sma_back = F.lag("sma200", SLOPE_BARS).over(w)
+    return d.withColumn("sma_back", F.lag("sma200", SLOPE_BARS).over(w))
+
+
+def _finished(d: DataFrame, keep: list[str]) -> DataFrame:
+    """Guarded ratios over the window values."""
+    close, sma_back = F.col("close"), F.col("sma_back")
     rs = F.try_divide(F.col("avg_gain"), F.col("avg_loss"))
     rsi = F.when(F.col("avg_loss") == 0, 100.0).otherwise(F.lit(100.0) - F.lit(100.0) / (rs + 1.0))
     annual_vol = F.col("_std") * F.sqrt(F.lit(float(TRADING_DAYS)))
     return d.select(
-        key, "session", "close", "n",
+        *keep,
         F.when(F.col("prev") > 0, F.try_divide(close, F.col("prev")) - 1.0).alias("daily_change"),
         _over_past(close, F.col("past_1m")).alias("return_1m"),
         _over_past(close, F.col("past_3m")).alias("return_3m"),
@@ -93,7 +99,7 @@ def bar_features(prices: DataFrame, key: str = "ticker", with_averages: bool = F
         F.when(F.col("n") >= MIN_INDICATOR_BARS, rsi).alias("rsi_14"),
         F.when(F.col("n") >= 2, F.col("low_so_far")).alias("week52_low"),
         F.when(F.col("n") >= 2, F.col("high_so_far")).alias("week52_high"),
-        F.when(F.col("n") >= 2, _over_past(close, F.col("high_252"))).alias("pct_off_high"), *extra,
+        F.when(F.col("n") >= 2, _over_past(close, F.col("high_252"))).alias("pct_off_high"),
     )
 
 
@@ -144,7 +150,7 @@ def features_at(prices: DataFrame, dates: DataFrame, horizons: tuple[int, ...] =
     second shuffle: windows and the final pivot all run on the ticker partitioning.
     ``horizons`` adds the as-of close that many days after the snapshot.
     """
-    d = bar_features(prices, key, with_averages=True).withColumn("_dates", dates.scalar())
+    d = _windowed(prices, key, with_averages=True).withColumn("_dates", dates.scalar())
 
     def answered(days: int) -> Column:
         hit = F.filter("_dates", lambda x: (F.date_add(x, days) >= F.col("session")) &
@@ -152,6 +158,8 @@ def features_at(prices: DataFrame, dates: DataFrame, horizons: tuple[int, ...] =
         return F.transform(hit, lambda x: F.struct(x.alias("snapshot"), F.lit(days).alias("h")))
     hits = [answered(h) for h in (0, *horizons)]
     d = d.withColumn("hit", F.explode(F.concat(*hits) if len(hits) > 1 else hits[0])).withColumn("snapshot", F.col("hit.snapshot"))
+    # only the bars that answer for a date get their ratios computed
+    d = _finished(d, [key, "session", "close", "n", "snapshot", "macd_line", "macd_histogram", "hit"])
     here = F.col("hit.h") == 0
     aggs = [F.max(F.when(here, F.col("session"))).alias("session"), F.max(F.when(here, F.col("close"))).alias("price"),
             F.max(F.when(here, F.col("n"))).alias("bars")]
