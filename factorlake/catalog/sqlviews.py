@@ -179,21 +179,22 @@ V["inputs_filed0"] = _fund("a.date_filed <= g.snapshot", "snapshot", "g.snapshot
 V["inputs_filed"] = """SELECT * EXCLUDE (shares), COALESCE(shares, CASE WHEN eps <> 0 AND ni / eps > 0 THEN ni / eps END) AS shares FROM inputs_filed0"""
 
 
-def derived(source: str) -> str:
+def derived(source: str, ni: str = "ni", rev: str = "rev", eps: str = "eps", gp: str = "gross_profit", ta: str = "total_assets") -> str:
+    """Feature SQL; the keyword columns feed the year-over-year comparisons."""
     bvps = "(CASE WHEN equity > 0 AND shares > 0 THEN equity / shares END)"
     pe = pos("price", "eps")
-    eg = pct("ni", "ni_prev")
+    eg = pct(ni, "ni_prev")
     better = lambda a, b, c, d: f"(CASE WHEN {b} > 0 AND {d} > 0 THEN {a} / {b} > {c} / {d} END)"
     return f"""SELECT *, {pe} AS trailing_pe, {pos("price", bvps)} AS price_to_book,
  CASE WHEN {pe} > 0 AND {eg} > 0 AND {eg} <= 1 THEN {pe} / ({eg} * 100e0) END AS peg_ratio,
  {pos("ni", "equity")} AS return_on_equity, {pos("ni", "total_assets")} AS return_on_assets, {pos("ni", "rev")} AS profit_margin,
- {eg} AS earnings_growth, CASE WHEN ni > 0 AND ni_prev2 > 0 THEN SQRT(ni / ni_prev2) - 1 END AS earnings_cagr_2y,
- {pct("rev", "rev_prev")} AS revenue_growth, {pos("total_assets - total_assets_prev", "total_assets_prev")} AS asset_growth,
- {better("gross_profit", "rev", "gross_profit_prev", "rev_prev")} AS margin_improving,
- {better("ni", "total_assets", "ni_prev", "total_assets_prev")} AS roa_improving,
+ {eg} AS earnings_growth, CASE WHEN {ni} > 0 AND ni_prev2 > 0 THEN SQRT({ni} / ni_prev2) - 1 END AS earnings_cagr_2y,
+ {pct(rev, "rev_prev")} AS revenue_growth, {pos(f"{ta} - total_assets_prev", "total_assets_prev")} AS asset_growth,
+ {better(gp, rev, "gross_profit_prev", "rev_prev")} AS margin_improving,
+ {better(ni, ta, "ni_prev", "total_assets_prev")} AS roa_improving,
  {pos("total_debt", "equity")} * 100e0 AS debt_to_equity, {pos("curr_assets", "curr_liab")} AS current_ratio, fcf AS free_cashflow,
  {pos("ttm_div", "price")} AS dividend_yield, CASE WHEN ttm_div <> 0 AND eps <> 0 THEN ttm_div / eps END AS payout_ratio,
- {pct("eps", "eps_prev")} - {pct("eps_prev", "eps_prev2")} AS eps_acceleration,
+ {pct(eps, "eps_prev")} - {pct("eps_prev", "eps_prev2")} AS eps_acceleration,
  CASE WHEN price <> 0 AND shares <> 0 THEN price * shares END AS market_cap FROM {source}"""
 
 

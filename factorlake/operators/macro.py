@@ -95,3 +95,24 @@ def macro_table(series: DataFrame, symbols: dict[str, str]) -> DataFrame:
         here = F.col("symbol") == symbol
         aggs += [F.max(F.when(here, F.col("close"))).alias(role), F.max(F.when(here, F.col("trend_5d"))).alias(f"{role}_trend")]
     return d.groupBy("session").agg(*aggs)
+
+
+def filing_pulse(filings: DataFrame, until: Column, days: int = 30, k: int = 5) -> DataFrame:
+    """Counts per kind over the trailing days and the first ``k`` distinct symbols, newest first.
+
+    Only the ``k`` best rows per kind are collected; the rank filter cuts every partition beforehand.
+    """
+    recent = filings.filter((F.col("ts") <= until) & (F.col("ts") > until - F.expr(f"INTERVAL {days} DAYS")))
+    counts = recent.groupBy("kind").agg(F.count("*").alias("filings"))
+    seen = recent.filter(F.trim("symbol") != "").groupBy("kind", F.trim("symbol").alias("symbol")).agg(F.max("ts").alias("at"))
+    order = Window.partitionBy("kind").orderBy(F.col("at").desc(), "symbol")
+    top = seen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    names = top.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "symbol"))), lambda x: x["symbol"]), ",").alias("symbols"))
+    return counts.join(names, "kind", "left")
+
+
+def trend_direction(first: Column, last: Column, min_delta: float = 0.0, min_rel: float = 0.0) -> Column:
+    """'up', 'down' or 'flat' between the first and last known value of a series; NULL when one is missing."""
+    limit = F.greatest(F.lit(min_delta), F.abs(first) * min_rel)
+    move = last - first
+    return F.when(F.abs(move) <= limit, "flat").when(move > 0, "up").when(move < 0, "down")

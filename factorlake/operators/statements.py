@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 
@@ -108,6 +108,9 @@ def stitch_entities(periods: DataFrame, entities: DataFrame, today: Column) -> D
     live = e.filter((F.col("kind") == "stock") & (F.datediff(today, F.col("newest")) <= MAX_PERIOD_AGE_DAYS)).withColumn("nn", norm(F.col("name")))
     cand = live.filter(F.length("nn") >= 4).select(F.col("cik").alias("cand"), F.col("n").alias("cand_n"), F.explode(F.transform(
         F.sequence(F.lit(4), F.least(F.length("nn"), F.lit(50))), lambda k: F.substring("nn", F.lit(1), k))).alias("prefix"))
+    # a prefix shared by many filers keeps its two best: the best one may be the successor itself
+    best = Window.partitionBy("prefix").orderBy(F.col("cand_n").desc(), "cand")
+    cand = cand.distinct().withColumn("_k", F.row_number().over(best)).filter("_k <= 2").drop("_k")
     hits = wanted.join(cand, "prefix").filter((F.col("cand") != F.col("own")) & (F.col("cand_n") > F.col("own_n")))
     return hits.groupBy("ticker", "own", "own_n").agg(
         F.max_by(F.struct("cand", "cand_n"), F.struct("cand_n", (-F.col("cand")).alias("k"))).alias("b")).select(
