@@ -24,7 +24,7 @@ ROLES = {"vol": "signup", "ten": "click", "two": "view", "bond_vol": "error", "d
  SELECT session, MAX(CASE WHEN symbol = 'signup' THEN close END) / 2e0 AS v, MAX(CASE WHEN symbol = 'error' THEN close END) * 2e0 AS bond, MAX(CASE WHEN symbol = 'purchase' THEN close END) * 2e0 AS usd, MAX(CASE WHEN symbol = 'signup' THEN close END) AS mood,
  CASE WHEN day(session) % 3 <> 0 THEN MAX(CASE WHEN symbol = 'click' THEN close END) / 10e0 - MAX(CASE WHEN symbol = 'view' THEN close END) / 10e0 ELSE MAX(CASE WHEN symbol = 'view' THEN close END) / 20e0 - MAX(CASE WHEN symbol = 'click' THEN close END) / 20e0 END AS spread,
  MAX(CASE WHEN symbol = 'signup' THEN t END) AS vt, MAX(CASE WHEN symbol = 'error' THEN t END) AS bt, MAX(CASE WHEN symbol = 'purchase' THEN t END) AS ut FROM (
- SELECT *, ROUND((close - LAG(close, 4) OVER w) / LAG(close, 4) OVER w * 100, 2) AS t FROM index_series WINDOW w AS (PARTITION BY symbol ORDER BY session)) GROUP BY 1))))"""))
+ SELECT *, ROUND((close - LAG(close, 4) OVER w) / LAG(close, 4) OVER w * 100, 2) AS t FROM index_series WINDOW w AS (PARTITION BY symbol ORDER BY session)) GROUP BY 1)))"""))
 def macro_by_session(spark, sf_dir):
     """Regime of every session; every third day lacks the index pair and falls back to the official curve."""
     d = MC.macro_table(V.index_series(spark, sf_dir), ROLES)
@@ -68,7 +68,7 @@ _P = {
  WHERE n >= 63 AND (nx IS NULL OR date_trunc('month', nx) <> date_trunc('month', session))""",
     "w_inv": "SELECT *, inv / SUM(inv) OVER (PARTITION BY lookback, session) AS w FROM (SELECT *, CASE WHEN up AND vol > 0 THEN 1e0 / vol END AS inv FROM reb)",
     "w_in": "SELECT *, inv / SUM(inv) OVER (PARTITION BY lookback, session, sleeve) AS w0 FROM (SELECT *, CASE WHEN up AND vol > 0 THEN 1e0 / vol END AS inv FROM reb)",
-    "mixs": "SELECT a.lookback, a.session, a.sleeve, p.n, SUM(a.w0 * p.ret) AS m FROM w_in a JOIN pret p ON p.instrument = a.instrument AND p.n BETWEEN a.n - 62 AND a.n WHERE a.w0 IS NOT NULL GROUP BY 1, 2, 3, p.n",
+    "mixs": "SELECT a.lookback, a.session, a.sleeve, p.session AS day, SUM(a.w0 * p.ret) AS m FROM w_in a JOIN pret p ON p.instrument = a.instrument AND p.n BETWEEN a.n - 62 AND a.n WHERE a.w0 IS NOT NULL GROUP BY 1, 2, 3, 4",
     "sv": "SELECT lookback, session, sleeve, (1e0 / v) / SUM(1e0 / v) OVER (PARTITION BY lookback, session) AS share FROM (SELECT lookback, session, sleeve, STDDEV_SAMP(m) * SQRT(252e0) AS v FROM mixs GROUP BY 1, 2, 3)",
     "w_sl": "SELECT a.*, w0 * share AS w FROM w_in a LEFT JOIN sv ON sv.lookback = a.lookback AND sv.session = a.session AND sv.sleeve = a.sleeve",
 }
@@ -76,7 +76,7 @@ _P = {
 
 def _target_sql(source: str) -> str:
     s = (f"SELECT a.lookback, a.session, a.instrument, vt, COALESCE(a.w, 0e0) * COALESCE(LEAST(vt / x.v, 1e0), 0e0) AS w FROM {source} a CROSS JOIN (SELECT UNNEST([0.08e0, 0.12e0]) AS vt) "
-         f"LEFT JOIN (SELECT lookback, session, STDDEV_SAMP(m) * SQRT(252e0) AS v FROM (SELECT a.lookback, a.session, p.n, SUM(a.w * p.ret) AS m FROM {source} a JOIN pret p ON p.instrument = a.instrument AND p.n BETWEEN a.n - 62 AND a.n WHERE a.w IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) x "
+         f"LEFT JOIN (SELECT lookback, session, STDDEV_SAMP(m) * SQRT(252e0) AS v FROM (SELECT a.lookback, a.session, p.session AS day, SUM(a.w * p.ret) AS m FROM {source} a JOIN pret p ON p.instrument = a.instrument AND p.n BETWEEN a.n - 62 AND a.n WHERE a.w IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) x "
          "ON x.lookback = a.lookback AND x.session = a.session")
     for _ in range(AL.CAP_ROUNDS):
         s = (f"SELECT lookback, session, instrument, vt, CASE WHEN w >= 0.25e0 THEN 0.25e0 ELSE w + w * CASE WHEN ex > 0 AND room > 0 THEN ex / room ELSE 0e0 END END AS w FROM (SELECT *, SUM(GREATEST(w - 0.25e0, 0e0)) OVER g AS ex, "

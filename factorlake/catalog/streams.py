@@ -13,7 +13,8 @@ from .registry import query, rnd
 
 
 def _events(spark, sf_dir):
-    return spark.readStream.schema(V.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    raw = spark.readStream.schema(V.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _folder(spark) -> str:

@@ -95,36 +95,44 @@ def sleeve_budget(df: DataFrame, group: list[str], eligible: Column, sleeve: str
     return inside.join(across, [*group, sleeve], "left").withColumn("w", F.col("w") * F.col("_share")).drop("_share")
 
 
+def _once(c: Column) -> Column:
+    """A one-element explode: the optimizer cannot copy the expression into every later use."""
+    return F.explode(F.array(c))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
 def cap_weights(ws: Column) -> Column:
     """Asset cap on an array of weights: excess goes to the uncapped pro rata, at most five rounds."""
-    def sum_of(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
     def one_round(cur: Column, _: Column) -> Column:
-        excess = F.aggregate(cur, F.lit(0.0), lambda s, x: s + F.greatest(x - ASSET_CAP, F.lit(0.0)))
-        room = F.aggregate(cur, F.lit(0.0), lambda s, x: s + F.when((x < ASSET_CAP) & (x > 0), x).otherwise(0.0))
-        share = F.when((excess > 0) & (room > 0), F.try_divide(excess, room)).otherwise(0.0)
-        return F.transform(cur, lambda x: F.when(x >= ASSET_CAP, F.lit(ASSET_CAP)).otherwise(x + x * share))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(CAP_ROUNDS)), ws, one_round)
-    total = sum_of(done)
-    return F.when(total > 1.0, F.transform(done, lambda x: F.try_divide(x, sum_of(done)))).otherwise(done)
+        sums = F.aggregate(cur, F.struct(F.lit(0.0).alias("excess"), F.lit(0.0).alias("room")), lambda s, x: F.struct(
+            (s["excess"] + F.greatest(x - ASSET_CAP, F.lit(0.0))).alias("excess"),
+            (s["room"] + F.when((x < ASSET_CAP) & (x > 0), x).otherwise(0.0)).alias("room")))
+        share = F.when((sums["excess"] > 0) & (sums["room"] > 0), F.try_divide(sums["excess"], sums["room"])).otherwise(0.0)
+        return F.get(F.transform(F.array(share), lambda sh: F.transform(
+            cur, lambda x: F.when(x >= ASSET_CAP, F.lit(ASSET_CAP)).otherwise(x + x * sh))), F.lit(0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(CAP_ROUNDS)), ws, one_round)
 
 
 def target_weights(df: DataFrame, group: list[str], key: str, vol_target: Column | float, cash_allowed: bool = True) -> DataFrame:
     """Volatility target, cap and renormalisation over rows that carry ``w``.
 
-    Output: group, key, weight (0 for instruments without one).
+    Output: group, ex_ante, key, weight (0 for instruments without one).
     """
     target = F.lit(vol_target) if isinstance(vol_target, float) else vol_target
     per = (df.groupBy(*group, target.alias("_target"))
            .agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.coalesce("w", F.lit(0.0)).alias("w"), "window_rets"))).alias("m")))
-    live = F.filter("m", lambda x: x["w"] > 0)
-    ex_ante = F.when(F.size(live) > 0, _std_of_mix(live))
-    scale = F.when(ex_ante > 0, F.least(F.try_divide(F.col("_target"), ex_ante), F.lit(1.0)) if cash_allowed else F.lit(1.0)).otherwise(0.0)
-    d = per.withColumn("ex_ante", ex_ante).withColumn("scale", scale)
-    d = d.withColumn("ws", cap_weights(F.transform("m", lambda x: x["w"] * F.col("scale"))))
-    return d.select(*group, "ex_ante", F.explode(F.arrays_zip(F.col("m.k").alias("k"), F.col("ws").alias("ws"))).alias("z")).select(
-        *group, "ex_ante", F.col("z.k").alias(key), F.col("z.ws").alias("weight"))
+    per = per.withColumn("live", _once(F.filter("m", lambda x: x["w"] > 0)))
+    d = per.withColumn("ex_ante", _once(F.when(F.size("live") > 0, _std_of_mix(F.col("live")))))
+    room = F.least(F.try_divide(F.col("_target"), F.col("ex_ante")), F.lit(1.0)) if cash_allowed else F.lit(1.0)
+    scaled = F.transform("m", lambda x: x["w"] * F.when(F.col("ex_ante") > 0, room).otherwise(0.0))
+    d = d.withColumn("ws", _once(cap_weights(scaled))).withColumn("total", _once(_total(F.col("ws"))))
+    names = F.transform("m", lambda x: x["k"])
+    d = d.select(*group, "ex_ante", "total", F.explode(F.arrays_zip(names.alias("k"), F.col("ws").alias("ws"))).alias("z"))
+    return d.select(*group, "ex_ante", F.col("z.k").alias(key),
+                    F.when(F.col("total") > 1.0, F.try_divide("z.ws", "total")).otherwise(F.col("z.ws")).alias("weight"))
 
 
 def equity_curve(panel: DataFrame, targets: DataFrame, group: list[str], key: str) -> DataFrame:
@@ -135,32 +143,32 @@ def equity_curve(panel: DataFrame, targets: DataFrame, group: list[str], key: st
     turnover between drifted and new weights on the first day after the rebalance.
     ``targets``: group, decided DATE, key, weight (one row per instrument, zero weights included).
     """
-    days = panel.select("session").distinct()
     order = Window.orderBy("session")  # one row per calendar session
-    calendar = days.withColumn("seq", F.row_number().over(order)).withColumn("next_session", F.lead("session").over(order))
+    calendar = panel.select("session").distinct().withColumn("next_session", F.lead("session").over(order))
     # the period of a decision starts at the close of the trading day after it
     decided = targets.select(*group, "decided").distinct().join(
         calendar.select(F.col("session").alias("decided"), F.col("next_session").alias("traded")), "decided").filter("traded IS NOT NULL")
-    nxt = F.lead("traded").over(Window.partitionBy(*group).orderBy("decided"))
-    periods = decided.withColumn("until", nxt)
-    # period p covers sessions after `traded` up to and including the next `traded`
-    held = targets.join(periods, [*group, "decided"])
+    held = targets.join(decided, [*group, "decided"])
+    # every session belongs to the last trade strictly before it: a carry-forward per curve, no range join
+    days = calendar.agg(F.array_sort(F.collect_list("session")).alias("days"))
+    before = Window.partitionBy(*group).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
+    grid = (decided.select(*group).distinct().withColumn("session", F.explode(days.scalar()))
+            .join(decided.select(*group, F.col("traded").alias("session"), F.col("traded").alias("mark")), [*group, "session"], "left")
+            .withColumn("traded", F.last("mark", ignorenulls=True).over(before))
+            .withColumn("ends", F.col("mark").isNotNull()).filter("traded IS NOT NULL").drop("mark"))
     p0 = panel.select(F.col(key), F.col("session").alias("traded"), F.col("close").alias("p0"))
-    held = held.join(p0, [key, "traded"])
     px = panel.select(key, "session", "close")
-    inside = held.join(px, (held[key] == px[key]) & (px["session"] >= held["traded"])
-                       & (held["until"].isNull() | (px["session"] <= held["until"]))).drop(px[key])
-    value = inside.groupBy(*group, "decided", "traded", "until", "session").agg(
+    inside = held.join(p0, [key, "traded"]).join(grid, [*group, "traded"]).join(px, [key, "session"])
+    value = inside.groupBy(*group, "traded", "session", "ends").agg(
         (F.lit(1.0) - F.sum("weight") + F.sum(F.col("weight") * ratio("close", "p0"))).alias("v"), F.sum("weight").alias("w_sum"))
     # drifted weights at the trade that ends the period
-    end = inside.filter(F.col("session") == F.col("until")).join(
-        value.filter(F.col("session") == F.col("until")).select(*group, "decided", "v"), [*group, "decided"])
-    drifted = end.select(*group, F.col("until").alias("traded"), key, ratio(F.col("weight") * ratio("close", "p0"), "v").alias("drifted"))
+    end = inside.filter("ends").join(value.filter("ends").select(*group, "traded", "v"), [*group, "traded"])
+    drifted = end.select(*group, F.col("session").alias("traded"), key, ratio(F.col("weight") * ratio("close", "p0"), "v").alias("drifted"))
     turnover = (held.select(*group, "traded", key, "weight").join(drifted, [*group, "traded", key], "left")
                 .groupBy(*group, "traded").agg(F.sum(F.abs(F.col("weight") - F.coalesce("drifted", F.lit(0.0)))).alias("turnover")))
-    w = Window.partitionBy(*group, "decided").orderBy("session")
-    daily = (value.withColumn("r", ratio("v", F.lag("v").over(w)) - 1.0).filter(F.col("r").isNotNull())
-             .select(*group, "session", "r", "w_sum"))
+    # the value at the trade itself is one
+    w = Window.partitionBy(*group, "traded").orderBy("session")
+    daily = value.select(*group, "session", (ratio("v", F.coalesce(F.lag("v").over(w), F.lit(1.0))) - 1.0).alias("r"), "w_sum")
     costs = turnover.select(*group, F.col("traded").alias("session"), (F.col("turnover") * (COST_BPS / 10000.0)).alias("cost"), "turnover")
     net = (daily.join(costs, [*group, "session"], "full_outer")
            .withColumn("net", F.coalesce("r", F.lit(0.0)) - F.coalesce("cost", F.lit(0.0))))
