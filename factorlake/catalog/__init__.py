@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["technical", "evaluation", "research", "screening", "portfolio", "filings", "streams"]
+MODULES = ["technical", "evaluation", "research", "screening", "portfolio", "filings", "streams", "landing"]
 
 
 def load_all():

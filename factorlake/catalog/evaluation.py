@@ -61,8 +61,9 @@ def path_choice(spark, sf_dir):
     """Filings exist for even assets only; the others keep the fixed-lag path."""
     m = market(spark, sf_dir)
     filings = m.annual.filter(F.col("ticker") % 2 == 0)
-    classic = E.snapshot_features(m, CFG).withColumn("path", F.lit("fixed"))
-    filed = E.snapshot_features(m, FILED).withColumn("path", F.lit("filed"))
+    at = stable(E.price_rows(m, CFG))
+    classic = E.with_fundamentals(at, m, CFG).withColumn("path", F.lit("fixed"))
+    filed = E.with_fundamentals(at, m, FILED).withColumn("path", F.lit("filed"))
     keep = ["ticker", "snapshot", "path", *_FEAT, *_FLAGS, "market_cap"]
     d = E.choose_path(classic.select(*keep), filed.select(*keep), filings)
     return d.select("ticker", "snapshot", "path", *rounded(d, *_FEAT), *_FLAGS, rnd("market_cap", 2).alias("market_cap"))
@@ -144,9 +145,22 @@ def top_n_sweep(spark, sf_dir):
 BANDS = [(5, 10, 1), (5, 15, 2), (10, 20, 2), (10, 10, 1)]
 
 
-@query("hysteresis_sweep", "PIP-4 WIN-24 AGG-19")
+_HOLD = {
+    "hranks": "SELECT q.ticker, q.snapshot, r6, r12, ROW_NUMBER() OVER (PARTITION BY q.snapshot ORDER BY total DESC, q.ticker) AS k FROM quant_classic q JOIN fwd ON fwd.ticker = q.ticker AND fwd.snapshot = q.snapshot",
+    "seqs": "SELECT snapshot, ROW_NUMBER() OVER (ORDER BY snapshot) AS seq FROM snaps",
+    "dense": "SELECT t.ticker, s.snapshot, s.seq, COALESCE(h.k, 1000000000) AS k, r6, r12 FROM (SELECT DISTINCT ticker FROM hranks) t CROSS JOIN seqs s LEFT JOIN hranks h ON h.ticker = t.ticker AND h.snapshot = s.snapshot",
+    "hold": "SELECT e, x, c, d.ticker, d.snapshot, d.seq, r6, r12, CASE WHEN k <= e THEN 0 END AS misses FROM dense d, (VALUES (5, 10, 1), (5, 15, 2), (10, 20, 2), (10, 10, 1)) b(e, x, c) WHERE d.seq = 1 "
+            "UNION ALL SELECT e, x, c, d.ticker, d.snapshot, d.seq, d.r6, d.r12, COALESCE(CASE WHEN misses IS NOT NULL THEN CASE WHEN d.k <= x THEN 0 WHEN misses + 1 < c THEN misses + 1 END END, CASE WHEN d.k <= e THEN 0 END) "
+            "FROM hold h JOIN dense d ON d.ticker = h.ticker AND d.seq = h.seq + 1",
+    "hbaskets": "SELECT y.*, b6, b12 FROM (SELECT e AS enter, x AS exit, c AS confirm, snapshot, AVG(r6) AS r6, AVG(r12) AS r12, COUNT(*) AS held FROM hold WHERE misses IS NOT NULL GROUP BY ALL) y LEFT JOIN bench ON bench.snapshot = y.snapshot",
+}
+
+
+@query("hysteresis_sweep", "PIP-4 WIN-24 AGG-19", compose(
+    f"SELECT m.enter, m.exit, m.confirm, snapshots, n6, n12, {_MCOLS}, {r('avg_holdings')} AS avg_holdings FROM ({X.metrics_sql('hbaskets', 'enter, exit, confirm')}) m "
+    "JOIN (SELECT enter, exit, confirm, AVG(held) AS avg_holdings FROM hbaskets GROUP BY ALL) h ON h.enter = m.enter AND h.exit = m.exit AND h.confirm = m.confirm", **_HOLD))
 def hysteresis_sweep(spark, sf_dir):
-    """Entry and exit bands over one stored ranking; checked against a plain loop in the tests."""
+    """Entry and exit bands over one stored ranking; the SQL twin walks the reviews one by one."""
     m = market(spark, sf_dir)
     dates = E.dates_of(m, CFG)
     rk = stable(ranked(spark, sf_dir).select("ticker", "snapshot", "total", "r6", "r12"))
@@ -200,6 +214,7 @@ _sweep("cap_rule_sweep", "PIP-7 SCO-17 JOIN-19", S.cap_variants(), [5, 25])
 def run_comparison(spark, sf_dir):
     """Filing dates against the fixed lag."""
     m, st = market(spark, sf_dir), stocks(spark, sf_dir)
-    before, after = E.evaluation(m, CFG, st).withColumn("k", F.lit(1)), E.evaluation(m, FILED, st).withColumn("k", F.lit(1))
+    at = stable(E.price_rows(m, CFG))
+    before, after = E.evaluation(m, CFG, st, at).withColumn("k", F.lit(1)), E.evaluation(m, FILED, st, at).withColumn("k", F.lit(1))
     d = M.verdict(before, after, ["k"])
     return d.select(*rounded(d, *[f"delta_{c}" for c in _EM]), "verdict")

@@ -269,9 +269,10 @@ def page_links(spark, sf_dir):
 
 @query("event_payload_points", "SRC-5 SRC-4", """SELECT event_type AS ticker, CAST(ts AS DATE) AS session, COUNT(*) AS points, ROUND(SUM(CAST(ROUND(value * 100) AS BIGINT)) / 100e0, 2) AS total FROM events GROUP BY 1, 2""")
 def event_payload_points(spark, sf_dir):
-    """Ticks as [[epoch_ms, value], ...] payloads per key and hour, read back to sessions."""
+    """Ticks as [[epoch_ms, value], ...] payloads, read back to sessions."""
     e = V.read(spark, sf_dir, "events")
-    points = e.groupBy(F.col("event_type").alias("ticker"), F.window("ts", "1 hour"), F.pmod(F.hash("event_id"), F.lit(64)).alias("part")).agg(
+    # a payload carries at most a thousand points, however many events a key has
+    points = e.groupBy(F.col("event_type").alias("ticker"), F.floor(F.col("event_id") / 1000).alias("part")).agg(
         F.collect_list(F.array(F.unix_millis(F.col("ts").cast("timestamp")).cast("double"), F.col("value"))).alias("data"))
     d = RD.price_points(points.select("ticker", "data"))
     return d.groupBy("ticker", "session").agg(F.count("*").alias("points"), F.round(F.sum(F.round(F.col("close") * 100).cast("bigint")) / 100.0, 2).alias("total"))

@@ -112,7 +112,7 @@ _FILED_LOCAL = {
 @query("candidate_signals", "SCO-16 EXT-3", compose(
     "SELECT ticker, snapshot, " + ", ".join(f"{r('cand_' + n)} AS {n}" for n in S.CANDIDATES) + " FROM wide_f", **_FILED_LOCAL))
 def candidate_signals(spark, sf_dir):
-    d = Q.known_at_snapshot(Q.with_health(features(spark, sf_dir, FILED)))
+    d = Q.known_at_snapshot(stable(Q.with_health(features(spark, sf_dir, FILED)).select("ticker", "snapshot", "ni", "candidates")))
     return d.select("ticker", "snapshot", *[F.round(F.col("candidates")[n], 6).alias(n) for n in S.CANDIDATES])
 
 
@@ -216,10 +216,11 @@ _CMP = {"sa": f"SELECT *, ROW_NUMBER() OVER (ORDER BY total DESC, ticker) AS k F
 
 def _two_sources(spark, sf_dir):
     """The two feature paths at the last snapshot act as two data sources with partial overlap."""
+    m = market(spark, sf_dir)
+    at = stable(E.price_rows(m, CFG, E.dates_of(m, CFG).select(F.slice("dates", -1, 1).alias("dates"))))
+
     def last(cfg, missing):
-        m = market(spark, sf_dir)
-        dates = E.dates_of(m, cfg).select(F.slice("dates", -1, 1).alias("dates"))
-        f = E.snapshot_features(m, cfg, dates).join(V.profiles(spark, sf_dir).filter("asset_type = 'STOCK'").select("ticker", "asset_type"), "ticker")
+        f = E.with_fundamentals(at, m, cfg).join(V.profiles(spark, sf_dir).filter("asset_type = 'STOCK'").select("ticker", "asset_type"), "ticker")
         return E.scored(f, cfg).filter(F.col("ticker") % 7 != missing)
     return last(CFG, 3), last(FILED, 4)
 

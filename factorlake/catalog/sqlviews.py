@@ -270,7 +270,8 @@ def metrics_sql(source: str, group: str) -> str:
  SELECT *, CASE WHEN r6 IS NOT NULL AND b6 IS NOT NULL THEN r6 END AS p, CASE WHEN r6 IS NOT NULL AND b6 IS NOT NULL THEN b6 END AS q FROM {source}))) {"GROUP BY " + group if group else ""}"""
 
 
-_WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
+#: Views that read themselves.
+RECURSIVE = ("ema", "steps", "hold")
 #: Names that are also column names need the view to be read after FROM or JOIN.
 _READ = re.compile(r"(?:FROM|JOIN|,)\s*\(*\s*([A-Za-z_][A-Za-z_0-9]*)", re.IGNORECASE)
 
@@ -294,5 +295,5 @@ def compose(body: str, **extra: str) -> str:
         visit(name, ())
     if not order:
         return body
-    ctes = ", ".join(f"{n} AS MATERIALIZED ({local[n]})" if n not in ("ema", "steps") else f"{n} AS ({local[n]})" for n in order)
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({local[n]})" if n not in RECURSIVE else f"{n} AS ({local[n]})" for n in order)
     return f"WITH RECURSIVE {ctes} {body}"

@@ -43,7 +43,8 @@ def drawdowns(df: DataFrame, group: list[str], order: str, value: str, out: str,
 def evaluation_metrics(snapshots: DataFrame, group: list[str], date: str = "snapshot") -> DataFrame:
     """One row per variant from rows (date, r6, r12, b6, b12).  Only rows with both r6 and b6 chain.
 
-    Six-month returns of three-month snapshots overlap; they are chained as they are.
+    Six-month returns of three-month snapshots overlap; they are chained as they are.  With a ``held``
+    column the mean number of holdings comes along.
     """
     six = F.col("r6").isNotNull() & F.col("b6").isNotNull()
     twelve = F.col("r12").isNotNull() & F.col("b12").isNotNull()
@@ -55,13 +56,14 @@ def evaluation_metrics(snapshots: DataFrame, group: list[str], date: str = "snap
     wins12 = F.count_if(twelve & (F.col("r12") > F.col("b12")))
     cum, bench = F.max_by("_cum", date), F.max_by("_bench", date)
     years = F.greatest(n6 / 2.0, F.lit(1.0))
+    held = [F.avg("held").alias("avg_holdings")] if "held" in snapshots.columns else []
     alpha = F.when(bench > 0, F.pow(F.try_divide(cum, bench), F.lit(1.0) / years) - 1.0).otherwise(0.0)
     return d.groupBy(*group).agg(
         F.count("*").alias("snapshots"), n6.alias("n6"), n12.alias("n12"),
         (cum - 1.0).alias("cumulative_return"), (bench - 1.0).alias("benchmark_return"),
         sharpe(F.col("_p")).alias("sharpe"), sharpe(F.col("_q")).alias("benchmark_sharpe"),
         (wins6 / F.greatest(n6, F.lit(1))).alias("win_rate_6m"), (wins12 / F.greatest(n12, F.lit(1))).alias("win_rate_12m"),
-        F.abs(F.min("_dd")).alias("max_drawdown"), alpha.alias("alpha"))
+        F.abs(F.min("_dd")).alias("max_drawdown"), alpha.alias("alpha"), *held)
 
 
 METRICS = ["cumulative_return", "benchmark_return", "sharpe", "benchmark_sharpe", "win_rate_6m",

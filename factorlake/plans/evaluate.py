@@ -43,15 +43,25 @@ def dates_of(m: Market, cfg: EvalConfig) -> DataFrame:
     return A.snapshot_array(m.sessions, cfg.lag_days, cfg.years, cfg.step_months)
 
 
-def snapshot_features(m: Market, cfg: EvalConfig, dates: DataFrame | None = None) -> DataFrame:
-    """Features and forward returns (r6, r12) per ticker and snapshot."""
-    dates = dates_of(m, cfg) if dates is None else dates
-    at = T.features_at(m.prices, dates, (H6, H12))
-    at = (at.withColumn("r6", A.forward_return(F.col("price"), F.col(f"close_{H6}")))
-          .withColumn("r12", A.forward_return(F.col("price"), F.col(f"close_{H12}"))).drop(f"close_{H6}", f"close_{H12}"))
+def price_rows(m: Market, cfg: EvalConfig, dates: DataFrame | None = None) -> DataFrame:
+    """Price features and forward returns (r6, r12) per ticker and snapshot.
+
+    The costly part of an evaluation: checkpoint it once when several clocks or models read it.
+    """
+    at = T.features_at(m.prices, dates_of(m, cfg) if dates is None else dates, (H6, H12))
+    return at.withColumns({"r6": A.forward_return(F.col("price"), F.col(f"close_{H6}")),
+                           "r12": A.forward_return(F.col("price"), F.col(f"close_{H12}"))}).drop(f"close_{H6}", f"close_{H12}")
+
+
+def with_fundamentals(at: DataFrame, m: Market, cfg: EvalConfig) -> DataFrame:
     return U.historical_features(at, m.annual, m.dividends, m.earnings, cfg.lag_days, cfg.first_quarter, cfg.clock)
 
 
+def snapshot_features(m: Market, cfg: EvalConfig, dates: DataFrame | None = None) -> DataFrame:
+    """All features and forward returns per ticker and snapshot."""
+    return with_fundamentals(price_rows(m, cfg, dates), m, cfg)
+
+
 def choose_path(classic: DataFrame, filed: DataFrame, has_filings: DataFrame, key: str = "ticker") -> DataFrame:
     """Whole rows from the filing-date path for tickers with any filing, the fixed-lag path otherwise."""
     with_filing = has_filings.select(key).distinct()
@@ -84,19 +94,19 @@ def with_benchmark(baskets: DataFrame, bench: DataFrame) -> DataFrame:
     return baskets.join(F.broadcast(bench), "snapshot", "left")
 
 
-def evaluate_snapshots(m: Market, cfg: EvalConfig, stocks: DataFrame | None = None) -> DataFrame:
-    """One row per snapshot: basket and benchmark returns of the top-N."""
+def evaluate_snapshots(m: Market, cfg: EvalConfig, stocks: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
+    """One row per snapshot: basket and benchmark returns of the top-N.  ``at`` reuses stored price rows."""
     dates = dates_of(m, cfg)
-    f = snapshot_features(m, cfg, dates)
+    f = snapshot_features(m, cfg, dates) if at is None else with_fundamentals(at, m, cfg)
     if stocks is not None:
         f = f.join(stocks, "ticker", "left_semi")
     picks = R.top_n(scored(f, cfg), ["snapshot"], cfg.top_n)
     return with_benchmark(M.basket_returns(picks, ["snapshot"]), benchmark_returns(m, dates))
 
 
-def evaluation(m: Market, cfg: EvalConfig, stocks: DataFrame | None = None) -> DataFrame:
-    """Metrics of one run as a single row, zeros when there is no snapshot."""
-    rows = evaluate_snapshots(m, cfg, stocks).withColumn("run", F.lit("run"))
+def evaluation(m: Market, cfg: EvalConfig, stocks: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
+    """Metrics of one run as a single row; no row when there is no snapshot."""
+    rows = evaluate_snapshots(m, cfg, stocks, at).withColumn("run", F.lit("run")).drop("held")
     return M.evaluation_metrics(rows, ["run"]).drop("run")
 
 
@@ -117,9 +127,7 @@ def evaluate_strategy(ranked: DataFrame, bench: DataFrame, strategy: Strategy) -
 def n_sweep(ranked: DataFrame, bench: DataFrame, ns: list[int]) -> DataFrame:
     """Metrics per cut-off; one ranking serves all of them."""
     picks = R.top_n_many(ranked, ["snapshot"], ns)
-    rows = with_benchmark(M.basket_returns(picks, ["n", "snapshot"]), bench)
-    held = rows.groupBy("n").agg(F.avg("held").alias("avg_holdings"))
-    return M.evaluation_metrics(rows, ["n"]).join(held, "n")
+    return M.evaluation_metrics(with_benchmark(M.basket_returns(picks, ["n", "snapshot"]), bench), ["n"])
 
 
 def hysteresis_sweep(ranked: DataFrame, bench: DataFrame, dates: DataFrame, bands: list[tuple[int, int, int]]) -> DataFrame:
@@ -131,9 +139,7 @@ def hysteresis_sweep(ranked: DataFrame, bench: DataFrame, dates: DataFrame, band
     top = R.top_n(ranked, ["snapshot"], max(b[1] for b in bands))
     held = M.hysteresis(top.select("snapshot", "ticker", "rank"), [], bands, dates)
     picks = held.join(ranked.select("snapshot", "ticker", "r6", "r12"), ["snapshot", "ticker"], "left")
-    rows = with_benchmark(M.basket_returns(picks, [*group, "snapshot"]), bench)
-    avg = rows.groupBy(*group).agg(F.avg("held").alias("avg_holdings"))
-    return M.evaluation_metrics(rows, group).join(avg, group)
+    return M.evaluation_metrics(with_benchmark(M.basket_returns(picks, [*group, "snapshot"]), bench), group)
 
 
 def variant_sweep(factors: DataFrame, bench: DataFrame, variants: list[dict], ns: list[int]) -> DataFrame:

@@ -153,3 +153,14 @@ def test_stitching_guards(spark):
     ents = spark.createDataFrame([(1, "XOM", "ExxonMobil Holdings Corp", "stock"), (2, None, "EXXON MOBIL CORP", "stock"), (3, None, "Exxon Old Corp", "stock"), (4, None, "Exxon Fund", "fund")], "cik long, ticker string, name string, kind string")
     r = ST.stitch_entities(periods, ents, today).collect()
     assert [(x["ticker"], x["cik"], x["periods"]) for x in r] == [("XOM", 2, 8)]  # 3 stopped filing, 4 is a fund
+
+
+def test_bucketed_prices_need_no_shuffle(spark, tmp_path):
+    from factorlake.operators import technicals as T
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), 10.0 + i + k) for k in range(8) for i in range(30)]
+    SK.save_by_ticker(spark.createDataFrame(rows, "ticker bigint, session date, close double"), "factorlake_prices_t", str(tmp_path / "b"), 4, ["session"])
+    try:
+        plan = T.bar_features(spark.table("factorlake_prices_t"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" in plan
+    finally:
+        spark.sql("DROP TABLE factorlake_prices_t")
