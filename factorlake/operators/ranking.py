@@ -15,6 +15,8 @@ from ..session import stable
 #: Buckets per power of two of the value, and keys per tie slice: both bound what one task sorts.
 PER_OCTAVE = 4096
 KEYS_PER_SLICE = 65_536
+#: Rows of a group up to which one window ranks it.
+PLAIN_LIMIT = 1_000_000
 
 
 def value_bucket(v: Column) -> Column:
@@ -23,16 +25,32 @@ def value_bucket(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("bigint")).otherwise(F.signum(v).cast("bigint") * magnitude.cast("bigint"))
 
 
-def positions(df: DataFrame, group: list[str], value: str, key: str) -> DataFrame:
+def positions(df: DataFrame, group: list[str], value: str, key: str, plain_limit: int = PLAIN_LIMIT) -> DataFrame:
     """Adds ``_below`` (rows with a smaller value), ``_ties`` (rows with this value), ``_ordinal``
     (1-based position by value, then ``key``) and ``_size`` per group.
 
-    ``df`` is read twice: hand in a stored or checkpointed table.  NULL values get no position.
-    ``key`` is an integer that is unique within the group.
+    ``df`` is read more than once: hand in a stored or checkpointed table.  NULL values get no position.
+    ``key`` is an integer that is unique within the group.  The group sizes are counted first: groups
+    that all fit comfortably into a task are ranked by one window, anything larger by cells.
     """
     # adding 0.0 folds -0.0 into 0.0 so that equal values share a cell
-    d = df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double") + F.lit(0.0)).withColumn(
-        "_slice", F.floor(F.col(key) / KEYS_PER_SLICE).cast("bigint"))
+    d = df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double") + F.lit(0.0))
+    largest = d.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= plain_limit:
+        return _windowed_positions(d, group, key)
+    return _celled_positions(d, group, key)
+
+
+def _windowed_positions(d: DataFrame, group: list[str], key: str) -> DataFrame:
+    """One shuffle by group and one sort by (value, key) serve all four numbers."""
+    return d.withColumn("_ordinal", F.row_number().over(Window.partitionBy(*group).orderBy("_v", key)).cast("bigint")).withColumns({
+        "_ties": F.count("*").over(Window.partitionBy(*group, "_v")), "_below": F.min("_ordinal").over(Window.partitionBy(*group, "_v")) - 1,
+        "_size": F.count("*").over(Window.partitionBy(*group))}).drop("_v")
+
+
+def _celled_positions(d: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Cells, then buckets of cells: no task sees a group, not even all rows of one value."""
+    d = d.withColumn("_slice", F.floor(F.col(key) / KEYS_PER_SLICE).cast("bigint"))
     cells = d.groupBy(*group, "_v", "_slice").agg(F.count("*").alias("_n")).withColumn("_bucket", value_bucket(F.col("_v")))
     before = Window.unboundedPreceding
     in_bucket = Window.partitionBy(*group, "_bucket").orderBy("_v", "_slice")
@@ -82,14 +100,15 @@ def top_n_many(df: DataFrame, group: list[str], ns: list[int], tie: str = "ticke
     return ranked.withColumn("n", F.explode(cuts))
 
 
-def spearman(df: DataFrame, group: list[str], x: str, y: str, key: str, min_pairs: int = 5) -> DataFrame:
+def spearman(df: DataFrame, group: list[str], x: str, y: str, key: str, min_pairs: int = 5,
+             plain_limit: int = PLAIN_LIMIT) -> DataFrame:
     """Rank correlation per group over rows where both values are known.
 
     Pearson over average ranks; no result below ``min_pairs`` rows or with a constant side.  The mean
     rank is always (n + 1) / 2, so centred ranks need one pass of plain sums.  ``df`` is read twice.
     """
     def centred(d: DataFrame, value: str, out: str) -> DataFrame:
-        p = positions(d, group, value, key)
+        p = positions(d, group, value, key, plain_limit)
         rank = F.col("_below") + (F.col("_ties") + 1) / 2.0
         return p.withColumn(out, rank - (F.col("_size") + 1) / 2.0).drop("_below", "_ties", "_ordinal", "_size")
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, key, x, y)

@@ -23,9 +23,10 @@ def cross_section(spark, seed, hot):
 
 
 @pytest.mark.parametrize("hot", [0.0, 0.4])
-def test_positions_match_pandas(spark, hot):
+@pytest.mark.parametrize("plain_limit", [0, R.PLAIN_LIMIT])
+def test_positions_match_pandas(spark, hot, plain_limit):
     rows, d = cross_section(spark, 1, hot)
-    got = R.positions(d, ["g"], "v", "k").toPandas()
+    got = R.positions(d, ["g"], "v", "k", plain_limit).toPandas()
     want = pd.DataFrame(rows, columns=["g", "k", "v", "y"])
     want["v"] = want["v"] + 0.0
     want["avg"] = want.groupby("g")["v"].rank()
@@ -35,10 +36,11 @@ def test_positions_match_pandas(spark, hot):
     assert (m["_ordinal"] == m["ord"]).all() and ((m["_below"] + (m["_ties"] + 1) / 2) == m["avg"]).all() and (m["_size"] == 300).all()
 
 
-def test_spearman_matches_pandas(spark):
+@pytest.mark.parametrize("plain_limit", [0, R.PLAIN_LIMIT])
+def test_spearman_matches_pandas(spark, plain_limit):
     rows, d = cross_section(spark, 2, 0.3)
     want = pd.DataFrame(rows, columns=["g", "k", "v", "y"]).dropna()
-    got = {r["g"]: (r["pairs"], r["ic"]) for r in R.spearman(d, ["g"], "v", "y", "k").collect()}
+    got = {r["g"]: (r["pairs"], r["ic"]) for r in R.spearman(d, ["g"], "v", "y", "k", plain_limit=plain_limit).collect()}
     for g, p in want.groupby("g"):
         assert got[g][0] == len(p) and got[g][1] == pytest.approx((p["v"] + 0.0).rank().corr(p["y"].rank()), abs=1e-12)
     flat = spark.createDataFrame([("a", i, 1.0, float(i)) for i in range(9)] + [("b", i, float(i), float(i)) for i in range(4)], "g string, k bigint, v double, y double")
