@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import stable
+from ..session import shared_folder
 from ..sources import driver_views as V
 from ..streaming import market_streams as ST
 from .registry import query, rnd
@@ -19,8 +19,7 @@ def _events(spark, sf_dir):
 
 def _folder(spark) -> str:
     """A new folder below the shared checkpoint directory."""
-    stable(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drain(spark, stream):

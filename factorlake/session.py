@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +31,29 @@ def build_session(master: str | None = None, app: str = "factorlake", **conf: st
     return builder.getOrCreate()
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder so that several branches read one result.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session may fall back to a
-    temporary folder: on a cluster an executor's own disk is lost together with the executor.
+    Only a local session may fall back to a temporary folder: on a cluster an executor's own disk is
+    lost together with the executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="factorlake-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="factorlake-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Stores ``df`` as a table in the shared folder so that several branches read one result.
+
+    A written table is computed once (an eager checkpoint counts first and computes again to save),
+    is column-pruned by its readers and does not depend on any executor.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

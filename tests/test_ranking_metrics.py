@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factorlake import stable
 from factorlake.operators import metrics as M, ranking as R
 
 
@@ -19,7 +20,7 @@ def cross_section(spark, seed, hot):
         for k in range(300):
             v = 50.0 if rng.random() < hot else rng.choice([rng.uniform(-1e-3, 1e-3), rng.uniform(-90, 90), 0.0, -0.0, rng.uniform(1e6, 1e9)])
             rows.append((g, k * 40_000, v, rng.gauss(0, 1) if rng.random() > 0.1 else None))
-    return rows, spark.createDataFrame(rows, "g string, k bigint, v double, y double").checkpoint() if spark.sparkContext.getCheckpointDir() else spark.createDataFrame(rows, "g string, k bigint, v double, y double")
+    return rows, stable(spark.createDataFrame(rows, "g string, k bigint, v double, y double"))
 
 
 @pytest.mark.parametrize("hot", [0.0, 0.4])
