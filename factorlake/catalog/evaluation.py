@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof as A, fundamentals as U, metrics as M, ranking as R, scoring as S
+from ..operators import metrics as M, scoring as S
 from ..plans import evaluate as E, research as Q
 from ..session import stable
 from ..sources import driver_views as V

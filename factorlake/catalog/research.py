@@ -9,9 +9,9 @@ from ..plans import evaluate as E, research as Q
 from ..session import stable
 from ..sources import driver_views as V
 from . import sqlviews as X
-from .evaluation import CFG, FILED, _baskets, _EM, _MCOLS, factor_rows, features, market, ranked
+from .evaluation import CFG, FILED, _EM, _MCOLS, factor_rows, features, market, ranked
 from .registry import query, rnd, rounded
-from .sqlviews import V as VIEWS, compose, r
+from .sqlviews import compose, r
 
 # ---- health diagnostics ------------------------------------------------------------------------
 _HEALTH_IN = ["net_income", "total_assets", "ocf", "total_debt", "current_assets", "current_liabilities", "shares", "gross_profit", "revenue"]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import asof as A, filters as L, fundamentals as U, holdings as H, macro as MC, metrics as M, ranking as R, risk as K, scoring as S, statements as ST, technicals as T
+from ..operators import asof as A, filters as L, fundamentals as U, holdings as H, macro as MC, ranking as R, risk as K, scoring as S, technicals as T
 from ..plans import advisor as AD, research as Q, screen as SC
 from ..sources import driver_views as V
 from . import sqlviews as SQ
-from .evaluation import CFG, features, market, stocks
+from .evaluation import CFG, market, stocks
 from .registry import query, rnd, rounded
 from .sqlviews import compose, r
 
@@ -326,3 +326,22 @@ def local_risk_signals(spark, sf_dir):
     dates = E.dates_of(m, CFG).select(F.slice("dates", -1, 1).alias("dates"))
     f = Q.with_health(E.snapshot_features(m, CFG, dates).join(stocks(spark, sf_dir), "ticker", "left_semi"))
     return K.ordered(K.local_signals(f)).select("ticker", "severity", "label")
+
+
+_PROVIDER = "SELECT ticker, ticker / 10e0 AS z, CASE WHEN ticker % 2 = 0 THEN 'safe' ELSE 'unrated' END AS zone FROM profiles"
+
+
+@query("deep_dive", "JOIN-25 FUN-11 FUN-12", compose(
+    f"SELECT q.ticker, {r('q.total', 5)} AS total, h.piotroski, {r('COALESCE(h.altman_z, x.z)')} AS altman_z, CASE WHEN h.altman_z IS NULL THEN x.zone WHEN h.altman_z >= 2.99e0 THEN 'safe' WHEN h.altman_z >= 1.81e0 THEN 'grey' ELSE 'distress' END AS altman_zone "
+    "FROM quant_classic q LEFT JOIN health h ON h.ticker = q.ticker AND h.snapshot = q.snapshot LEFT JOIN (SELECT * FROM prov WHERE zone = 'safe') x ON x.ticker = q.ticker WHERE q.snapshot = (SELECT MAX(snapshot) FROM snaps)",
+    prov=_PROVIDER, **__import__("factorlake.catalog.research", fromlist=["_LOCAL"])._LOCAL))
+def deep_dive(spark, sf_dir):
+    """Diagnostics at the last snapshot; the provider's figure fills unknown scores where its zone is valid."""
+    from ..plans import deep_dive as DD, evaluate as E
+    m = market(spark, sf_dir)
+    dates = E.dates_of(m, CFG).select(F.slice("dates", -1, 1).alias("dates"))
+    f = Q.with_health(E.snapshot_features(m, CFG, dates).join(stocks(spark, sf_dir), "ticker", "left_semi"))
+    provider = V.read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("ticker"), (F.col("s_suppkey") / 10.0).alias("z_score"), F.when(F.col("s_suppkey") % 2 == 0, "safe").otherwise("unrated").alias("zone"))
+    d = DD.deep_dive(E.scored(f, CFG), provider)
+    return d.select("ticker", F.round("total", 5).alias("total"), F.col("pio.score").alias("piotroski"), rnd("alt.z_score").alias("altman_z"), F.col("alt.zone").alias("altman_zone"))

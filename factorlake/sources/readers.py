@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import (ArrayType, DateType, DoubleType, LongType, MapType, StringType, StructField, StructType)
+from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType, StructField, StructType
 
-from ..functions import payload as P, text as X
+from ..functions import payload as P
 from ..functions.numeric import finite, finite_number, sanitize_yield
 
 # Flat field -> (module, key) of the nested quote payload; text fields are listed apart.

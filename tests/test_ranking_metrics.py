@@ -7,7 +7,6 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from factorlake import stable
 from factorlake.operators import metrics as M, ranking as R
