@@ -267,7 +267,7 @@ def page_links(spark, sf_dir):
     return RD.page_links(V.read(spark, sf_dir, "pages"))
 
 
-@query("event_payload_points", "SRC-5 SRC-4", """SELECT event_type AS ticker, CAST(ts AS DATE) AS session, COUNT(*) AS points, ROUND(SUM(CAST(ROUND(value * 100) AS BIGINT)) / 100e0, 2) AS total FROM events GROUP BY 1, 2""")
+@query("event_payload_points", "SRC-5", """SELECT event_type AS ticker, CAST(ts AS DATE) AS session, COUNT(*) AS points, ROUND(SUM(CAST(ROUND(value * 100) AS BIGINT)) / 100e0, 2) AS total FROM events GROUP BY 1, 2""")
 def event_payload_points(spark, sf_dir):
     """Ticks as [[epoch_ms, value], ...] payloads, read back to sessions."""
     e = V.read(spark, sf_dir, "events")

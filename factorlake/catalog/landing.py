@@ -87,3 +87,16 @@ def tagged_metrics(spark, sf_dir):
         SK.write_metrics(n.filter(F.col("n_nationkey") % 2 == rest).select(F.col("n_name").alias("metric"), F.col("n_regionkey").cast("double").alias("value")), path, tag, {"period": "5y"})
     d = spark.read.schema("metric string, value double, config map<string,string>, tag string").json(path)
     return d.select("metric", "value", "tag", F.col("config")["period"].alias("period"))
+
+
+@query("adjusted_bars", "SRC-4", compose(
+    f"SELECT ticker, session, {r('close * 0.5e0 * f', 4)} AS open, {r('close * 2e0 * f', 4)} AS high, {r('close * f', 4)} AS close, CASE WHEN ticker % 4 = 0 THEN 0 ELSE ticker END AS volume FROM (SELECT *, CASE WHEN ticker % 3 = 0 THEN 1e0 ELSE 0.75e0 END AS f FROM prices) WHERE ticker % 7 <> 3"))
+def adjusted_bars(spark, sf_dir):
+    """Vendor bars as text with an adjusted close; some lack it, some assets are malformed and drop out."""
+    p = V.prices(spark, sf_dir)
+    k, c = F.col("ticker"), F.col("close")
+    raw = p.select("ticker", F.col("session").cast("string").alias("date"), F.when(k % 7 != 3, (c * 0.5).cast("string")).alias("open"), (c * 2.0).cast("string").alias("high"),
+                   (c * 0.4).cast("string").alias("low"), c.cast("string").alias("close"), F.when(k % 3 != 0, (c * 0.75).cast("string")).alias("adj_close"),
+                   F.when(k % 4 != 0, k.cast("string")).otherwise("n/a").alias("volume"))
+    d = RD.adjust_ohlc(raw)
+    return d.select("ticker", "session", *[F.round(x, 4).alias(x) for x in ("open", "high", "close")], "volume")
