@@ -90,7 +90,7 @@ def tagged_metrics(spark, sf_dir):
 
 
 @query("adjusted_bars", "SRC-4", compose(
-    f"SELECT ticker, session, {r('close * 0.5e0 * f', 4)} AS open, {r('close * 2e0 * f', 4)} AS high, {r('close * f', 4)} AS close, CASE WHEN ticker % 4 = 0 THEN 0 ELSE ticker END AS volume FROM (SELECT *, CASE WHEN ticker % 3 = 0 THEN 1e0 ELSE 0.75e0 END AS f FROM prices) WHERE ticker % 7 <> 3"))
+    "SELECT ticker, session, close * 0.5e0 * (close * f / close) AS open, close * 2e0 * (close * f / close) AS high, close * f AS close, CASE WHEN ticker % 4 = 0 THEN 0 ELSE ticker END AS volume FROM (SELECT *, CASE WHEN ticker % 3 = 0 THEN 1e0 ELSE 0.75e0 END AS f FROM prices) WHERE ticker % 7 <> 3"))
 def adjusted_bars(spark, sf_dir):
     """Vendor bars as text with an adjusted close; some lack it, some assets are malformed and drop out."""
     p = V.prices(spark, sf_dir)
@@ -99,4 +99,5 @@ def adjusted_bars(spark, sf_dir):
                    (c * 0.4).cast("string").alias("low"), c.cast("string").alias("close"), F.when(k % 3 != 0, (c * 0.75).cast("string")).alias("adj_close"),
                    F.when(k % 4 != 0, k.cast("string")).otherwise("n/a").alias("volume"))
     d = RD.adjust_ohlc(raw)
-    return d.select("ticker", "session", *[F.round(x, 4).alias(x) for x in ("open", "high", "close")], "volume")
+    # no rounding: every value is the same sequence of exact double operations on both sides
+    return d.select("ticker", "session", "open", "high", "close", "volume")
