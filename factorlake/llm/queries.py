@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import block_names, line_bitmaps, simhash_tiles
+from . import block_names, line_bitmaps, packing, simhash_tiles, span_language, url_terms
 from .workers import importable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -33,11 +33,43 @@ def op1_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.duplicates(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+@query("op2_bin_completion")
+def op2_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, keep_ids=False)
+
+
 @query("op6_simhash_tiles")
 def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.groups(table(spark, sf_dir, "documents")).withColumn("fingerprint", simhash_tiles.hex_digits(F.col("fingerprint")))
 
 
+@query("op7_span_language")
+def op7_span_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = span_language.fold(F.col("doc_id"), 4) == 2
+    model = span_language.learn(docs.where(~held_out))
+    return span_language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
+_AFTER = "CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END"
+_HITS = " + ".join(f"CAST(regexp_matches(t, '(^|[^a-z0-9]){w}($|[^a-z0-9])') AS INTEGER)" for w in
+                   "ads track tracker banner click casino poker bet loan dating coupon torrent crack free pills adult nude sex".split())
+_FITS = "(SELECT arg_max(r, length(r)) FROM (VALUES ('com', '/', 'com/'), ('example.com', '/en/', 'example.com/en/'), ('www.example.com', '/en/', 'www.example.com/en/'), " \
+        "('net', '/es/', 'net/es/'), ('net', '/fr/', 'net/fr/')) AS v(h, p, r) WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))"
+
+
+@query("op9_url_terms", f"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, coalesce({_AFTER}, '') AS rest FROM pages),
+b AS (SELECT page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a),
+c AS (SELECT *, {_FITS} AS rule, regexp_matches(t, '(^|[^a-z0-9])(porn|xxx|sexcam|hentai|escort|warez|phishing|malware|keygen|viagra)($|[^a-z0-9])') AS strict, {_HITS} AS soft FROM b)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR strict OR soft >= 2 THEN 'block' ELSE 'allow' END AS verdict FROM c""")
+def op9_url_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_terms.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
 @query("op10_line_bitmaps", """
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
