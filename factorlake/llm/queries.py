@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import block_names, line_bitmaps, packing, simhash_tiles, span_language, url_terms
+from . import block_names, line_bitmaps, packing, preference_quality, simhash_tiles, span_language, url_terms
 from .workers import importable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,14 @@ def op2_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, keep_ids=False)
 
 
+@query("op4_preference_quality")
+def op4_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = span_language.fold(F.col("doc_id"), 5) == 0
+    model = preference_quality.learn(docs, labels.where(~held_out), threshold=0.3, max_rows=20_000)
+    return preference_quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op6_simhash_tiles")
 def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.groups(table(spark, sf_dir, "documents")).withColumn("fingerprint", simhash_tiles.hex_digits(F.col("fingerprint")))
