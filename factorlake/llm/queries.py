@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import block_names, line_bitmaps, packing, preference_quality, simhash_tiles, span_language, url_terms
+from . import block_names, line_bitmaps, packing, preference_quality, simhash_tiles, span_language, url_terms, warc_index
 from .workers import importable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,14 @@ def op7_span_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
 
 
+@query("op8_warc_index", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages), d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM f""")
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _AFTER = "CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END"
 _HITS = " + ".join(f"CAST(regexp_matches(t, '(^|[^a-z0-9]){w}($|[^a-z0-9])') AS INTEGER)" for w in
                    "ads track tracker banner click casino poker bet loan dating coupon torrent crack free pills adult nude sex".split())
