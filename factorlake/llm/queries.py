@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import block_names, line_bitmaps, packing, preference_quality, simhash_tiles, span_language, url_terms, warc_index
+from . import block_names, crf_extract, line_bitmaps, packing, preference_quality, simhash_tiles, span_language, url_terms, warc_index
 from .workers import importable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ def op4_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op5_crf_extract")
+def op5_crf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return crf_extract.extract(pages, crf_extract.learn(pages)).select("page_id", "url", "text", "n_chars")
+
+
 @query("op6_simhash_tiles")
 def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.groups(table(spark, sf_dir, "documents")).withColumn("fingerprint", simhash_tiles.hex_digits(F.col("fingerprint")))
