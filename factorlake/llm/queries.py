@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import block_names, crf_extract, line_bitmaps, packing, preference_quality, simhash_tiles, span_language, url_terms, warc_index
+from . import block_names, crf_extract, latent_decontam, line_bitmaps, packing, preference_quality, simhash_tiles, span_language, url_terms, warc_index
 from .workers import importable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op2_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, keep_ids=False)
 
 
+@query("op3_latent_decontam")
+def op3_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_preference_quality")
 def op4_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
