@@ -127,8 +127,8 @@ def _kept(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """``docs`` with the kept lines as ``text`` and two more columns, n_lines and n_dropped.
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the kept lines as ``text`` and two more columns, named by ``counts`` (which replace such columns of ``docs``).
 
     Rows, and texts that lose nothing (null ones too), stay as they are; a text that loses all lines is empty.
     """
@@ -138,5 +138,5 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
     met = marked.join(maps, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
     hit = F.col("__bits").isNotNull()
     text = F.when(hit, _kept(F.when(hit, F.col("text")), F.col("__bits"))).otherwise(F.col("text"))
-    return met.select(*[c for c in own if c not in ("text", "n_lines", "n_dropped")], text.alias("text"),
-                      F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).cast("long").alias("n_lines"), F.coalesce(F.col("__n"), F.lit(0)).cast("long").alias("n_dropped"))
+    return met.select(*[c for c in own if c != "text" and c not in counts], text.alias("text"),
+                      F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).cast("long").alias(counts[0]), F.coalesce(F.col("__n"), F.lit(0)).cast("long").alias(counts[1]))

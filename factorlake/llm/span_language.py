@@ -175,8 +175,8 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 SCHEMA = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds the struct ``language`` (lang_pred, score, spans) to every row.
+def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "language") -> DataFrame:
+    """Adds the struct ``name`` (lang_pred, score, spans) to every row.
 
     Script ranges leave a word only the languages that use its script; Viterbi then labels words, and
     a switch of language costs ``model.penalty``. The prediction is the language with the most letters, the
@@ -188,4 +188,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         rows = [model.predict(t) for t in texts]
         return pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [[{"start": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows]})
 
-    return docs.withColumn("language", language(F.col(text)))
+    return docs.withColumn(name, language(F.col(text)))
