@@ -79,8 +79,9 @@ def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
     """Edges that connect exactly what the links within ``a`` (``b`` None) or between ``a`` and ``b`` connect."""
     other = a if b is None else b
     near = np.empty((len(a), len(other)), bool)
+    left, right = a.view(np.uint64), other.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
     for i in range(0, len(a), 256):
-        near[i:i + 256] = np.bitwise_count(a[i:i + 256, None] ^ other[None, :]) <= radius
+        near[i:i + 256] = np.bitwise_count(left[i:i + 256, None] ^ right[None, :]) <= radius
     if b is None:
         np.fill_diagonal(near, False)
     rows = np.flatnonzero(near.any(axis=1))
@@ -129,7 +130,7 @@ def links(prints: DataFrame, radius: int = 3, parts: int = 4, tile_rows: int = 2
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [e for a, b in zip(batch["a"], batch["b"]) for e in _forest(np.asarray(a), None if b is None else np.asarray(b), radius)]
+            found = [e for a, b in zip(batch["a"], batch["b"]) for e in _forest(np.asarray(a, np.int64), None if b is None else np.asarray(b, np.int64), radius)]
             yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return pairs.mapInPandas(compare, "u long, v long")
