@@ -26,7 +26,8 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\
 class Block:
     """Text between two block tags with what stands above it."""
     text: str
-    tags: tuple[str, ...]
+    last: str
+    tags: frozenset[str]
     names: frozenset[str]
     linked: int  # characters inside links
     hidden: bool
@@ -35,12 +36,17 @@ class Block:
 
 @dataclass
 class _Open:
+    """An open element with what holds for it and everything above it."""
     tag: str
+    tags: frozenset[str]
     names: frozenset[str]
     hidden: bool
     label: int | None
 
 
+_ROOT = _Open("", frozenset(), frozenset(), False, None)
+
+
 def blocks(html: str) -> list[Block]:
     """Leaf blocks in page order: inline tags and line breaks do not end a block, every other tag does.
 
@@ -59,8 +65,8 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                names = frozenset().union(*(o.names for o in stack)) if stack else frozenset()
-                found.append(Block(text, tuple(o.tag for o in stack), names, min(linked, len(text)), any(o.hidden for o in stack), next((o.label for o in reversed(stack) if o.label is not None), None)))
+                top = stack[-1] if stack else _ROOT
+                found.append(Block(text, top.tag, top.tags, top.names, min(linked, len(text)), top.hidden, top.label))
             parts.clear()
         linked = 0
 
@@ -78,10 +84,11 @@ def blocks(html: str) -> list[Block]:
         del stack[k:]
         links = 0
 
+    last = html.rfind(">")
     while at < end:
-        m = MARKUP.search(html, at)
+        m = MARKUP.search(html, at) if at <= last else None
         if m is None:
-            add(html[at:])
+            add(html[at:].split("<!--", 1)[0])
             break
         add(html[at:m.start()])
         at = m.end()
@@ -122,7 +129,8 @@ def blocks(html: str) -> list[Block]:
             links = 0
             names = frozenset(w for v in NAMES.findall(attributes) for w in WORDS.findall("".join(v).lower())) if "=" in attributes else frozenset()
             label = re.search(r'data-label="(\d)"', attributes) if "data-label" in attributes else None
-            stack.append(_Open(tag, names, "hid" in attributes.lower() or "none" in attributes and bool(HIDDEN.search(attributes)), int(label[1]) if label else None))
+            above = stack[-1] if stack else _ROOT
+            stack.append(_Open(tag, above.tags | {tag}, above.names | names, above.hidden or bool(attributes and HIDDEN.search(attributes)), int(label[1]) if label else above.label))
     flush()
     return found
 
@@ -138,8 +146,8 @@ def block_features(b: Block) -> list[str]:
     out = ["always", f"words:{min(_size(words), 7)}", f"links:{share}", "ends:" + ("stop" if b.text[-1] in ".?!…。\"”" else "other"), f"commas:{min(2, b.text.count(','))}"]
     out += {f"in:{t}" for t in b.tags}
     out += {f"name:{n}" for n in b.names}
-    if b.tags:
-        out.append(f"last:{b.tags[-1]}")
+    if b.last:
+        out.append(f"last:{b.last}")
     if "©" in b.text:
         out.append("copyright")
     if b.hidden:
@@ -272,10 +280,10 @@ def training_pages(htmls: list[str], copies: int = 3) -> list[list[Block]]:
     labelled, mains, others = [], [], []
     for html in htmls:
         found = blocks(html or "")
-        if not any(MARKED & set(b.tags) for b in found):
+        if not any(MARKED & b.tags for b in found):
             continue
         for b in found:
-            b.label = int(bool(MARKED & set(b.tags)) and not APART & set(b.tags))
+            b.label = int(bool(MARKED & b.tags) and not APART & b.tags)
         labelled.append(found)
         mains.append([b.text for b in found if b.label])
         others += [b.text for b in found if not b.label]

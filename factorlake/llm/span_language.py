@@ -82,7 +82,7 @@ class Model:
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First and last letter position, letters and scores of every word."""
         parts = []
-        for offset, part in _slices(text):
+        for offset, part in _slices(text if self.langs else ""):
             at, bucket, script = _grams(part)
             if not len(at):
                 continue
