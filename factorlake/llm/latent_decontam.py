@@ -24,13 +24,14 @@ BLOCK = 64  # feature rows that travel together while the projected matrix is su
 
 @dataclass(frozen=True)
 class Settings:
-    """``rank`` latent dimensions from ``rank + spare`` random directions; a candidate has a cosine of ``cosine``.
+    """``rank`` latent dimensions from ``rank + spare`` random directions; a candidate has a cosine of ``cosine``
+    (less for items shorter than a window, in proportion to the root of their length).
 
     A candidate is a leak if the longest common subsequence covers ``copied`` of the item's words, or
     ``rephrased`` of them and the answer is found: ``answered`` of the item's answer (or, without
     one, of its rarest third of words) occurs in the same place.
     """
-    rank: int = 96
+    rank: int = 64
     spare: int = 8
     cosine: float = 0.6
     copied: float = 0.8
@@ -41,25 +42,30 @@ class Settings:
     seed: int = 11
 
 
-def word_ids(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """32-bit hashes of the lower-case words (runs of letters and digits) of a text."""
-    words = WORD.findall((text or "").lower())
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh32_intdigest(w)
-    out = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+def word_ids(text: str | None, known: dict[str, bytes]) -> bytes:
+    """32-bit hashes of the lower-case words (runs of letters and digits) of a text, as bytes.
+
+    ``known`` caches the hashes of each run between white space; no word crosses white space.
+    """
+    runs = (text or "").lower().split()
+    for run in set(runs).difference(known):
+        known[run] = b"".join(map(xxhash.xxh32_digest, WORD.findall(run)))
+    out = b"".join(map(known.__getitem__, runs))
     if len(known) > CACHE_WORDS:
         known.clear()
     return out
 
 
-def encoded(docs: DataFrame) -> DataFrame:
+def encoded(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` with __row (a number of the row) and __ids (word hashes of the whole text), stored."""
     @F.pandas_udf(T.BinaryType())
-    def ids(texts: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-        return pd.Series([word_ids(t, known).tobytes() for t in texts], dtype=object)
+    def ids(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, bytes] = {}
+        for texts in columns:
+            yield pd.Series([word_ids(t, known) for t in texts], dtype=object)
 
-    return stable(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__ids", ids(F.col("text"))))
+    coded = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__ids", ids(F.col("text")))
+    return stable(coded if keep_text else coded.drop("text"))
 
 
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -102,7 +108,13 @@ def passage_weights(coded: DataFrame) -> np.ndarray:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, passages = np.zeros(FEATURES, np.int64), 0
         for features, number, n in _batches(frames):
-            seen += np.bincount(np.unique(number * FEATURES + features) % FEATURES, minlength=FEATURES)
+            place = np.arange(len(features)) - np.flatnonzero(np.diff(number, prepend=-1))[number]
+            rows = np.full((n, PASSAGE), FEATURES, np.uint16)
+            rows[number, place] = features
+            rows.sort(axis=1)
+            fresh = np.ones_like(rows, bool)
+            fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
+            seen += np.bincount(rows[fresh], minlength=FEATURES + 1)[:FEATURES]
             passages += n
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"slot": np.append(at, -1), "n": np.append(seen[at], passages)})
@@ -173,25 +185,36 @@ def common_length(masks: dict[int, int], size: int, words: list[int]) -> int:
 class _Items:
     """A block of benchmark items, with the latent vectors of their passages."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray | None]], basis: np.ndarray, idf: np.ndarray, settings: Settings):
+    def __init__(self, items: list[tuple[int, np.ndarray, ...]], basis: np.ndarray, idf: np.ndarray, settings: Settings):
         self.settings, self.items, vectors, self.owner, self.offset = settings, [], [], [], []
-        for item_id, ids, answer in items:
+        for item_id, ids, *answer in items:
             n = len(ids)
             if not n:
                 continue
             features = (ids & np.uint32(FEATURES - 1)).astype(np.int64)
-            for start in sorted({*range(0, max(1, n - PASSAGE + 1), CELL), max(0, n - PASSAGE)}):
+            for start in sorted({*range(0, max(1, n - PASSAGE + 1), PASSAGE // 2), max(0, n - PASSAGE)}):
                 vectors.append(basis[features[start:start + PASSAGE]].sum(axis=0))
                 self.owner.append(len(self.items))
                 self.offset.append(start)
             masks: dict[int, int] = {}
             for k, w in enumerate(ids.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << k
-            if answer is None or not len(answer):
+            key = set(answer[0].tolist()) if answer else set()
+            if not key:
                 rare = sorted(masks, key=lambda w: (-idf[w & FEATURES - 1], w))
-                answer = np.array(rare[:max(3, len(rare) // 3)])
-            self.items.append((item_id, ids, masks, set(answer.tolist())))
+                key = set(rare[:max(3, len(rare) // 3)])
+            self.items.append((item_id, ids, masks, key))
         self.vectors = _unit(np.array(vectors, np.float32).reshape(-1, basis.shape[1]))
+        # features of each item, and how many words of a window must be among them: of a place that holds
+        # ``rephrased`` of the item, a window at most half a cell off has three quarters of that share
+        self.table = np.zeros((max(1, len(self.items)), FEATURES + 1), bool)
+        for k, (_, ids, _, _) in enumerate(self.items):
+            self.table[k, (ids & np.uint32(FEATURES - 1)).astype(np.int64)] = True
+        self.least = np.array([0.75 * settings.rephrased * min(len(ids), PASSAGE) for _, ids, _, _ in self.items])
+        self.owners = np.array(self.owner, np.int64)
+        # a short item fills a part of a window only, and its cosine falls with the root of that part
+        sizes = np.array([min(len(ids), PASSAGE) for _, ids, _, _ in self.items], np.float32)
+        self.limits = settings.cosine * np.sqrt(sizes[self.owners] / PASSAGE)
 
     def check(self, ids: np.ndarray, start: int, segment: int) -> tuple | None:
         """(item, share of common subsequence, share of answer, first, last word) if the place around a window holds the item."""
@@ -214,15 +237,22 @@ class _Items:
             return item_id, share, answered, first, first + len(place)
         return None
 
-    def find(self, ids: np.ndarray, at: int, cells: np.ndarray) -> dict[int, tuple]:
-        """item -> (cosine, common share, answer share, first, last) of the best place; ``cells`` begin at word ``at`` of the document."""
+    def find(self, ids: np.ndarray, at: int, features: np.ndarray, cells: np.ndarray) -> dict[int, tuple]:
+        """item -> (cosine, common share, answer share, first, last) of the best place; ``features`` and ``cells`` begin at word ``at``."""
         best: dict[int, tuple] = {}
         windows = cells.copy()
         for k in range(1, CELLS):
             windows[:-k] += cells[k:]
         near = _unit(windows) @ self.vectors.T
-        for w, g in zip(*np.nonzero(near >= self.settings.cosine)):
-            hit = self.check(ids, at + int(w) * CELL, int(g))
+        flat = np.flatnonzero((near >= self.limits).ravel())
+        if not len(flat):
+            return best
+        w, g = flat // near.shape[1], flat % near.shape[1]
+        padded = np.append(features, np.full(PASSAGE + CELL, FEATURES))
+        shared = self.table[self.owners[g][:, None], padded[(w * CELL)[:, None] + np.arange(PASSAGE)]].sum(axis=1)
+        enough = shared >= self.least[self.owners[g]]
+        for w, g in zip(w[enough].tolist(), g[enough].tolist()):
+            hit = self.check(ids, at + w * CELL, g)
             if hit and (hit[0] not in best or (hit[1], float(near[w, g])) > (best[hit[0]][1], best[hit[0]][0])):
                 best[hit[0]] = (float(near[w, g]), *hit[1:])
         return best
@@ -240,9 +270,9 @@ def leaks(coded: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
     """
     idf = passage_weights(coded)
     basis = latent_basis(coded, idf, settings)
-    known: dict[str, int] = {}
-    with_answer = "answer" in benchmark.columns
-    rows = benchmark.select(F.col("item_id").cast("long"), "text", *(["answer"] if with_answer else [])).toLocalIterator()
+    known: dict[str, bytes] = {}
+    columns = ["text", "answer"] if "answer" in benchmark.columns else ["text"]
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), *columns).toLocalIterator()
 
     def search(block: list[tuple]) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,7 +287,7 @@ def leaks(coded: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
                         part = (ids[at:at + step + PASSAGE - CELL] & np.uint32(FEATURES - 1)).astype(np.int64)
                         n = -(-len(part) // CELL)
                         cells = _sum_rows(basis, part, np.arange(len(part)) // CELL, n)
-                        for item, hit in items.find(ids, at, cells).items():
+                        for item, hit in items.find(ids, at, part, cells).items():
                             if item not in found or hit[1::-1] > found[item][1::-1]:
                                 found[item] = hit
                     out += [(row, item, *hit) for item, hit in found.items()]
@@ -267,7 +297,7 @@ def leaks(coded: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
 
     found, block = None, []
     for r in rows:
-        block.append((r["item_id"], word_ids(r["text"], known), word_ids(r["answer"], known) if with_answer else None))
+        block.append((r["item_id"], *(np.frombuffer(word_ids(r[c], known), np.uint32) for c in columns)))
         if len(block) == settings.items_per_block:
             found = search(block) if found is None else found.unionByName(search(block))
             block = []
@@ -282,7 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     Null and empty texts and items never match. Items of equal text are all reported; repeated rows are
     reported once each. With an empty table of either kind the result is empty.
     """
-    coded = encoded(docs.select("doc_id", "text")).drop("text")
+    coded = encoded(docs.select("doc_id", "text"), keep_text=False)
     return coded.select("__row", "doc_id").join(leaks(coded, benchmark, settings), "__row").drop("__row")
 
 
