@@ -187,7 +187,7 @@ def surprise_from_actuals(spark, sf_dir):
     "SELECT ticker, CASE WHEN COUNT(CASE WHEN k <= 4 THEN amt END) = 4 THEN SUM(CASE WHEN k <= 4 THEN amt END) ELSE 7e0 END AS ttm_div FROM (SELECT ticker, CASE WHEN amount <> 5 THEN amount * 1e0 END AS amt, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY ex_date DESC) AS k FROM dividends) GROUP BY 1"))
 def dividend_fallback(spark, sf_dir):
     """A quarterly payment of 5 is treated as unknown: those tickers fall back to the annual row of 7."""
-    q = V.dividends(spark, sf_dir).select("ticker", F.lit("quarterly").alias("kind"), F.col("ex_date").alias("paid_on"), F.when(F.col("amount") != 5, F.col("amount").cast("double")).alias("amount"))
+    q = V.dividends(spark, sf_dir).select("ticker", F.lit("quarterly").alias("kind"), F.col("ex_date").alias("paid_on"), F.when(F.col("amount") != 0.05, (F.col("amount") * 100).cast("double")).alias("amount"))
     a = V.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ticker"), F.lit("annual").alias("kind"), F.lit("2001-12-31").cast("date").alias("paid_on"), F.lit(7.0).alias("amount"))
     return U.quarterly_or_annual_dividend(q.unionByName(a.join(q.select("ticker").distinct(), "ticker", "left_semi")))
 
@@ -195,8 +195,8 @@ def dividend_fallback(spark, sf_dir):
 # ---- payloads ---------------------------------------------------------------------------------------
 
 @query("insight_trends", "FUN-14 SRC-17 WIN-25", compose(
-    f"""SELECT ticker, MAX(period_end) AS latest, {r("MAX_BY(nm, period_end)")} AS net_margin, CASE WHEN ABS(MAX_BY(nm, period_end) - MIN_BY(nm, period_end)) <= 0.005e0 THEN 'flat' WHEN MAX_BY(nm, period_end) > MIN_BY(nm, period_end) THEN 'up' ELSE 'down' END AS margin_trend,
- CASE WHEN ABS(MAX_BY(revenue, period_end) - MIN_BY(revenue, period_end)) <= 0.03e0 * ABS(MIN_BY(revenue, period_end)) THEN 'flat' WHEN MAX_BY(revenue, period_end) > MIN_BY(revenue, period_end) THEN 'up' ELSE 'down' END AS revenue_trend FROM (
+    f"""SELECT ticker, MAX(period_end) AS latest, {r("MAX_BY(nm, period_end)")} AS net_margin, CASE WHEN COUNT(nm) < 2 THEN NULL WHEN ABS(MAX_BY(nm, period_end) - MIN_BY(nm, period_end)) <= 0.005e0 THEN 'flat' WHEN MAX_BY(nm, period_end) > MIN_BY(nm, period_end) THEN 'up' ELSE 'down' END AS margin_trend,
+ CASE WHEN COUNT(revenue) < 2 THEN NULL WHEN ABS(MAX_BY(revenue, period_end) - MIN_BY(revenue, period_end)) <= 0.03e0 * ABS(MIN_BY(revenue, period_end)) THEN 'flat' WHEN MAX_BY(revenue, period_end) > MIN_BY(revenue, period_end) THEN 'up' ELSE 'down' END AS revenue_trend FROM (
  SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, revenue, net_income / revenue AS nm FROM annual) GROUP BY 1"""))
 def insight_trends(spark, sf_dir):
     """Chart payloads per ticker (periods and parallel series) back to fiscal rows and their trends."""
@@ -211,7 +211,8 @@ def insight_trends(spark, sf_dir):
     ends = lambda c: (F.min_by(c, F.when(F.col(c).isNotNull(), F.col("period_end"))), F.max_by(c, F.when(F.col(c).isNotNull(), F.col("period_end"))))
     (m0, m1), (r0, r1) = ends("net_margin"), ends("revenue")
     return d.groupBy("ticker").agg(F.max("period_end").alias("latest"), F.round(F.max_by("net_margin", "period_end"), 6).alias("net_margin"),
-                                   MC.trend_direction(m0, m1, min_delta=0.005).alias("margin_trend"), MC.trend_direction(r0, r1, min_rel=0.03).alias("revenue_trend"))
+                                   MC.trend_direction(m0, m1, F.count("net_margin"), min_delta=0.005).alias("margin_trend"),
+                                   MC.trend_direction(r0, r1, F.count("revenue"), min_rel=0.03).alias("revenue_trend"))
 
 
 def footnotes(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
 from ..operators import asof as A, filters as L, fundamentals as U, holdings as H, macro as MC, ranking as R, risk as K, scoring as S, technicals as T
@@ -49,9 +49,9 @@ def listing_fields(spark, sf_dir):
 
 # ---- assets at their last session ---------------------------------------------------------------
 _HS = "CASE p.sector " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.HOUSE_SECTOR.items()) + " ELSE p.sector END"
-#: last-session features: statements known on the common last day, everything of a stock and a fund in one row
+#: last-session features: statements known on the newest day of all, everything of a stock and a fund in one row
 _NOW = {
-    "lastday": "SELECT latest_common AS snapshot FROM common",
+    "lastday": "SELECT MAX(session) AS snapshot FROM trades",
     "now0": f"SELECT t.ticker, d.snapshot, t.session, t.close AS price, t.n AS bars, {SQ._carry}, macd_line, macd_histogram FROM tech t JOIN macd m ON m.ticker = t.ticker AND m.n = t.n JOIN lastday d ON d.snapshot >= t.session AND (t.next IS NULL OR d.snapshot < t.next)",
     "now_surprises": SQ.V["surprises"].replace("snaprows", "now0"),
     "now_in": SQ.V["inputs_classic"].replace("snaprows", "now0").replace("surprises", "now_surprises"),
@@ -75,9 +75,9 @@ _NOW["all_q"] = "SELECT ticker, symbol, asset_type, sector, region, currency, ma
 
 
 def assets(spark, sf_dir):
-    """Stocks and funds in one table, described on the last common session."""
+    """Stocks and funds in one table, each described at its own last session."""
     m = market(spark, sf_dir)
-    day = A.latest_common_end(m.sessions).select(F.array("latest_common").alias("dates"))
+    day = A.latest_end(m.sessions).select(F.array("latest").alias("dates"))
     f = U.historical_features(T.features_at(m.prices, day), m.annual, m.dividends, m.earnings, CFG.lag_days, None)
     f = f.withColumnRenamed("market_cap", "_cap").drop("total_assets", "_visible", "quarter")
     p = V.profiles(spark, sf_dir).withColumn("sector", L.house_sector(F.col("sector")))
@@ -90,7 +90,7 @@ def assets(spark, sf_dir):
 @query("fund_features", "FUN-9 SCL-M11 SCL-M8 SCL-M10", compose(
     f"SELECT ticker, {r('return_3m')} AS return_3m, {r('return_6m')} AS return_6m, {r('volatility_1y')} AS volatility_1y, {r('sharpe_proxy')} AS sharpe_proxy, yield, expense_ratio FROM assets WHERE asset_type = 'ETF'", **_NOW))
 def fund_features(spark, sf_dir):
-    """Funds at their last common session; the yield is a decimal already, so it passes unchanged."""
+    """Funds at their last session; the yield is a decimal already, so it passes unchanged."""
     d = assets(spark, sf_dir).filter("asset_type = 'ETF'")
     return d.select("ticker", *rounded(d, "return_3m", "return_6m", "volatility_1y", "sharpe_proxy"), "yield", "expense_ratio")
 
@@ -150,7 +150,7 @@ def report_page(spark, sf_dir):
 @query("session_labels", "AGG-18", compose("SELECT COUNT(DISTINCT session) AS sessions, MIN(session) AS first_session, MAX(session) AS last_session FROM now0", **_NOW))
 def session_labels(spark, sf_dir):
     m = market(spark, sf_dir)
-    day = A.latest_common_end(m.sessions).select(F.array("latest_common").alias("dates"))
+    day = A.latest_end(m.sessions).select(F.array("latest").alias("dates"))
     d = SC.session_labels(T.features_at(m.prices, day))
     return d.select(F.size("sessions").cast("bigint").alias("sessions"), F.get("sessions", F.lit(0)).alias("first_session"), F.element_at("sessions", -1).alias("last_session"))
 
@@ -288,26 +288,32 @@ def customer_concentration(spark, sf_dir):
     return K.concentration_signals(shares, alert=0.15, watch=0.08).select("ticker", "severity", "label", "detail")
 
 
+def _newest(d, period: str):
+    """The rows of each filer's newest period."""
+    return d.withColumn("_newest", F.max(period).over(Window.partitionBy("ticker"))).filter(F.col(period) == F.col("_newest")).drop("_newest")
+
+
 @query("geography_concentration", "RSK-9 TOP-7", compose(
-    "SELECT ticker, printf('%.0f%%', value * 100e0 / total) || ' of revenue from ' || party AS detail FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY value DESC, party DESC) AS k FROM customer_shares WHERE period_end = DATE '2000-12-31') WHERE k = 1 AND CAST(value AS DOUBLE) / total >= 0.10e0"))
+    "SELECT ticker, printf('%.0f%%', value * 100e0 / total) || ' of revenue from ' || party AS detail FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY value DESC, party DESC) AS k FROM customer_shares c WHERE period_end = (SELECT MAX(period_end) FROM customer_shares m WHERE m.ticker = c.ticker)) WHERE k = 1 AND CAST(value AS DOUBLE) / total >= 0.10e0"))
 def geography_concentration(spark, sf_dir):
-    d = V.customer_shares(spark, sf_dir).filter(F.col("period_end") == "2000-12-31")
+    shares = V.customer_shares(spark, sf_dir)
+    d = _newest(shares, "period_end")
     leaves = d.select("ticker", "party", F.col("value").cast("double").alias("value"))
-    revenue = V.annual_cents(spark, sf_dir).filter(F.col("period_end") == "2000-12-31").select("ticker", F.col("revenue").cast("double").alias("revenue"))
+    revenue = d.groupBy("ticker").agg(F.max("total").cast("double").alias("revenue"))
     return K.geography_signals(leaves, revenue, watch=0.10).select("ticker", "detail")
 
 
 @query("product_concentration", "RSK-10 RSK-11 TOP-7", compose(
     """SELECT ticker, 'Product revenue concentration' AS label, printf('%.0f%%', value * 100e0 / total) || ' of revenue from ' || product AS detail FROM (SELECT *, SUM(value) OVER (PARTITION BY ticker) AS total, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY value DESC, product DESC) AS k
- FROM product_sales WHERE fiscal_year = 2000) WHERE k = 1 AND CAST(value AS DOUBLE) / CAST(total AS DOUBLE) >= 0.25e0
+ FROM product_sales c WHERE fiscal_year = (SELECT MAX(fiscal_year) FROM product_sales m WHERE m.ticker = c.ticker)) WHERE k = 1 AND CAST(value AS DOUBLE) / CAST(total AS DOUBLE) >= 0.25e0
  UNION ALL SELECT ticker, 'Segment revenue concentration', printf('%.0f%%', value * 100e0 / total) || ' of revenue from the ' || product || ' segment' FROM (SELECT *, SUM(value) OVER (PARTITION BY ticker) AS total, COUNT(*) OVER (PARTITION BY ticker) AS c,
- ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY value DESC, product DESC) AS k FROM product_sales WHERE fiscal_year = 1999) WHERE k = 1 AND c >= 2 AND CAST(value AS DOUBLE) / CAST(total AS DOUBLE) >= 0.25e0"""))
+ ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY value DESC, product DESC) AS k FROM product_sales c WHERE fiscal_year = (SELECT MAX(fiscal_year) FROM product_sales m WHERE m.ticker = c.ticker)) WHERE k = 1 AND c >= 2 AND CAST(value AS DOUBLE) / CAST(total AS DOUBLE) >= 0.25e0"""))
 def product_concentration(spark, sf_dir):
-    p = V.product_sales(spark, sf_dir)
-    year = lambda y, name: p.filter(F.col("fiscal_year") == y).select("ticker", F.col("product").alias(name), F.col("value").cast("double").alias("value"))
-    revenue = V.annual_cents(spark, sf_dir).filter(F.col("period_end") == "2000-12-31").select("ticker", F.col("revenue").cast("double").alias("revenue"))
-    a = K.product_signals(year(2000, "product"), revenue, watch=0.25)
-    return a.unionByName(K.segment_signals(year(1999, "segment"), watch=0.25)).select("ticker", "label", "detail")
+    p = _newest(V.product_sales(spark, sf_dir), "fiscal_year")
+    newest = lambda name: p.select("ticker", F.col("product").alias(name), F.col("value").cast("double").alias("value"))
+    revenue = p.groupBy("ticker").agg(F.sum("value").cast("double").alias("revenue"))
+    a = K.product_signals(newest("product"), revenue, watch=0.25)
+    return a.unionByName(K.segment_signals(newest("segment"), watch=0.25)).select("ticker", "label", "detail")
 
 
 @query("local_risk_signals", "RSK-1 TOP-4 JOIN-25", compose(

@@ -107,8 +107,8 @@ V["universe"] = """SELECT CASE WHEN asset_type = 'ETF' THEN k + 4 ELSE k END AS
  UNION ALL SELECT 4, 'stocks', 'consensus', ticker, 't' || ticker FROM profiles WHERE ticker % 3 = 0 AND asset_type = 'STOCK'"""
 V["aliases"] = "SELECT 'T' || s_suppkey AS alias, 'T' || (s_suppkey - 1) AS canonical FROM supplier WHERE s_suppkey % 50 = 7"
 V["holdings"] = """SELECT manager, 'S.' || ticker AS symbol, CAST((ext * 10000) // SUM(ext) OVER (PARTITION BY manager) AS BIGINT) AS bps FROM (
- SELECT o_custkey % 82 AS manager, ticker, CAST(SUM(ext) AS BIGINT) AS ext FROM trades JOIN orders ON orderkey = o_orderkey
- WHERE session >= DATE '2001-01-01' AND session < DATE '2002-01-01' GROUP BY 1, 2)"""
+ SELECT manager, ticker, ext FROM (SELECT o_custkey % 82 AS manager, date_trunc('quarter', session) AS quarter, ticker, CAST(SUM(ext) AS BIGINT) AS ext, MAX(date_trunc('quarter', session)) OVER (PARTITION BY o_custkey % 82) AS newest
+ FROM trades JOIN orders ON orderkey = o_orderkey GROUP BY 1, 2, 3) WHERE quarter = newest)"""
 V["customer_shares"] = """SELECT ticker, period_end, party, value, total, CAST(value AS DOUBLE) / CAST(total AS DOUBLE) AS share FROM (
  SELECT ticker, make_date(year(session), 12, 31) AS period_end, n_name AS party, CAST(SUM(ext) AS BIGINT) AS value,
  CAST(SUM(SUM(ext)) OVER (PARTITION BY ticker, make_date(year(session), 12, 31)) AS BIGINT) AS total FROM trades JOIN orders ON orderkey = o_orderkey
@@ -135,9 +135,9 @@ V["tech"] = """SELECT ticker, session, next, close, n, close / prev - 1 AS daily
  sma200, close / sma200 - 1 AS price_vs_sma200, sma200 / LAG(sma200, 125) OVER w - 1 AS sma200_slope,
  CASE WHEN n >= 252 THEN sd * SQRT(252e0) END AS volatility_1y, CASE WHEN n >= 60 THEN sd * SQRT(252e0) END AS volatility_research,
  CASE WHEN n < 35 THEN NULL WHEN al = 0 THEN 100e0 ELSE 100e0 - 100e0 / (ag / al + 1e0) END AS rsi_14,
- CASE WHEN n >= 2 THEN MIN(close) OVER u END AS week52_low, CASE WHEN n >= 2 THEN MAX(close) OVER u END AS week52_high,
+ CASE WHEN n >= 2 THEN MIN(close) OVER y END AS week52_low, CASE WHEN n >= 2 THEN MAX(close) OVER y END AS week52_high,
  CASE WHEN n >= 2 THEN close / MAX(close) OVER y - 1 END AS pct_off_high FROM tech0
- WINDOW w AS (PARTITION BY ticker ORDER BY session), u AS (PARTITION BY ticker ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+ WINDOW w AS (PARTITION BY ticker ORDER BY session),
  y AS (PARTITION BY ticker ORDER BY session ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"""
 V["macd"] = """SELECT ticker, n, CASE WHEN n >= 35 THEN (fast - slow) / close END AS macd_line,
  CASE WHEN n >= 35 THEN ((fast - slow) - sig) / close END AS macd_histogram FROM ema"""

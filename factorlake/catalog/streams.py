@@ -17,6 +17,18 @@ def _events(spark, sf_dir):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _in_batches(spark, sf_dir, files: int = 4):
+    """The events as several files, read one per micro-batch."""
+    events = V.read(spark, sf_dir, "events")
+    source = f"{_folder(spark)}/events"
+    events.repartition(files).write.parquet(source)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _feed(stream, apply, state: str) -> None:
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
 def _folder(spark) -> str:
     """A new folder below the shared checkpoint directory."""
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -42,19 +54,22 @@ def stream_filing_pulse(spark, sf_dir):
     return _drain(spark, ST.filing_pulse(f))
 
 
-@query("stream_latest_per_key", "STR-4", "SELECT DISTINCT event_type, user_id FROM events")
+@query("stream_latest_per_key", "STR-4", """SELECT event_type, user_id, MAX_BY(value, (ts, event_id)) AS value, MAX_BY(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2
+ HAVING MAX(ts) >= (SELECT MAX(ts) FROM events) - INTERVAL 10 DAY""")
 def stream_latest_per_key(spark, sf_dir):
-    d = ST.latest_per_key(_events(spark, sf_dir).select("ts", "event_type", "user_id"), ["event_type", "user_id"])
-    return _drain(spark, d).select("event_type", "user_id")
+    """Several micro-batches; keys without a record in the last ten days have expired."""
+    base = _folder(spark)
+    keys, order = ["event_type", "user_id"], ["ts", "event_id"]
+    e = _in_batches(spark, sf_dir).select("ts", "event_id", "event_type", "user_id", "value")
+    _feed(e, ST.append_batches(f"{base}/latest", lambda d: ST.newest_per_key(d, keys, order)), f"{base}/state")
+    return ST.latest_per_key(spark, f"{base}/latest", keys, order, ttl_days=10).select("event_type", "user_id", "value", "event_id")
 
 
-@query("stream_bar_upsert", "STR-2 JOIN-17", """SELECT event_type AS ticker, CAST(ts AS DATE) AS session, MAX_BY(value, (CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END, ts)) AS close,
+@query("stream_bar_upsert", "STR-2 JOIN-17", """SELECT event_type AS ticker, CAST(ts AS DATE) AS session, MAX_BY(value, (CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END, ts, value)) AS close,
  CASE WHEN MAX(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END) = 1 THEN 'bar' ELSE 'quote' END AS origin FROM events GROUP BY 1, 2""")
 def stream_bar_upsert(spark, sf_dir):
     base = _folder(spark)
-    e = _events(spark, sf_dir).select(F.col("event_type").alias("ticker"), F.to_date("ts").alias("session"), F.col("value").alias("close"),
-                                      F.when(F.col("event_id") % 3 == 0, "quote").otherwise("bar").alias("origin"), F.col("ts").alias("seen_at"))
-    q = (e.writeStream.foreachBatch(ST.bar_upsert(f"{base}/bars")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{base}/bars/v={last}").select("ticker", "session", "close", "origin")
+    e = _in_batches(spark, sf_dir).select(F.col("event_type").alias("ticker"), F.to_date("ts").alias("session"), F.col("value").alias("close"),
+                                          F.when(F.col("event_id") % 3 == 0, "quote").otherwise("bar").alias("origin"), F.col("ts").alias("seen_at"))
+    _feed(e, ST.bar_upsert(f"{base}/bars"), f"{base}/state")
+    return ST.read_bars(spark, f"{base}/bars").select("ticker", "session", "close", "origin")

@@ -47,7 +47,7 @@ def latest_block(text: Column | str) -> Column:
     def year(b):
         return F.coalesce(first_number(b, "fiscalYear"), F.lit(float("-inf")))
     best = F.aggregate(
-        F.slice(listed, 2, 1_000_000), F.get(listed, F.lit(0)),
+        F.slice(listed, F.lit(2), F.size(listed)), F.get(listed, F.lit(0)),
         lambda acc, b: F.when(year(b) > year(acc), b).otherwise(acc))
     return F.when(F.size(listed) > 0, best).otherwise(as_map)
 

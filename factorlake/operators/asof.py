@@ -45,6 +45,11 @@ def n_back(periods: Column, n: int) -> Column:
     return F.get(periods, F.lit(n))
 
 
+def latest_end(sessions: DataFrame) -> DataFrame:
+    """One row: the newest session of all. As of that day every asset stands at its own last bar."""
+    return sessions.agg(F.max("session").alias("latest"))
+
+
 def latest_common_end(sessions: DataFrame, key: str = "ticker") -> DataFrame:
     """One row: the earliest of the last sessions."""
     return sessions.groupBy(key).agg(F.max("session").alias("s")).agg(F.min("s").alias("latest_common"))
@@ -66,16 +71,17 @@ def snapshot_grid(tickers: DataFrame, dates: DataFrame, key: str = "ticker") ->
 
 
 def amounts_by_ticker(dividends: DataFrame, key: str = "ticker") -> DataFrame:
-    """One row per ticker: its payments (one per ex-date, calendar bound)."""
-    per_day = dividends.groupBy(key, "ex_date").agg(F.sum("amount").alias("amount"))
+    """One row per ticker: its payments in currency (one per ex-date, calendar bound); decimals add up exactly in any order."""
+    per_day = dividends.groupBy(key, "ex_date").agg(F.sum(F.col("amount").cast("decimal(28,10)")).cast("decimal(28,10)").alias("amount"))
     return per_day.groupBy(key).agg(F.collect_list(F.struct("ex_date", "amount")).alias("payments"))
 
 
 def paid_between(payments: Column, start: Column, end: Column) -> Column:
     """Sum over ``[start, end)``; 0 when nothing was paid."""
     inside = F.filter(payments, lambda p: (p["ex_date"] >= start) & (p["ex_date"] < end))
-    zero = F.lit(0).cast("bigint")
-    return F.coalesce(F.aggregate(inside, zero, lambda a, p: a + p["amount"].cast("bigint")), zero)
+    zero = F.lit(0).cast("decimal(28,10)")
+    total = F.aggregate(inside, zero, lambda a, p: (a + F.coalesce(p["amount"].cast("decimal(28,10)"), zero)).cast("decimal(28,10)"))
+    return F.coalesce(total.cast("double"), F.lit(0.0))
 
 
 def reports_by_ticker(earnings: DataFrame, key: str = "ticker") -> DataFrame:

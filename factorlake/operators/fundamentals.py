@@ -89,7 +89,7 @@ def historical_features(at: DataFrame, facts: DataFrame, dividends: DataFrame, e
     else:
         visible, anchor = asof.filed_by(F.col("periods"), snap), snap
     d = (d.withColumn("_visible", visible)
-         .withColumn("ttm_div", asof.paid_between(F.col("payments"), F.date_sub(anchor, 365), anchor) / 100.0)
+         .withColumn("ttm_div", asof.paid_between(F.col("payments"), F.date_sub(anchor, 365), anchor))
          .withColumn("eps_surprise", asof.mean_surprise(F.col("reports"), F.date_sub(snap, lag_days))))
     kept = [c for c in d.columns if c not in ("periods", "payments", "reports")]
     d = d.select(*kept, *lagged_inputs(F.col("_visible")))

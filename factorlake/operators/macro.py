@@ -111,8 +111,8 @@ def filing_pulse(filings: DataFrame, until: Column, days: int = 30, k: int = 5)
     return counts.join(names, "kind", "left")
 
 
-def trend_direction(first: Column, last: Column, min_delta: float = 0.0, min_rel: float = 0.0) -> Column:
-    """'up', 'down' or 'flat' between the first and last known value of a series; NULL when one is missing."""
+def trend_direction(first: Column, last: Column, known: Column, min_delta: float = 0.0, min_rel: float = 0.0) -> Column:
+    """'up', 'down' or 'flat' between the first and last of the ``known`` values of a series; NULL below two of them."""
     limit = F.greatest(F.lit(min_delta), F.abs(first) * min_rel)
     move = last - first
-    return F.when(F.abs(move) <= limit, "flat").when(move > 0, "up").when(move < 0, "down")
+    return F.when(known < 2, F.lit(None)).when(F.abs(move) <= limit, "flat").when(move > 0, "up").when(move < 0, "down")

@@ -1,75 +1,45 @@
 """Ranks over whole cross-sections without ever putting a cross-section into one task.
 
 A snapshot can hold billions of assets and one score value (the neutral cap) a third of them, so an
-ordinary ``rank() over (partition by date)`` would need one task per date.  Here rows are counted per
-cell (group, value, slice of the tie-break key); cells are ordered in two levels, inside a value
-bucket and across buckets, and every row then only meets the rows of its own cell.
+ordinary ``rank() over (partition by date)`` would need one task per date.  Here rows are sorted by
+range on (group, value, key) and counted per range; a range then only needs the number of rows before
+it.  The key takes part in the ranges, so the rows of one hot value spread over several of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stable
 
-#: Buckets per power of two of the value, and keys per tie slice: both bound what one task sorts.
-PER_OCTAVE = 4096
-KEYS_PER_SLICE = 65_536
-#: Rows of a group up to which one window ranks it.
-PLAIN_LIMIT = 1_000_000
 
-
-def value_bucket(v: Column) -> Column:
-    """A bucket number that never decreases with ``v``: sign and logarithm of the magnitude."""
-    magnitude = F.floor(F.log2(F.abs(v)) * PER_OCTAVE) + PER_OCTAVE * 1100
-    return F.when(v == 0, F.lit(0).cast("bigint")).otherwise(F.signum(v).cast("bigint") * magnitude.cast("bigint"))
-
-
-def positions(df: DataFrame, group: list[str], value: str, key: str, plain_limit: int = PLAIN_LIMIT) -> DataFrame:
+def positions(df: DataFrame, group: list[str], value: str, key: str) -> DataFrame:
     """Adds ``_below`` (rows with a smaller value), ``_ties`` (rows with this value), ``_ordinal``
     (1-based position by value, then ``key``) and ``_size`` per group.
 
-    ``df`` is read more than once: hand in a stored or checkpointed table.  NULL values get no position.
-    ``key`` is an integer that is unique within the group.  The group sizes are counted first: groups
-    that all fit comfortably into a task are ranked by one window, anything larger by cells.
+    NULL values get no position.  ``key`` is of any type that sorts, unique within the group.  There is one
+    plan for every size: the ranges are stored, so their numbers are fixed, and the windows that order
+    whole groups see one row per range of the group.
     """
-    # adding 0.0 folds -0.0 into 0.0 so that equal values share a cell
+    # adding 0.0 folds -0.0 into 0.0 so that equal values are ties
     d = df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double") + F.lit(0.0))
-    largest = d.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) <= plain_limit:
-        return _windowed_positions(d, group, key)
-    return _celled_positions(d, group, key)
-
-
-def _windowed_positions(d: DataFrame, group: list[str], key: str) -> DataFrame:
-    """One shuffle by group and one sort by (value, key) serve all four numbers."""
-    return d.withColumn("_ordinal", F.row_number().over(Window.partitionBy(*group).orderBy("_v", key)).cast("bigint")).withColumns({
-        "_ties": F.count("*").over(Window.partitionBy(*group, "_v")), "_below": F.min("_ordinal").over(Window.partitionBy(*group, "_v")) - 1,
-        "_size": F.count("*").over(Window.partitionBy(*group))}).drop("_v")
-
-
-def _celled_positions(d: DataFrame, group: list[str], key: str) -> DataFrame:
-    """Cells, then buckets of cells: no task sees a group, not even all rows of one value."""
-    d = d.withColumn("_slice", F.floor(F.col(key) / KEYS_PER_SLICE).cast("bigint"))
-    cells = d.groupBy(*group, "_v", "_slice").agg(F.count("*").alias("_n")).withColumn("_bucket", value_bucket(F.col("_v")))
-    before = Window.unboundedPreceding
-    in_bucket = Window.partitionBy(*group, "_bucket").orderBy("_v", "_slice")
-    same_value = Window.partitionBy(*group, "_bucket", "_v")
-    inner = (cells
-             .withColumn("_inside", F.coalesce(F.sum("_n").over(in_bucket.rowsBetween(before, -1)), F.lit(0)))
-             .withColumn("_ties", F.sum("_n").over(same_value))
-             .withColumn("_below", F.min("_inside").over(same_value)))
-    buckets = cells.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_bn"))
-    across = Window.partitionBy(*group).orderBy("_bucket")
-    offsets = (buckets.withColumn("_off", F.coalesce(F.sum("_bn").over(across.rowsBetween(before, -1)), F.lit(0)))
-               .withColumn("_size", F.sum("_bn").over(Window.partitionBy(*group))).drop("_bn"))
-    placed = (inner.join(offsets, [*group, "_bucket"])
-              .select(*group, "_v", "_slice", (F.col("_inside") + F.col("_off")).alias("_start"),
-                      (F.col("_below") + F.col("_off")).alias("_below"), "_ties", "_size"))
-    cell = Window.partitionBy(*group, "_v", "_slice").orderBy(key)
-    return (d.join(placed, [*group, "_v", "_slice"])
-            .withColumn("_ordinal", F.col("_start") + F.row_number().over(cell))
-            .drop("_v", "_slice", "_start"))
+    d = stable(d.repartitionByRange(*group, "_v", key).withColumn("_range", F.spark_partition_id()))
+    cell = [*group, "_range"]
+    inside = d.withColumns({"_o": F.row_number().over(Window.partitionBy(*cell).orderBy("_v", key)), "_n": F.count("*").over(Window.partitionBy(*cell, "_v"))})
+    inside = inside.withColumn("_first", F.min("_o").over(Window.partitionBy(*cell, "_v")))
+    ranges = d.groupBy(*cell).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_rows")
+    ranges = ranges.select(*cell, before.alias("_before"), F.sum("_rows").over(Window.partitionBy(*group)).alias("_size"))
+    placed = inside.join(ranges, cell).withColumn("_ordinal", F.col("_before") + F.col("_o"))
+    # a value lies whole in most ranges; where it spans several, each of them holds it at one edge
+    values = d.groupBy(*cell, "_v").agg(F.count("*").alias("_m")).join(ranges.select(*cell, "_before"), cell)
+    edge = Window.partitionBy(*cell)
+    edges = values.withColumns({"_lo": F.min("_v").over(edge), "_hi": F.max("_v").over(edge), "_all": F.sum("_m").over(edge)}).filter("_v = _lo OR _v = _hi")
+    start = F.col("_before") + F.when(F.col("_v") == F.col("_lo"), F.lit(0)).otherwise(F.col("_all") - F.col("_m"))
+    whole = Window.partitionBy(*group, "_v")
+    edges = edges.select(*cell, "_v", F.sum("_m").over(whole).alias("_t"), F.min(start).over(whole).alias("_b"))
+    return placed.join(edges, [*cell, "_v"], "left").select(
+        *df.columns, "_ordinal", F.coalesce("_t", "_n").alias("_ties"), F.coalesce("_b", F.col("_before") + F.col("_first") - 1).alias("_below"), "_size")
 
 
 def average_rank(df: DataFrame, group: list[str], value: str, key: str, out: str) -> DataFrame:
@@ -100,19 +70,18 @@ def top_n_many(df: DataFrame, group: list[str], ns: list[int], tie: str = "ticke
     return ranked.withColumn("n", F.explode(cuts))
 
 
-def spearman(df: DataFrame, group: list[str], x: str, y: str, key: str, min_pairs: int = 5,
-             plain_limit: int = PLAIN_LIMIT) -> DataFrame:
+def spearman(df: DataFrame, group: list[str], x: str, y: str, key: str, min_pairs: int = 5) -> DataFrame:
     """Rank correlation per group over rows where both values are known.
 
     Pearson over average ranks; no result below ``min_pairs`` rows or with a constant side.  The mean
-    rank is always (n + 1) / 2, so centred ranks need one pass of plain sums.  ``df`` is read twice.
+    rank is always (n + 1) / 2, so centred ranks need one pass of plain sums.
     """
     def centred(d: DataFrame, value: str, out: str) -> DataFrame:
-        p = positions(d, group, value, key, plain_limit)
+        p = positions(d, group, value, key)
         rank = F.col("_below") + (F.col("_ties") + 1) / 2.0
         return p.withColumn(out, rank - (F.col("_size") + 1) / 2.0).drop("_below", "_ties", "_ordinal", "_size")
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, key, x, y)
-    ranked = centred(stable(centred(both, x, "_rx")), y, "_ry")
+    ranked = centred(centred(both, x, "_rx"), y, "_ry")
     out = ranked.groupBy(*group).agg(
         F.count("*").alias("pairs"), F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"),
         F.sum(F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(F.col("_ry") * F.col("_ry")).alias("_yy"))

@@ -65,13 +65,19 @@ def local_signals(df: DataFrame, key: str = "ticker") -> DataFrame:
 # ---- table forms: one row per item -----------------------------------------------------------
 
 def share_history(shares: DataFrame, key: str = "ticker") -> DataFrame:
-    """Earliest and latest dated share per party; one dated point has no earliest.
+    """Earliest and latest share per party, by date where any point has one, else by ``position``; a single point has no earliest.
 
-    ``shares``: ticker, risk, party, period, share.
+    ``shares``: ticker, risk, party, period, share, and perhaps position (place in the payload). Undated
+    points never count beside dated ones.
     """
-    d = shares.filter(F.col("share").isNotNull())
+    place = F.col("position").cast("long") if "position" in shares.columns else F.lit(0).cast("long")
+    d = shares.filter(F.col("share").isNotNull()).withColumn("_at", F.struct(F.col("period"), place))
+    dated = F.col("period").isNotNull()
+    known = F.when(dated, F.col("_at"))
+    some = F.count_if(dated) > 0
     return d.groupBy(key, "risk", "party").agg(
-        F.max_by("share", "period").alias("latest"), F.when(F.count("*") > 1, F.min_by("share", "period")).alias("earliest"))
+        F.when(some, F.max_by("share", known)).otherwise(F.max_by("share", "_at")).alias("latest"),
+        F.when(some, F.when(F.count_if(dated) > 1, F.min_by("share", known))).otherwise(F.when(F.count("*") > 1, F.min_by("share", "_at"))).alias("earliest"))
 
 
 

@@ -65,7 +65,7 @@ def thin_periods(filings: DataFrame, key: str = "cik", min_days: int = MIN_PERIO
     item = F.struct("end", *[c for c in rest if c != "end"])
     d = filings.groupBy(key).agg(F.reverse(F.array_sort(F.collect_list(item))).alias("p"))
     kept = F.aggregate(
-        F.slice("p", 2, 100_000), F.slice("p", 1, 1),
+        F.slice("p", F.lit(2), F.size("p")), F.slice("p", 1, 1),
         lambda acc, x: F.when(F.datediff(F.element_at(acc, -1)["end"], x["end"]) >= min_days, F.concat(acc, F.array(x))).otherwise(acc))
     return d.select(key, F.explode(kept).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in rest])
 
@@ -104,10 +104,10 @@ def stitch_entities(periods: DataFrame, entities: DataFrame, today: Column) -> D
     short = e.filter(F.col("ticker").isNotNull() & (F.col("n") < MIN_ANNUAL_PERIODS))
     wanted = short.select(F.col("ticker"), F.col("cik").alias("own"), F.col("n").alias("own_n"),
                           F.explode(X.search_variants("name")).alias("q")).withColumn("prefix", norm(F.col("q"))).filter(F.length("prefix") >= 4)
-    # every prefix of a candidate name of 4..50 characters
+    # every prefix of a candidate name of 4 characters or more
     live = e.filter((F.col("kind") == "stock") & (F.datediff(today, F.col("newest")) <= MAX_PERIOD_AGE_DAYS)).withColumn("nn", norm(F.col("name")))
     cand = live.filter(F.length("nn") >= 4).select(F.col("cik").alias("cand"), F.col("n").alias("cand_n"), F.explode(F.transform(
-        F.sequence(F.lit(4), F.least(F.length("nn"), F.lit(50))), lambda k: F.substring("nn", F.lit(1), k))).alias("prefix"))
+        F.sequence(F.lit(4), F.length("nn")), lambda k: F.substring("nn", F.lit(1), k))).alias("prefix"))
     # a prefix shared by many filers keeps its two best: the best one may be the successor itself
     best = Window.partitionBy("prefix").orderBy(F.col("cand_n").desc(), "cand")
     cand = cand.distinct().withColumn("_k", F.row_number().over(best)).filter("_k <= 2").drop("_k")

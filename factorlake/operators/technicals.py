@@ -61,8 +61,7 @@ def _windowed(prices: DataFrame, key: str, with_averages: bool = False) -> DataF
         "ret2": F.coalesce(F.sum(F.col("ret") * F.col("ret")).over(so_far), F.lit(0.0)),
         "rets": F.count("ret").over(so_far),
         "avg_gain": F.avg("gain").over(last14), "avg_loss": F.avg("loss").over(last14),
-        "low_so_far": F.min("close").over(so_far), "high_so_far": F.max("close").over(so_far),
-        "high_252": F.max("close").over(last252)})
+        "low_252": F.min("close").over(last252), "high_252": F.max("close").over(last252)})
     back = TRADING_DAYS - 1
     s1 = F.col("ret1") - F.coalesce(F.lag("ret1", back).over(w), F.lit(0.0))
     s2 = F.col("ret2") - F.coalesce(F.lag("ret2", back).over(w), F.lit(0.0))
@@ -97,8 +96,8 @@ def _finished(d: DataFrame, keep: list[str]) -> DataFrame:
         F.when((F.col("n") >= TRADING_DAYS) & (F.col("_m") > 30), annual_vol).alias("volatility_1y"),
         F.when((F.col("n") >= 60) & (F.col("_m") >= 30), annual_vol).alias("volatility_research"),
         F.when(F.col("n") >= MIN_INDICATOR_BARS, rsi).alias("rsi_14"),
-        F.when(F.col("n") >= 2, F.col("low_so_far")).alias("week52_low"),
-        F.when(F.col("n") >= 2, F.col("high_so_far")).alias("week52_high"),
+        F.when(F.col("n") >= 2, F.col("low_252")).alias("week52_low"),
+        F.when(F.col("n") >= 2, F.col("high_252")).alias("week52_high"),
         F.when(F.col("n") >= 2, _over_past(close, F.col("high_252"))).alias("pct_off_high"),
     )
 

@@ -46,7 +46,7 @@ def report_rows(ranked: DataFrame, rank: str = "rank") -> DataFrame:
     return ranked.select(
         F.col(rank).alias("rank"), F.lower("asset_type").alias("asset_type"), "symbol", F.coalesce("name", F.lit("-")).alias("name"),
         F.coalesce("sector", F.lit("-")).alias("sector"), X.infer_region("symbol").alias("region"), F.col("price"), "daily_change",
-        "return_1m", "return_12m", dividend.alias("dividend_yield"), F.round("total", 2).alias("score"),
+        "return_1m", "return_12m", dividend.alias("dividend_yield"), F.bround("total", 2).alias("score"),
         F.array_join(F.transform(values, lambda v: F.bround(v, 0).cast("bigint").cast("string")), " / ").alias("breakdown"),
         X.top_why("rationale").alias("why"))
 

@@ -171,9 +171,9 @@ def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amount in integer hundredths, one row per ticker and ex-date."""
+    """Amount in currency, one row per ticker and ex-date."""
     t = trades(spark, sf_dir).filter((F.col("flag") == "N") & (F.col("line") == 1))
-    return t.groupBy("ticker", F.col("session").alias("ex_date")).agg(F.sum("disc_pct").alias("amount"))
+    return t.groupBy("ticker", F.col("session").alias("ex_date")).agg((F.sum("disc_pct").cast("decimal(20,0)") / 100).cast("decimal(20,2)").alias("amount"))
 
 
 def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,13 +240,14 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manager weights in basis points of the manager's own total, ship year 2001."""
-    t = trades(spark, sf_dir).filter((F.col("session") >= "2001-01-01") & (F.col("session") < "2002-01-01"))
+    """Manager weights in basis points of the manager's own total, each manager's newest quarter."""
+    t = trades(spark, sf_dir).groupBy("orderkey", "ticker", F.trunc("session", "quarter").alias("quarter")).agg(F.sum("ext").alias("ext"))
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), (F.col("o_custkey") % 82).alias("manager"))
-    per = t.join(o, "orderkey").groupBy("manager", "ticker").agg(F.sum("ext").alias("ext"))
-    # 82 managers: the totals are a table of at most 82 rows
-    totals = per.groupBy("manager").agg(F.sum("ext").alias("total"))
-    return per.join(F.broadcast(totals), "manager").select(
+    quarters = t.join(o, "orderkey").groupBy("manager", "quarter", "ticker").agg(F.sum("ext").alias("ext"))
+    # 82 managers: one row each says which quarter is the newest and what it adds up to
+    per_quarter = quarters.groupBy("manager", "quarter").agg(F.sum("ext").alias("total"))
+    newest = per_quarter.groupBy("manager").agg(F.max("quarter").alias("quarter"), F.max_by("total", "quarter").alias("total"))
+    return quarters.join(newest, ["manager", "quarter"]).select(
         "manager", F.concat(F.lit("S."), F.col("ticker").cast("string")).alias("symbol"),
         F.expr("(ext * 10000) div total").alias("bps"))
 
@@ -267,7 +268,7 @@ def customer_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest-year sales of an asset per part type."""
+    """Sales of an asset per fiscal year and part type."""
     t = trades(spark, sf_dir)
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), F.col("p_type").alias("product"))
     return (t.join(p, "partkey")

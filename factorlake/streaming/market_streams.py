@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import ratio
 
@@ -23,41 +25,58 @@ def filing_pulse(filings: DataFrame, kind: str = "kind", delay: str = "1 day") -
     return d.select(kind, F.to_date("window.end").alias("until"), "filings")
 
 
-def latest_per_key(records: DataFrame, keys: list[str], ttl: str = "15 minutes") -> DataFrame:
-    """First record of a key within its time to live; repeats inside it are dropped with bounded state."""
-    return records.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+def newest_per_key(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The newest record per key; ``order`` ranks the records of a key."""
+    rest = [c for c in records.columns if c not in keys]
+    return records.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
+def append_batches(table: str, merge: Callable[[DataFrame], DataFrame]):
+    """``foreachBatch`` function that writes each micro-batch, merged in itself, to a folder of its own.
+
+    The cost of a batch follows the batch, not the table. A replayed batch rewrites the same folder, so
+    neither a replay nor a lost executor leaves a half-written or doubled batch.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        merge(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    return apply
+
 
+def read_batches(spark: SparkSession, table: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The merged content of all batches; a batch that is missing between others is an error, not an empty table."""
+    d = spark.read.option("recursiveFileLookup", "false").parquet(table)
+    low, high, n = d.select("batch").distinct().agg(F.min("batch"), F.max("batch"), F.count("*")).first()
+    if n and (low != 0 or high != n - 1):
+        raise ValueError(f"{table} lacks batches: {n} of {high + 1} are there")
+    return merge(d.drop("batch"))
 
-def merge_bars(current: DataFrame, batch: DataFrame, key: str = "ticker") -> DataFrame:
-    """Upsert keyed by (ticker, session): a real bar outranks a quote bar, a later one of a kind wins.
+
+def latest_per_key(spark: SparkSession, table: str, keys: list[str], order: list[str], ttl_days: int | None = None, stamp: str = "ts") -> DataFrame:
+    """Newest record per key of the batches below ``table``; keys whose newest record is more than ``ttl_days`` older
+    than the newest of all have expired."""
+    d = read_batches(spark, table, lambda x: newest_per_key(x, keys, order))
+    if ttl_days is None:
+        return d
+    newest = d.agg(F.max(stamp).alias("_now"))
+    return d.filter(F.col(stamp) >= newest.scalar() - F.expr(f"INTERVAL {ttl_days} DAYS"))
+
+
+def merge_bars(bars: DataFrame, key: str = "ticker") -> DataFrame:
+    """One bar per (ticker, session): a real bar outranks a quote bar, a later one of a kind wins, then the higher close.
 
     Columns: key, session, close, origin ('bar' or 'quote'), seen_at.
     """
-    rank = F.struct((F.col("origin") == "bar").cast("int"), F.col("seen_at"))
-    rest = [c for c in current.columns if c not in (key, "session")]
-    return (current.unionByName(batch).groupBy(key, "session")
-            .agg(F.max_by(F.struct(*rest), rank).alias("r")).select(key, "session", "r.*"))
+    ranked = bars.withColumn("_real", (F.col("origin") == "bar").cast("int"))
+    return newest_per_key(ranked, [key, "session"], ["_real", "seen_at", "close"]).drop("_real")
 
 
 def bar_upsert(table: str, key: str = "ticker"):
-    """``foreachBatch`` function that folds each micro-batch into a versioned bar table.
+    """``foreachBatch`` function that adds a micro-batch of bars to the table that ``read_bars`` reads."""
+    return append_batches(table, lambda d: merge_bars(d, key))
 
-    Every batch writes a new version folder named by its id, so a replayed batch rewrites the same
-    folder and a lost executor never leaves a half-written table as the newest version.
-    """
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id > 0:
-            try:
-                previous = spark.read.parquet(f"{table}/v={batch_id - 1}")
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                previous = batch.limit(0)
-        else:
-            previous = batch.limit(0)
-        merge_bars(previous, batch, key).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
-    return apply
+
+def read_bars(spark: SparkSession, table: str, key: str = "ticker") -> DataFrame:
+    return read_batches(spark, table, lambda d: merge_bars(d, key))
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from factorlake import stable
 from factorlake.operators import metrics as M, ranking as R
@@ -23,11 +24,13 @@ def cross_section(spark, seed, hot):
 
 
 @pytest.mark.parametrize("hot", [0.0, 0.4])
-@pytest.mark.parametrize("plain_limit", [0, R.PLAIN_LIMIT])
-def test_positions_match_pandas(spark, hot, plain_limit):
+@pytest.mark.parametrize("as_text", [False, True])
+def test_positions_match_pandas(spark, hot, as_text):
     rows, d = cross_section(spark, 1, hot)
-    got = R.positions(d, ["g"], "v", "k", plain_limit).toPandas()
     want = pd.DataFrame(rows, columns=["g", "k", "v", "y"])
+    if as_text:
+        d, want["k"] = d.withColumn("k", F.concat(F.lit("t"), F.col("k"))), "t" + want["k"].astype(str)
+    got = R.positions(d, ["g"], "v", "k").toPandas()
     want["v"] = want["v"] + 0.0
     want["avg"] = want.groupby("g")["v"].rank()
     want = want.sort_values(["g", "v", "k"])
@@ -36,11 +39,10 @@ def test_positions_match_pandas(spark, hot, plain_limit):
     assert (m["_ordinal"] == m["ord"]).all() and ((m["_below"] + (m["_ties"] + 1) / 2) == m["avg"]).all() and (m["_size"] == 300).all()
 
 
-@pytest.mark.parametrize("plain_limit", [0, R.PLAIN_LIMIT])
-def test_spearman_matches_pandas(spark, plain_limit):
+def test_spearman_matches_pandas(spark):
     rows, d = cross_section(spark, 2, 0.3)
     want = pd.DataFrame(rows, columns=["g", "k", "v", "y"]).dropna()
-    got = {r["g"]: (r["pairs"], r["ic"]) for r in R.spearman(d, ["g"], "v", "y", "k", plain_limit=plain_limit).collect()}
+    got = {r["g"]: (r["pairs"], r["ic"]) for r in R.spearman(d, ["g"], "v", "y", "k").collect()}
     for g, p in want.groupby("g"):
         assert got[g][0] == len(p) and got[g][1] == pytest.approx((p["v"] + 0.0).rank().corr(p["y"].rank()), abs=1e-12)
     flat = spark.createDataFrame([("a", i, 1.0, float(i)) for i in range(9)] + [("b", i, float(i), float(i)) for i in range(4)], "g string, k bigint, v double, y double")

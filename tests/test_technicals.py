@@ -98,7 +98,7 @@ def annual(spark, rows):
 
 def features(spark, rows, snapshot, clock, divs=(), earn=()):
     at = spark.createDataFrame([("A", snapshot, 50.0)], "ticker string, snapshot date, price double")
-    d = spark.createDataFrame(list(divs), "ticker string, ex_date date, amount bigint")
+    d = spark.createDataFrame(list(divs), "ticker string, ex_date date, amount double")
     e = spark.createDataFrame(list(earn), "ticker string, reported_at date, eps_reported double, surprise_pct double")
     return U.historical_features(at, annual(spark, rows), d, e, 60, clock=clock).collect()
 
@@ -136,11 +136,11 @@ def test_sign_guards(spark):
 def test_dividend_window_is_half_open_and_surprise_uses_newest_four(spark):
     rows = [(dt.date(2023, 12, 31), dt.date(2024, 3, 1), BASE)]
     snap = dt.date(2024, 6, 30)
-    divs = [("A", snap - dt.timedelta(days=365), 100), ("A", snap - dt.timedelta(days=366), 1000), ("A", snap, 5000), ("A", snap - dt.timedelta(days=1), 50)]
+    divs = [("A", snap - dt.timedelta(days=365), 0.24), ("A", snap - dt.timedelta(days=366), 10.0), ("A", snap, 50.0), ("A", snap - dt.timedelta(days=1), 0.25)]
     day0 = snap - dt.timedelta(days=60)
     earn = [("A", day0 - dt.timedelta(days=91 * i), 1.0, s) for i, s in enumerate([10.0, 8.0, 6.0, 4.0, 2.0])] + [("A", day0 + dt.timedelta(days=1), 1.0, 99.0)]
     r = features(spark, rows, snap, "filed", divs, earn)[0]
-    assert r["ttm_div"] == pytest.approx(1.5) and r["eps_surprise"] == pytest.approx(7.0)
+    assert r["ttm_div"] == pytest.approx(0.49) and r["eps_surprise"] == pytest.approx(7.0)
 
 
 def test_ttm_needs_four_quarters(spark):
