@@ -142,6 +142,16 @@ def top_n_sweep(spark, sf_dir):
     return d.select("n", "snapshots", "n6", "n12", *rounded(d, *_EM, "avg_holdings"))
 
 
+@query("strategy_evaluation", "EXT-1 PIP-3", compose(
+    f"SELECT snapshots, n6, n12, {_MCOLS} FROM ({X.metrics_sql('held5', '')})",
+    held5="SELECT x.*, b6, b12 FROM (SELECT snapshot, AVG(r6) AS r6, AVG(r12) AS r12, COUNT(*) AS held FROM (SELECT q.snapshot, r6, r12, ROW_NUMBER() OVER (PARTITION BY q.snapshot ORDER BY total DESC, q.ticker) AS k FROM quant_classic q JOIN fwd ON fwd.ticker = q.ticker AND fwd.snapshot = q.snapshot) WHERE k <= 5 GROUP BY 1) x LEFT JOIN bench ON bench.snapshot = x.snapshot"))
+def strategy_evaluation(spark, sf_dir):
+    """A strategy is any transform of the scored rows; here it holds the best five of every review."""
+    m = market(spark, sf_dir)
+    d = E.evaluate_strategy(ranked(spark, sf_dir), E.benchmark_returns(m, E.dates_of(m, CFG)), E.top_strategy(5))
+    return d.select("snapshots", "n6", "n12", *rounded(d, *_EM))
+
+
 BANDS = [(5, 10, 1), (5, 15, 2), (10, 20, 2), (10, 10, 1)]
 
 

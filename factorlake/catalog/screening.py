@@ -33,6 +33,12 @@ def currency_regions(spark, sf_dir):
     return d.groupBy("asset_class", "region", F.col("pool").cast("int").alias("pool")).agg(F.count("*").alias("assets"))
 
 
+@query("us_listings", "FLT-10", compose(
+    f"""SELECT symbol, asset_type FROM (SELECT *, split_part(symbol, '.', 2) AS sfx FROM profiles) WHERE sfx NOT IN ({", ".join(f"'{s}'" for s in (*X.EUROPE_SUFFIXES, *X.ASIA_SUFFIXES))})"""))
+def us_listings(spark, sf_dir):
+    return L.us_only(V.profiles(spark, sf_dir)).select("symbol", "asset_type")
+
+
 @query("listing_fields", "SCL-S3 SCL-S4 SCL-S5 FLT-10 JOIN-11 JOIN-21 FLT-4", compose(
     f"""SELECT symbol, CASE WHEN sfx IN ({", ".join(f"'{s}'" for s in X.EUROPE_SUFFIXES)}) THEN 'eu' WHEN sfx IN ({", ".join(f"'{s}'" for s in X.ASIA_SUFFIXES)}) THEN 'asia' ELSE 'us' END AS listing_region,
  base, sfx AS suffix, REPLACE(UPPER(TRIM(symbol)), '.', '-') AS normal, CASE sector {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.HOUSE_SECTOR.items())} ELSE sector END AS house_sector,
@@ -122,10 +128,11 @@ def screen_top(spark, sf_dir):
 
 
 @query("screen_sector", "FLT-3 FLT-6 PIP-1", compose(
-    f"SELECT ticker, sector, {r('total', 5)} AS total FROM all_q WHERE LOWER(sector) LIKE 'consumer%'", **_NOW))
+    f"SELECT ticker, sector, {r('total', 5)} AS total FROM all_q WHERE LOWER(sector) LIKE 'consumer%' AND ticker % 3 <> 1", **_NOW))
 def screen_sector(spark, sf_dir):
-    """Every asset of a sector prefix; rows flagged with an error are never scored."""
-    d = assets(spark, sf_dir).withColumn("errors", F.array().cast("array<string>"))
+    """Every asset of a sector prefix; rows flagged with an error (here a third of them) are never scored."""
+    failed = F.when(F.col("ticker") % 3 == 1, F.array(F.lit("no quote"))).otherwise(F.array().cast("array<string>"))
+    d = assets(spark, sf_dir).withColumn("errors", failed)
     d = SC.filtered(SC.scored_assets(d, SCREEN), SC.ScreenConfig(sector="CONSUMER", min_cap=0.0))
     return d.select("ticker", "sector", F.round("total", 5).alias("total"))
 
@@ -235,7 +242,7 @@ def report_quarter(spark, sf_dir):
 # ---- portfolio and advisor ---------------------------------------------------------------------
 
 @query("portfolio_review", "AGG-12", compose(
-    """SELECT portfolio, CAST(SUM(n) AS BIGINT) AS count, CAST(SUM(weak) AS BIGINT) AS weak, CAST(SUM(moderate) AS BIGINT) AS moderate, CAST(SUM(strong) AS BIGINT) AS strong, ROUND(SUM(score) / SUM(n), 1) AS avg_score, SUM(n) < 5 AS few_holdings, COUNT(*) AS sectors FROM (
+    """SELECT portfolio, CAST(SUM(n) AS BIGINT) AS count, CAST(SUM(weak) AS BIGINT) AS weak, CAST(SUM(moderate) AS BIGINT) AS moderate, CAST(SUM(strong) AS BIGINT) AS strong, round_even(SUM(score) / SUM(n), 1) AS avg_score, SUM(n) < 5 AS few_holdings, COUNT(*) AS sectors FROM (
  SELECT ticker % 6 AS portfolio, COALESCE(sector, 'Unknown') AS sector, COUNT(*) AS n, SUM(total) AS score, COUNT(CASE WHEN total < 40 THEN 1 END) AS weak, COUNT(CASE WHEN total >= 40 AND total < 60 THEN 1 END) AS moderate, COUNT(CASE WHEN total >= 60 THEN 1 END) AS strong
  FROM all_q GROUP BY 1, 2) GROUP BY 1""", **_NOW))
 def portfolio_review(spark, sf_dir):

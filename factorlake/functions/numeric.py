@@ -47,13 +47,6 @@ def linear(c: Column | str, best: float, worst: float, default: float = 50.0) ->
     return F.when(known, clamped).otherwise(F.lit(float(default)))
 
 
-def linear_between(v: Column, best: Column, worst: Column, default: float = 50.0) -> Column:
-    """``linear`` with thresholds that are data (one parameter row per metric)."""
-    score = F.try_divide(v - worst, best - worst) * F.lit(100.0)
-    known = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))) & (best != worst)
-    return F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).otherwise(F.lit(float(default)))
-
-
 def non_negative(c: Column | str) -> Column:
     """A negative multiple means losses or negative equity: missing, not cheap."""
     v = col(c)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
@@ -57,10 +56,6 @@ def percent_form(values: Column, keys: list[str]) -> Column:
     return F.transform_values(values, lambda k, v: F.when(k.isin(keys), v / 100.0).otherwise(v))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def json_walk_udtf():
     """Table function over open-depth payloads: one row (path, key, value) per scalar, ``depth`` first.
 

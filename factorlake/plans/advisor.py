@@ -26,7 +26,7 @@ def portfolio_review(scored: DataFrame, group: list[str]) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("sector", "n"))).alias("_s"))
     share = lambda s: s["n"] * 100.0 / F.col("count")
     crowded = F.when(F.col("count") >= SECTOR_CHECK_FROM, F.transform(F.filter("_s", lambda s: share(s) > SECTOR_LIMIT), lambda s: s["sector"]))
-    avg = F.round(F.when(F.col("count") > 0, F.try_divide("_score", "count")).otherwise(0.0), 1)
+    avg = F.bround(F.when(F.col("count") > 0, F.try_divide("_score", "count")).otherwise(0.0), 1)
     return total.select(*group, "count", "weak", "moderate", "strong", avg.alias("avg_score"), (F.col("count") < FEW_HOLDINGS).alias("few_holdings"),
                         F.coalesce(F.array_join(crowded, ", "), F.lit("")).alias("crowded_sectors"), F.size("_s").alias("sectors"))
 
