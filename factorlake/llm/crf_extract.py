@@ -298,14 +298,16 @@ def training_pages(htmls: list[str], copies: int = 3) -> list[list[Block]]:
     return out
 
 
-def learn(pages: DataFrame, max_pages: int = 300) -> Model:
-    """Trains on at most ``max_pages`` rows of ``pages(page_id, html)``, those whose page_id has the smallest hash.
+def learn(pages: DataFrame, max_pages: int = 300, max_chars: int = 200_000) -> Model:
+    """Trains on at most ``max_pages`` rows of ``pages(page_id, html)`` of at most ``max_chars`` characters, those whose
+    page_id has the smallest hash.
 
-    Only this bounded sample reaches the driver, and of each page at most its first 200,000 characters
-    (extraction reads whole pages). Without any page that marks its article the model calls nothing main.
+    Only this bounded sample reaches the driver; its pages take part whole, and extraction reads every page
+    whole. Without any page that marks its article the model calls nothing main.
     """
-    chosen = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(max_pages)
-    rows = pages.select("page_id", F.substring("html", 1, 200_000).alias("html")).join(F.broadcast(chosen), F.col("page_id") == F.col("id")).toPandas().sort_values(["page_id", "html"])
+    able = pages.where(F.col("page_id").isNotNull() & (F.char_length("html") <= max_chars))
+    chosen = able.select(F.col("page_id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(max_pages)
+    rows = able.join(F.broadcast(chosen), F.col("page_id") == F.col("id")).select("page_id", "html").toPandas().sort_values(["page_id", "html"])
     return fit(training_pages(rows["html"].head(max_pages).tolist()))
 
 
