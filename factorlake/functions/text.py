@@ -92,14 +92,19 @@ def breakdown_text(*parts: Column) -> Column:
     return F.array_join(F.array(*[F.bround(p, 0).cast("bigint").cast("string") for p in parts]), " / ")
 
 
+# What counts as a camel-case piece of a name, and the signs that separate its words.
+NAME_PIECE = r"([A-Z]+(?![a-z])|[A-Z][a-z]+|[a-z]+)"
+NAME_SIGNS = r"[/,&()]+"
+
+
 def search_variants(name: Column | str) -> Column:
     """Up to three name queries: the whole name, its first word, the first camel-case piece."""
     n = col(name)
     first = F.get(F.filter(F.split(n, r"\s+"), lambda w: w != ""), F.lit(0))
-    piece = F.get(F.regexp_extract_all(first, F.lit(r"([A-Z]+(?![a-z])|[A-Z][a-z]+|[a-z]+)"), F.lit(1)), F.lit(0))
+    piece = F.get(F.regexp_extract_all(first, F.lit(NAME_PIECE), F.lit(1)), F.lit(0))
     raw = F.array(n, F.when(F.length(first) >= 4, first), F.when(F.length(piece) >= 4, piece))
     clean = F.transform(
         F.array_compact(raw),
-        lambda q: F.rtrim(F.trim(F.regexp_replace(F.regexp_replace(q, r"[/,&()]+", " "), r"\s+", " ")), F.lit(".")),
+        lambda q: F.rtrim(F.trim(F.regexp_replace(F.regexp_replace(q, NAME_SIGNS, " "), r"\s+", " ")), F.lit(".")),
     )
     return F.slice(F.array_distinct(F.filter(clean, lambda q: q != "")), 1, 3)
