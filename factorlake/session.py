@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,8 +36,8 @@ def build_session(master: str | None = None, app: str = "factorlake", **conf: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
-    Only a local session may fall back to a temporary folder: on a cluster an executor's own disk is
-    lost together with the executor.
+    Only a local session may fall back to a temporary folder, which goes when the process ends: on a
+    cluster an executor's own disk is lost together with the executor.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -43,6 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="factorlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return folder
 
