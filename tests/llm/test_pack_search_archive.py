@@ -213,5 +213,26 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
     check_packed(rows, len(kept[-1]), 4096, {r.doc_id: r.text for r in docs.collect()})
 
 
+def five(text):
+    w = text.split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+
+def test_pipeline_removes_near_copies_of_similarity_above_four_fifths(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(60):
+        words = phrase(rng, 200).split()
+        texts.append(" ".join(words))
+        for at in rng.sample(range(5, 195), k % 6 + 1):
+            words[at] = "changed" + str(at)
+        texts.append(" ".join(words))
+    like = [len(five(a) & five(b)) / len(five(a) | five(b)) for a, b in zip(texts[::2], texts[1::2])]
+    near = {2 * k + 1 for k, s in enumerate(like) if s >= 0.8}
+    assert len(near) >= 30 and sum(0.8 <= s < 0.9 for s in like) >= 10 and sum(0.7 < s < 0.8 for s in like) >= 5
+    gone = set(range(120)) - {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), "").collect()}
+    assert gone <= near and len(gone) >= 0.98 * len(near)
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
