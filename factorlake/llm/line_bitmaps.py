@@ -25,13 +25,21 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """(h1, h2, doc_id, mark, pos, n_lines) for each line whose key has ``min_chars`` code points; 128 bits of hash stand for the key."""
+def _solid(text: Column) -> Column:
+    """Code points that are not ASCII white space."""
+    return F.char_length(F.translate(text, BLANK, ""))
+
+
+def line_hashes(docs: DataFrame, min_chars: int = 1, sizes: bool = False) -> DataFrame:
+    """(h1, h2, doc_id, mark, pos, n_lines) for each line whose key has ``min_chars`` code points; 128 bits of hash stand for the key.
+
+    With ``sizes`` also the code points but white space of the line (chars) and of its document (whole).
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("doc_id", text_mark(text).alias("mark"), F.split(text, "\n").alias("lines"))
-    lines = split.select("doc_id", "mark", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
-    keyed = lines.select("doc_id", "mark", "n_lines", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "mark", "pos", "n_lines")
+    split = docs.select("doc_id", text_mark(text).alias("mark"), F.split(text, "\n").alias("lines"), *[_solid(text).alias("whole")] * sizes)
+    lines = split.select("doc_id", "mark", *["whole"] * sizes, F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
+    keyed = lines.select("doc_id", "mark", *["whole"] * sizes, "n_lines", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "mark", "pos", "n_lines", *["whole", _solid(F.col("key")).alias("chars")] * sizes)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,20 +105,29 @@ def unpack_bitmap(bitmap: bytes, n_lines: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n_lines).astype(bool)
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, long_chars: int = 0) -> DataFrame:
     """(doc_id, mark, n_lines, n_dropped, bitmap) for the documents that lose lines.
 
     ``bitmap`` is the zlib-compressed keep bit of each line in order; texts do not travel. A document
     is a doc_id together with its text (``mark`` is the hash of the text): repeated rows count once,
     two texts under one id count twice, rows without doc_id count by their text. Null texts are one
     empty line. With ``keep_first`` the first line by document and position stays (ids without a value
-    first); otherwise every line of a shared key goes.
+    first); otherwise every line of a shared key goes. With ``long_chars`` a first line of fewer
+    code points but white space goes as well, unless shared lines are half of its document's text or more.
     """
-    hashes = stable(line_hashes(docs, min_chars))
+    hashes = stable(line_hashes(docs, min_chars, keep_first and long_chars > 0))
     shared = shared_keys(hashes, min_docs)
     hits = hashes.join(shared, ["h1", "h2"])
+    first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("mark") == F.col("first_mark")) & (F.col("pos") == F.col("first_pos"))
+    if keep_first and long_chars > 0:
+        met = hits.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("pos", "chars", first.alias("first"))).alias("hits"), F.max("n_lines").alias("n_lines"), F.max("whole").alias("whole"))
+        lost = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["chars"])
+        met = met.withColumn("copy", lost * 2 >= F.col("whole"))
+        goes = F.filter("hits", lambda x: ~x["first"] | ~((x["chars"] >= long_chars) | F.col("copy")))
+        dropped = met.select("doc_id", "mark", F.transform(goes, lambda x: x["pos"]).alias("dropped"), "n_lines").where(F.size("dropped") > 0)
+        return dropped.select("doc_id", "mark", "n_lines", F.size("dropped").alias("n_dropped"), _bitmap("dropped", "n_lines").alias("bitmap"))
     if keep_first:
-        hits = hits.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("mark") == F.col("first_mark")) & (F.col("pos") == F.col("first_pos"))))
+        hits = hits.where(~first)
     dropped = hits.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("dropped"), F.max("n_lines").alias("n_lines"))
     return dropped.select("doc_id", "mark", "n_lines", F.size("dropped").alias("n_dropped"), _bitmap("dropped", "n_lines").alias("bitmap"))
 
@@ -127,13 +144,13 @@ def _kept(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, long_chars: int = 0, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` with the kept lines as ``text`` and two more columns, named by ``counts`` (which replace such columns of ``docs``).
 
     Rows, and texts that lose nothing (null ones too), stay as they are; a text that loses all lines is empty.
     """
     own = docs.columns
-    maps = keep_bitmaps(docs, min_docs, min_chars, keep_first).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("n_dropped").alias("__n"), F.col("bitmap").alias("__bits"))
+    maps = keep_bitmaps(docs, min_docs, min_chars, keep_first, long_chars).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("n_dropped").alias("__n"), F.col("bitmap").alias("__bits"))
     marked = docs.withColumn("__m", text_mark(F.coalesce(F.col("text"), F.lit(""))))
     met = marked.join(maps, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
     hit = F.col("__bits").isNotNull()

@@ -213,6 +213,23 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
     check_packed(rows, len(kept[-1]), 4096, {r.doc_id: r.text for r in docs.collect()})
 
 
+def test_pipeline_keeps_one_document_of_many_copies(spark):
+    rng = random.Random(8)
+    lines = [phrase(rng, 4) for _ in range(9)]
+    copies = ["\n".join(lines)] * 12
+    near = [[phrase(rng, 6) for _ in range(20)] for _ in range(1)] * 12
+    near = ["\n".join([*ls[:i], phrase(rng, 6), *ls[i + 1:]]) for i, ls in enumerate(near)]
+    long = phrase(rng, 30)
+    own = [phrase(rng, 60) + "\n" + long + "\nshort line" for _ in range(12)]
+    docs = frame(spark, copies + near + own).withColumn("n_chars", F.char_length("text"))
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got[0].text == copies[0] and all(got[i].text == "" for i in range(1, 12))
+    kept = [line for i in range(12, 24) for line in got[i].text.split("\n")]
+    assert all(kept.count(line) == 1 for line in near[0].split("\n")[12:]) and len(got[12].text.split("\n")) >= 19
+    assert sum(long in got[i].text for i in range(24, 36)) == 1 and not any("short line" in r.text for r in got.values())
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def five(text):
     w = text.split()
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
