@@ -106,14 +106,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
 class _Completion:
     """Bin completion over a histogram of lengths.
 
-    A bin starts with the largest piece left. Its fillings are searched from the fewest and largest pieces
-    on: a filling is dominated by one that reaches the same sum with fewer, larger pieces, so only the
-    first found of each sum counts. The best-fit filling is the incumbent; a branch is cut when even
-    its best pair cannot waste less. The filling found is used as often as its lengths last.
+    A bin starts with the largest piece left. Its fillings, of any number of pieces, are searched depth first
+    from the largest pieces on, with what is taken counted off; of the fillings of one sum only the first
+    counts. The bound is exact: the sums that the lengths up to each one can reach are bits of a number,
+    so the least waste is known and no branch that misses it is entered. The best-fit pair is the
+    incumbent and ends the search if it wastes nothing. The filling is used as often as its lengths last.
+    With ``lead`` the largest piece that fits is taken first and the search fills the rest.
     """
 
-    def __init__(self, counts: np.ndarray, capacity: int, branches: int):
-        self.left, self.capacity, self.branches = counts.astype(np.int64).copy(), capacity, branches
+    def __init__(self, counts: np.ndarray, capacity: int, lead: bool = False):
+        self.left, self.capacity, self.lead = counts.astype(np.int64).copy(), capacity, lead
         self._refresh()
 
     def _refresh(self) -> None:
@@ -121,56 +123,60 @@ class _Completion:
         self.below = np.maximum.accumulate(np.where(self.left > 0, at, 0))  # largest length left that is not above
         self.lengths = np.flatnonzero(self.left > 0)[::-1]
 
-    def _pair(self, room: int, free: np.ndarray) -> list[int]:
+    def _pair(self, room: int) -> list[int]:
         """At most two lengths of the largest sum within ``room``, the larger one as large as possible."""
         one = int(self.below[room])
         if one == room or one == 0:
             return [one] if one else []
         a = self.lengths[np.searchsorted(-self.lengths, -room):]
         b = self.below[room - a]
-        b = np.where((b == a) & (free[a] < 2), 0, np.minimum(b, a))
+        b = np.where((b >= a) & (self.left[a] < 2), self.below[a - 1], np.minimum(b, a))
         total = a + b
         i = int(np.argmax(total))
         return [int(a[i]), *([int(b[i])] if b[i] else [])]
 
     def _fill(self, room: int) -> list[int]:
-        taken: list[int] = []
-        free = self.left
-        while room > 0:
-            best = self._pair(room, free)
-            if not best:
+        """The pieces of least waste within ``room``; as many of the largest as possible, then of the next."""
+        best = self._pair(room)
+        if not best or sum(best) == room:
+            return best
+        every = (1 << room + 1) - 1
+        sums, sizes = [1], self.lengths[np.searchsorted(-self.lengths, -room):][::-1].tolist()
+        for x in sizes:  # sums[i]: bit s is set if pieces of the i smallest lengths can have the sum s
+            reach, rest, step = sums[-1], min(int(self.left[x]), room // x), 1
+            while rest and reach != every:
+                step = min(step, rest)
+                reach |= reach << step * x & every
+                rest, step = rest - step, 2 * step
+            sums.append(reach)
+        room, taken = sums[-1].bit_length() - 1, []
+        for i in range(len(sizes) - 1, -1, -1):
+            x = sizes[i]
+            if x > room:
+                continue
+            n = min(int(self.left[x]), room // x)
+            while not sums[i] >> room - n * x & 1:
+                n -= 1
+            taken += [x] * n
+            room -= n * x
+            if not room:
                 break
-            waste = room - sum(best)
-            if waste:
-                for a in self.lengths[np.searchsorted(-self.lengths, -room):][:self.branches]:
-                    a = int(a)
-                    if 3 * a < sum(best):
-                        break  # three pieces of at most this length waste more than the incumbent
-                    rest = self._pair(room - a, free)
-                    if a + sum(rest) > sum(best) and self._allowed([a, *rest, *taken]):
-                        best = [a, *rest]
-                        waste = room - sum(best)
-                        if not waste:
-                            break
-            step = best if not waste or len(best) < 2 else best[:1]
-            step = [x for i, x in enumerate(step) if self._allowed([*taken, *step[:i + 1]])]
-            if not step:
-                return taken
-            taken += step
-            room -= sum(step)
         return taken
 
-    def _allowed(self, items: list[int]) -> bool:
-        return all(self.left[x] >= items.count(x) for x in items)
-
     def patterns(self) -> Iterator[tuple[list[int], int]]:
         while len(self.lengths):
             top = int(self.lengths[0])
             self.left[top] -= 1
             if not self.left[top]:
                 self._refresh()
-            filling = self._fill(self.capacity - top)
-            self.left[top] += 1
+            first = [x] if self.lead and (x := int(self.below[self.capacity - top])) else []
+            for x in first:
+                self.left[x] -= 1
+                if not self.left[x]:
+                    self._refresh()
+            filling = first + self._fill(self.capacity - top - sum(first))
+            for x in [top, *first]:
+                self.left[x] += 1
             items = sorted([top, *filling], reverse=True)
             times = int(min(self.left[x] // items.count(x) for x in set(items)))
             for x in items:
@@ -179,14 +185,20 @@ class _Completion:
             yield items, times
 
 
-def plan(counts: np.ndarray, capacity: int, branches: int = 64) -> np.ndarray:
+def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset): the pieces of a length take sequences by their rank.
 
     ``counts[n]`` is the number of pieces of length n. Every pattern uses up a length, so there are not many
-    more patterns than lengths, whatever the number of pieces.
+    more patterns than lengths, whatever the number of pieces. Least waste now can use up small pieces that later
+    bins need, so bins that take the largest fitting piece first are tried as well unless the total length
+    admits no fewer sequences; the plan of fewer sequences is taken.
     """
+    fewest = -(-int(counts @ np.arange(len(counts))) // capacity)
+    patterns = list(_Completion(counts, capacity).patterns())
+    if sum(n for _, n in patterns) > fewest:
+        patterns = min(patterns, list(_Completion(counts, capacity, lead=True).patterns()), key=lambda p: sum(n for _, n in p))
     nextrank, rows, sequence = np.zeros(capacity + 1, np.int64), [], 0
-    for items, times in _Completion(counts, capacity, branches).patterns():
+    for items, times in patterns:
         offset = 0
         for x in items:
             rows.append((x, nextrank[x], sequence, offset))

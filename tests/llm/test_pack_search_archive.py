@@ -213,6 +213,27 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
     check_packed(rows, len(kept[-1]), 4096, {r.doc_id: r.text for r in docs.collect()})
 
 
+@pytest.mark.parametrize("pieces, most", [({2050: 120, 1100: 120, 511: 480}, 160), ({2000: 1, 1000: 1, 10: 100}, 1), ({2050: 1, 511: 4}, 1), ({3000: 2, 137: 16}, 2)])
+def test_fillings_of_many_pieces_are_found(pieces, most):
+    counts = np.zeros(4097, np.int64)
+    counts[list(pieces)] = list(pieces.values())
+    slots = P.plan(counts, 4096)
+    ends, sequences = defaultdict(list), 0
+    for (length, rank, sequence, offset), after in zip(slots.tolist(), [*slots.tolist()[1:], None]):
+        n = (after[1] if after and after[0] == length else pieces[length]) - rank
+        sequences = max(sequences, sequence + n)
+        for k in range(n):
+            ends[sequence + k].append((offset, length))
+    assert sequences == len(ends) <= most
+    assert sum(map(len, ends.values())) == sum(pieces.values())
+    for taken in ends.values():
+        at = 0
+        for offset, length in sorted(taken):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
 def test_pipeline_keeps_one_document_of_many_copies(spark):
     rng = random.Random(8)
     lines = [phrase(rng, 4) for _ in range(9)]
