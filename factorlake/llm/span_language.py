@@ -189,3 +189,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lan
         return pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [[{"start": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows]})
 
     return docs.withColumn(name, language(F.col(text)))
+
+
+@F.pandas_udf(T.BooleanType())
+def has_letter(texts: pd.Series) -> pd.Series:
+    """Whether ``identify`` finds a letter in the text, whatever a model knows."""
+    return pd.Series([any(len(_grams(part)[0]) for _, part in _slices(t or "")) for t in texts], dtype=bool)

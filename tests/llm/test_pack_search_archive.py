@@ -251,6 +251,12 @@ def test_pipeline_keeps_one_document_of_many_copies(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_pipeline_keeps_clean_texts_without_any_known_language(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34 !", None), (3, None, None), (4, "слово", None)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 4]
+
+
 def five(text):
     w = text.split()
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
