@@ -111,7 +111,7 @@ def ttm_facts(spark, sf_dir):
 
 
 def _day(spark, sf_dir):
-    return A.latest_common_end(V.last_sessions(spark, sf_dir)).select(F.array("latest_common").alias("dates"))
+    return A.latest_end(V.last_sessions(spark, sf_dir)).select(F.array("latest").alias("dates"))
 
 
 _LIVE = ["trailing_pe", "price_to_book", "return_on_equity", "return_on_assets", "profit_margin", "earnings_growth", "revenue_growth", "asset_growth", "debt_to_equity", "current_ratio"]
