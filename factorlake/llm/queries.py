@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import block_names, crf_extract, latent_decontam, line_bitmaps, packing, preference_quality, simhash_tiles, span_language, url_terms, warc_index
+from . import block_names, crf_extract, latent_decontam, line_bitmaps, packing, phrase_groups, preference_quality, simhash_tiles, source_mix, span_language, url_terms, warc_index, whitening
 from .workers import importable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,41 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(
 def op10_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_bitmaps.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=16)
+
+
+@query("op12_phrase_groups", """
+WITH pieces AS (SELECT lang, unnest(list_transform(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]'), lambda x: regexp_extract_all(x, '[^\\x20\\x09]+'))) AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM pieces, range(1, 6) AS r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL), n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.a, c.w, r.j, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f) AS score FROM cand c JOIN range(1, 5) AS r(j) ON r.j < c.k
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:r.j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[r.j + 1:], ' ') JOIN n ON n.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_runs AS (SELECT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM cand, range(2, 5) AS s(m) WHERE m < k),
+covered AS (SELECT lang, phrase, max(a) AS longer FROM inner_runs GROUP BY 1, 2)
+SELECT b.lang, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS BIGINT) AS rank, b.phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best b LEFT JOIN covered c ON c.lang = b.lang AND c.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) <= 2000""")
+def op12_phrase_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_groups.collocations(table(spark, sf_dir, "documents"), most_words=5, min_count=100, top=2000)
+
+
+@query("op13_source_mix", """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS o FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS w FROM d GROUP BY 1),
+o AS (SELECT *, 2 * source_size AS cap, sum(source_size) OVER () AS total, sum(w) OVER () AS weights, coalesce(sum(2 * source_size) OVER q, 0) AS caps, coalesce(sum(w) OVER q, 0) AS ws FROM s
+  WINDOW q AS (ORDER BY 2.0 * source_size / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, cap * 2 * (weights - ws) <= w * (total * 3 - caps * 2) AS is_full FROM o),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE)
+  ELSE CAST(w * (total * 3 - 2 * coalesce(sum(cap) FILTER (is_full) OVER (), 0)) AS DOUBLE) / CAST(2 * sum(w) FILTER (NOT is_full) OVER () AS DOUBLE) END AS target FROM m),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
+p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY o, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + least(greatest(CAST(floor(target) AS BIGINT) - epochs * source_size - before, 0), size) AS BIGINT) AS taken
+FROM p JOIN e ON e.source IS NOT DISTINCT FROM p.source""")
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.decide(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
