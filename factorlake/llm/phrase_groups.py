@@ -99,22 +99,31 @@ def _word_counts(texts: DataFrame, chunk_words: int) -> DataFrame:
     return rows.groupBy("lang", "phrase", "slot").agg(F.sum("f").alias("f"))
 
 
-def _suffixes(lang: str, words: list[bytes], ids: np.ndarray, frequent: np.ndarray, hot: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(h: np.ndarray, ids: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose word and next word are both frequent and of one piece, and the numbers of these pairs."""
+    ok = _has(frequent, h)
+    ok[0] = False
+    ok = ok[ids]
+    at = np.flatnonzero(ok[:-1] & ok[1:])
+    return at, _longer(h[ids[at]], h[ids[at + 1]])
+
+
+def _suffixes(h: np.ndarray, ids: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes (rows x depth word ids, 0 behind the end) of at least two words, one per position that starts one,
     the length of their partition prefix, their own length, and the running prefix numbers.
 
-    A suffix ends with its piece or before a word that is not frequent: no phrase across it can be. The
-    partition prefix is the shortest one that is not over the budget; its length is one more than the
-    suffix has words if all its prefixes are over.
+    A suffix ends with its piece or before a word or a pair of words that is not frequent: no phrase across
+    it can be. The partition prefix is the shortest one that is not over the budget; its length is one more
+    than the suffix has words if all its prefixes are over. ``known``: frequent words, frequent pairs, prefixes over the budget.
     """
-    h = _hashes(lang, words)
-    ok = _has(frequent, h)
-    ok[0] = False
-    ids = np.where(ok[ids], ids, 0)
+    frequent, paired, hot = known
+    at, mark = _pairs(h, ids, frequent)
+    start = at[_has(paired, mark)]
+    joined = np.zeros(len(ids) + depth, bool)
+    joined[start] = True
     padded = np.append(ids, np.zeros(depth, ids.dtype))
-    start = np.flatnonzero((ids > 0) & (padded[1:len(ids) + 1] > 0))
     rows = padded[start[:, None] + np.arange(depth)]
-    rows[np.cumsum(rows == 0, axis=1) > 0] = 0
+    rows[:, 1:][~np.logical_and.accumulate(joined[start[:, None] + np.arange(depth - 1)], axis=1)] = 0
     length = (rows > 0).sum(axis=1)
     marks = np.empty((len(rows), depth), np.uint64)
     marks[:, 0] = h[rows[:, 0]]
@@ -155,17 +164,18 @@ def _leaves(rows: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return rows[order[first]], totals, order[first]
 
 
-def _over_budget(texts: DataFrame, frequent, hot: np.ndarray, depth: int, length: int, chunk_words: int, budget: int) -> DataFrame:
-    """(slot) of prefixes of ``length`` words whose shorter prefix is over the budget and that are over it themselves."""
-    marked = texts.sparkSession.sparkContext.broadcast(hot)
-
+def _counted(texts: DataFrame, chunk_words: int, numbers) -> DataFrame:
+    """(h, f): how often each prefix number occurs among those that ``numbers(hashes, ids)`` finds; a 64-bit sum of equal numbers."""
     def count(batches):
         for lang, words, ids in _chunks(batches, chunk_words):
-            rows, at, size, marks = _suffixes(lang, words, ids, frequent.value, marked.value, depth)
-            slots, n = np.unique(_slot(marks[(at == length) & (size >= length), length - 1], PREFIX_BITS), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n)], names=["slot", "f"])
+            h, n = np.unique(numbers(_hashes(lang, words), ids), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "f"])
 
-    return texts.mapInArrow(count, "slot long, f long").groupBy("slot").agg(F.sum("f").alias("f")).where(F.col("f") > budget).select("slot")
+    return texts.mapInArrow(count, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+
+
+def _slots(numbers: DataFrame, size: int) -> DataFrame:
+    return numbers.select((F.col("h").bitwiseAND(F.lit(size - 1)) + 1).alias("slot"))
 
 
 def _subtree(lang_phrase_rows: pa.Table, min_count: int, depth: int) -> pa.Table:
@@ -207,15 +217,16 @@ def _subtree(lang_phrase_rows: pa.Table, min_count: int, depth: int) -> pa.Table
 def phrase_counts(docs: DataFrame, most_words: int = 5, min_count: int = 100, text: str = "text", lang: str = "lang", budget: int = 500_000, chunk_words: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """((lang, k, phrase, f) of every phrase of 1 to ``most_words`` words found ``min_count`` times or more, (lang, n) with all words).
 
-    Words are counted first. Like ERA's vertical partitioning, word prefixes over ``budget`` occurrences are
-    lengthened word by word until they are within it or have ``most_words`` words; each round reads the
-    texts again and counts only prefixes whose shorter prefix was over. Prefixes are then drawn into
-    groups that hold half a budget on average. Every task builds the suffixes of its own texts, cut at
-    ``most_words`` words and before words that are too rare, adds up equal ones and sends them to the group of
-    their prefix; every group builds its subtree on its own and reads the counts from the leaf totals.
+    Words are counted first, then pairs of frequent words. Like ERA's vertical partitioning, word prefixes
+    over ``budget`` occurrences are lengthened word by word until they are within it or have ``most_words``
+    words; each further round reads the texts again and counts only prefixes whose shorter prefix was over.
+    Prefixes are then drawn into groups that hold half a budget on average. Every task builds the suffixes
+    of its own texts, cut at ``most_words`` words and before words and pairs that are too rare, adds up equal
+    ones and sends them to the group of their prefix; every group builds its subtree on its own and reads
+    the counts from the leaf totals.
 
-    What tasks must know is two bit sets of fixed size (frequent words, prefixes over budget); a false
-    hit costs some extra rows, never a count. A frequent phrase costs one row per task, so no group holds copies.
+    What tasks must know is three bit sets of fixed size (frequent words and pairs, prefixes over budget);
+    a false hit costs some extra rows, never a count. A frequent phrase costs one row per task, so no group holds copies.
     """
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -224,20 +235,30 @@ def phrase_counts(docs: DataFrame, most_words: int = 5, min_count: int = 100, te
     common = words.where(F.col("f") >= min_count)
     frequent = sc.broadcast(_bitmap(common.select("slot"), WORD_BITS))
     # a word's number in the smaller bit set is its number in the larger one without the upper digits
-    hot = _bitmap(common.where(F.col("f") > budget).select(((F.col("slot") - 1) % PREFIX_BITS + 1).alias("slot")), PREFIX_BITS)
-    fresh = hot
-    for length in range(2, most_words):
-        if not fresh.any():
-            break
-        fresh = _bitmap(_over_budget(texts, frequent, hot, most_words, length, chunk_words, budget), PREFIX_BITS)
+    pairs = stable(_counted(texts, chunk_words, lambda h, ids: _pairs(h, ids, frequent.value)[1]).where(F.col("f") >= min_count))
+    paired = sc.broadcast(_bitmap(_slots(pairs, WORD_BITS), WORD_BITS))
+    # a word's number in the smaller bit set is its number in the larger one without the upper digits
+    over = common.where(F.col("f") > budget).select(((F.col("slot") - 1) % PREFIX_BITS + 1).alias("slot"))
+    hot = _bitmap(over, PREFIX_BITS)
+    fresh = _bitmap(_slots(pairs.where(F.col("f") > budget), PREFIX_BITS), PREFIX_BITS)
+    for length in range(3, most_words + 1):
         hot = hot | fresh
+        if length == most_words or not fresh.any():
+            break
+        marked = sc.broadcast(hot)
+
+        def prefixes(h, ids):
+            _, at, size, marks = _suffixes(h, ids, (frequent.value, paired.value, marked.value), most_words)
+            return marks[(at == length) & (size >= length), length - 1]
+
+        fresh = _bitmap(_slots(_counted(texts, chunk_words, prefixes).where(F.col("f") > budget), PREFIX_BITS), PREFIX_BITS)
     marked = sc.broadcast(hot)
-    total = common.agg(F.sum("f")).first()[0] or 0
+    total = pairs.agg(F.sum("f")).first()[0] or 0
     groups = max(1, -(-2 * total // budget))
 
     def send(batches):
         for name, vocabulary, ids in _chunks(batches, chunk_words):
-            rows, at, size, marks = _suffixes(name, vocabulary, ids, frequent.value, marked.value, most_words)
+            rows, at, size, marks = _suffixes(_hashes(name, vocabulary), ids, (frequent.value, paired.value, marked.value), most_words)
             if len(rows):
                 leaves, n, index = _leaves(rows)
                 group = (marks[index, np.minimum(at, size)[index] - 1] >> np.uint64(24)) % np.uint64(groups)
