@@ -178,25 +178,27 @@ def _slots(numbers: DataFrame, size: int) -> DataFrame:
     return numbers.select((F.col("h").bitwiseAND(F.lit(size - 1)) + 1).alias("slot"))
 
 
-def _subtree(lang_phrase_rows: pa.Table, min_count: int, depth: int) -> pa.Table:
-    """Counts of the nodes of one group's tree: the totals of the leaves below each.
+def _subtree(packed: pa.Table, min_count: int, depth: int) -> pa.Table:
+    """Counts of the nodes of one group's tree: the totals of the leaves below each. A row packs the leaves of one chunk of a task.
 
     A node above the partition depth has leaves in other groups too: it is returned whatever its count, to
     be added up; of the others those below ``min_count`` are left out.
     """
-    t = lang_phrase_rows
-    langs = t["lang"].combine_chunks().dictionary_encode()
-    langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
-    parts = pc.split_pattern(t["phrase"].combine_chunks(), " ")
+    t = packed.combine_chunks()
+    langs = pa.concat_arrays(t["lang"].chunks).dictionary_encode()
+    lists = [pa.concat_arrays(t[c].chunks) for c in ("phrase", "at", "f")]
+    lang = np.repeat(langs.indices.to_numpy(), pc.list_value_length(lists[0]).to_numpy())
+    phrases, depths, f = (x.flatten() for x in lists)
+    parts = pc.split_pattern(phrases, " ")
     flat = parts.flatten().dictionary_encode()
     offsets = parts.offsets.to_numpy()
     length = np.diff(offsets)
     rows = np.zeros((len(length), depth + 1), np.int64)
-    rows[:, 0] = langs.indices.to_numpy() + 1
+    rows[:, 0] = lang + 1
     of = np.repeat(np.arange(len(length)), length)
     rows[of, np.arange(len(of)) - np.repeat(offsets[:-1] - offsets[0], length) + 1] = flat.indices.to_numpy() + 1
-    leaves, totals, index = _leaves(rows, t["f"].to_numpy())
-    at = t["at"].to_numpy()[index]
+    leaves, totals, index = _leaves(rows, f.to_numpy())
+    at = depths.to_numpy()[index]
     words = flat.dictionary
     out = []
     for k in range(2, depth + 1):
@@ -262,9 +264,13 @@ def phrase_counts(docs: DataFrame, most_words: int = 5, min_count: int = 100, te
             if len(rows):
                 leaves, n, index = _leaves(rows)
                 group = (marks[index, np.minimum(at, size)[index] - 1] >> np.uint64(24)) % np.uint64(groups)
-                yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int64)), pa.array([name] * len(n)), _phrases(leaves, vocabulary), pa.array(at[index]), pa.array(n)], names=["grp", "lang", "phrase", "at", "f"])
+                order = np.argsort(group, kind="stable")
+                first = np.flatnonzero(np.append(True, group[order[1:]] != group[order[:-1]]))
+                cuts = pa.array(np.append(first, len(order)).astype(np.int32))
+                columns = [pa.ListArray.from_arrays(cuts, c) for c in (_phrases(leaves[order], vocabulary), pa.array(at[index][order]), pa.array(n[order]))]
+                yield pa.RecordBatch.from_arrays([pa.array(group[order[first]].astype(np.int64)), pa.array([name] * len(first)), *columns], names=["grp", "lang", "phrase", "at", "f"])
 
-    sent = texts.mapInArrow(send, "grp long, lang string, phrase string, at byte, f long")
+    sent = texts.mapInArrow(send, "grp long, lang string, phrase array<string>, at array<byte>, f array<long>")
 
     def build(t: pa.Table) -> pa.Table:
         return _subtree(t, min_count, most_words)
