@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["technical", "evaluation", "research", "screening", "portfolio", "filings", "streams", "landing", "landed"]
+MODULES = ["technical", "evaluation", "research", "screening", "portfolio", "filings", "footnotes", "streams", "landing", "landed"]
 
 
 def load_all():

@@ -215,53 +215,6 @@ def insight_trends(spark, sf_dir):
                                    MC.trend_direction(r0, r1, F.count("revenue"), min_rel=0.03).alias("revenue_trend"))
 
 
-def footnotes(spark, sf_dir):
-    """Footnote payloads of several kinds as JSON text."""
-    k = F.col("ticker")
-    h = V.customer_shares(spark, sf_dir).groupBy("ticker", "party").agg(F.collect_list(F.struct(F.col("period_end").cast("string").alias("period"), "share")).alias("history"))
-    conc = h.groupBy("ticker").agg(F.collect_list(F.struct(F.col("party").alias("name"), "history")).alias("counterparties"))
-    conc = conc.select("ticker", F.lit("concentration").alias("kind"), F.to_json(F.struct(F.array(F.struct(F.lit("customer").alias("riskType"), "counterparties")).alias("series"))).alias("payload"))
-    s = V.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ticker"))
-    block = lambda *cols: F.to_json(F.array(F.struct(F.lit(2000).alias("fiscalYear"), *cols), F.struct(F.lit(1999).alias("fiscalYear"), *cols)))
-    item = lambda name, value: F.struct(value.alias(name))
-    rest = F.array(
-        F.struct(F.lit("debt-structure").alias("kind"), block(F.array(F.struct((k % 6 + 2000).alias("dueYear"), (k % 50 + 1.0).alias("faceAmount")), F.struct(F.lit(2030).alias("dueYear"), F.lit(40.0).alias("faceAmount"))).alias("instruments")).alias("payload")),
-        F.struct(F.lit("credit-facilities").alias("kind"), F.to_json(F.struct(F.array(item("utilization", k % 10 / 10.0), item("utilization", F.lit(0.1))).alias("facilities"))).alias("payload")),
-        F.struct(F.lit("stock-compensation").alias("kind"), block((k % 30 * 1.0).alias("unrecognizedCost")).alias("payload")),
-        F.struct(F.lit("retirement-plans").alias("kind"), block(F.array(item("fundedStatus", k % 20 - 15.0), item("fundedStatus", F.lit(2.0))).alias("plans")).alias("payload")),
-        F.struct(F.lit("supplier-finance").alias("kind"), block(F.struct((k % 25 * 1.0).alias("outstandingBalance"), F.lit(1e6).alias("settledObligations")).alias("totals")).alias("payload")),
-        F.struct(F.lit("fair-value-hierarchy").alias("kind"), block(F.array(item("level3Share", k % 60 * 1.0)).alias("measures")).alias("payload")))
-    other = s.select("ticker", F.explode(rest).alias("r")).select("ticker", "r.kind", "r.payload")
-    return conc.unionByName(other)
-
-
-@query("footnote_signals", "RSK-2 RSK-3 RSK-4 RSK-5 RSK-6 RSK-7 RSK-8 SRC-16 SCL-A3 SCL-M9 WIN-27", compose(
-    """SELECT ticker, severity, label FROM (
- SELECT ticker, CASE WHEN latest >= 0.30e0 THEN 'medium' ELSE 'info' END AS severity, 'Key-customer concentration' AS label FROM (SELECT ticker, MAX(latest) AS latest FROM (SELECT ticker, party, MAX_BY(share, period_end) AS latest FROM customer_shares GROUP BY 1, 2) GROUP BY 1) WHERE latest >= 0.15e0
- UNION ALL SELECT t, 'medium', 'Debt maturity wall' FROM ks WHERE t % 6 + 2000 <= 2003 AND (t % 50 + 1) / (t % 50 + 41e0) >= 0.25
- UNION ALL SELECT t, CASE WHEN GREATEST(t % 10, 1) / 10e0 >= 0.75 THEN 'medium' ELSE 'info' END, CASE WHEN t % 10 / 10e0 >= 0.75 THEN 'Credit facilities heavily drawn' ELSE 'High credit-line utilization' END FROM ks WHERE t % 10 / 10e0 >= 0.5
- UNION ALL SELECT t, CASE WHEN cap <> 0 AND (t % 30) / cap >= 0.15 THEN 'medium' ELSE 'info' END, 'Unvested equity compensation' FROM ks WHERE t % 30 > 0 AND (cap IS NULL OR (t % 30) / cap >= 0.05)
- UNION ALL SELECT t, CASE WHEN cap <> 0 AND (15 - t % 20) / cap >= 0.05 THEN 'medium' ELSE 'info' END, 'Underfunded pension plans' FROM ks WHERE t % 20 < 15
- UNION ALL SELECT t, CASE WHEN cap <> 0 AND (t % 25) / cap >= 0.15 THEN 'medium' ELSE 'info' END, 'Supplier-finance obligations' FROM ks WHERE t % 25 > 0 AND (cap IS NULL OR (t % 25) / cap >= 0.02)
- UNION ALL SELECT t, 'info', 'Opaque Level 3 valuations' FROM ks WHERE CASE WHEN t % 60 > 1.5 THEN (t % 60) / 100e0 ELSE t % 60 END >= 0.30)""",
-    ks="SELECT s_suppkey AS t, CASE WHEN s_suppkey % 8 <> 7 THEN 200e0 END AS cap FROM supplier"))
-def footnote_signals(spark, sf_dir):
-    from ..session import stable
-    s = V.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ticker"))
-    caps = s.select("ticker", F.when(F.col("ticker") % 8 != 7, F.lit(200.0)).alias("market_cap"))
-    revenue = s.select("ticker", F.lit(None).cast("double").alias("revenue"))
-    d = K.footnote_signals(stable(footnotes(spark, sf_dir)), caps, revenue, F.lit(2001))
-    return d.select("ticker", "severity", "label")
-
-
-@query("json_leaves", "SCL-A2 EXT-5", "SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events")
-def json_leaves(spark, sf_dir):
-    """Scalars of the event payloads through the open-depth walk."""
-    spark.udtf.register("json_walk", P.json_walk_udtf())
-    V.read(spark, sf_dir, "events").select("event_id", "props").createOrReplaceTempView("factorlake_payloads")
-    return spark.sql("SELECT event_id, key, value FROM factorlake_payloads, LATERAL json_walk(props)")
-
-
 @query("page_links", "SRC-12", """SELECT page_id, href, MIN(pos) AS first_pos, COUNT(*) AS times FROM (SELECT page_id, UNNEST(l) AS href, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM (
  SELECT page_id, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS l FROM pages)) GROUP BY 1, 2""")
 def page_links(spark, sf_dir):

@@ -301,12 +301,12 @@ def _newest(d, period: str):
 
 
 @query("geography_concentration", "RSK-9 TOP-7", compose(
-    "SELECT ticker, printf('%.0f%%', value * 100e0 / total) || ' of revenue from ' || party AS detail FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY value DESC, party DESC) AS k FROM customer_shares c WHERE period_end = (SELECT MAX(period_end) FROM customer_shares m WHERE m.ticker = c.ticker)) WHERE k = 1 AND CAST(value AS DOUBLE) / total >= 0.10e0"))
+    "SELECT c.ticker, printf('%.0f%%', value * 100e0 / total) || ' of revenue from ' || party AS detail FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY value DESC, party DESC) AS k FROM customer_shares c WHERE period_end = (SELECT MAX(period_end) FROM customer_shares m WHERE m.ticker = c.ticker)) c "
+    "JOIN annual a ON a.ticker = c.ticker AND a.period_end = c.period_end WHERE k = 1 AND CAST(value AS DOUBLE) / total >= 0.10e0 AND total / 100e0 / revenue BETWEEN 0.90e0 AND 1.10e0"))
 def geography_concentration(spark, sf_dir):
-    shares = V.customer_shares(spark, sf_dir)
-    d = _newest(shares, "period_end")
-    leaves = d.select("ticker", "party", F.col("value").cast("double").alias("value"))
-    revenue = d.groupBy("ticker").agg(F.max("total").cast("double").alias("revenue"))
+    d = _newest(V.customer_shares(spark, sf_dir), "period_end")
+    leaves = d.select("ticker", "party", (F.col("value") / 100.0).alias("value"))
+    revenue = V.annual(spark, sf_dir).groupBy("ticker").agg(F.max_by("revenue", "period_end").alias("revenue"))
     return K.geography_signals(leaves, revenue, watch=0.10).select("ticker", "detail")
 
 

@@ -2,35 +2,10 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType
-
-from .numeric import col, finite_number
-
-OBJECTS = ArrayType(MapType(StringType(), StringType()))
-
-
-def first_number(node: Column, *keys: str) -> Column:
-    """First key of a ``map<string,string>`` node that holds a finite number."""
-    return F.coalesce(*[finite_number(F.try_element_at(node, F.lit(k))) for k in keys])
-
-
-def first_text(node: Column, *keys: str) -> Column:
-    """First key with non-blank text."""
-    def trimmed(k):
-        t = F.trim(F.try_element_at(node, F.lit(k)))
-        return F.when(t != "", t)
-    return F.coalesce(*[trimmed(k) for k in keys])
-
+from pyspark.sql.types import MapType, StringType
 
-def objects(node: Column, *keys: str) -> Column:
-    """First key that holds a non-empty list of objects, each as ``map<string,string>``."""
-    def parsed(k):
-        items = F.from_json(F.try_element_at(node, F.lit(k)), OBJECTS)
-        kept = F.filter(items, lambda m: m.isNotNull() & (F.size(m) > 0))
-        return F.when(F.size(kept) > 0, kept)
-    return F.coalesce(*[parsed(k) for k in keys])
+from .numeric import col
 
 
 def payload_map(text: Column | str) -> Column:
@@ -38,46 +13,6 @@ def payload_map(text: Column | str) -> Column:
     return F.from_json(col(text), MapType(StringType(), StringType()))
 
 
-def latest_block(text: Column | str) -> Column:
-    """Newest block of a period-major payload: highest fiscal year, else the first one."""
-    t = col(text)
-    as_map = payload_map(t)
-    listed = F.coalesce(objects(as_map, "data", "periods"), F.from_json(t, OBJECTS))
-    def year(b):
-        return F.coalesce(first_number(b, "fiscalYear"), F.lit(float("-inf")))
-    best = F.aggregate(
-        F.slice(listed, F.lit(2), F.size(listed)), F.get(listed, F.lit(0)),
-        lambda acc, b: F.when(year(b) > year(acc), b).otherwise(acc))
-    return F.when(F.size(listed) > 0, best).otherwise(as_map)
-
-
 def percent_form(values: Column, keys: list[str]) -> Column:
     """Listed keys of a ``map<string,double>`` arrive as percent numbers: bring them to fractions."""
     return F.transform_values(values, lambda k, v: F.when(k.isin(keys), v / 100.0).otherwise(v))
-
-
-def json_walk_udtf():
-    """Table function over open-depth payloads: one row (path, key, value) per scalar, ``depth`` first.
-
-    The only Python table function: shapes without a known depth cannot be typed ahead.
-    """
-    import json
-
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="path string, key string, value string")
-    class JsonWalk:
-        def eval(self, text: str):
-            try:
-                stack = [("$", json.loads(text))]
-            except (TypeError, ValueError):
-                return
-            while stack:
-                path, node = stack.pop()
-                items = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
-                for k, v in items:
-                    if isinstance(v, (dict, list)):
-                        stack.append((f"{path}.{k}", v))
-                    elif isinstance(node, dict) and v is not None:
-                        yield path, str(k), v if isinstance(v, str) else json.dumps(v)
-    return JsonWalk

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import payload as P, text as X
-from ..functions.numeric import finite_number, ratio, share_norm
+from ..functions import text as X, variants as VA
+from ..functions.numeric import ratio, share_norm
+from ..session import stable
 from .filters import severity_rank
 
 # Alert thresholds.
@@ -20,6 +21,14 @@ COMP_ALERT, COMP_WATCH, PENSION_ALERT, SUPPLIER_FINANCE_WATCH = 0.15, 0.05, 0.05
 LEVEL3_WATCH, COUNTRY_WATCH, PRODUCT_WATCH, SEGMENT_WATCH = 0.30, 0.60, 0.40, 0.60
 RECONCILED = (0.90, 1.10)
 FOOTNOTES = "footnotes"
+# Wording of the report lines.
+HEAVILY_DRAWN = " of committed capacity across the disclosed facilities"
+DRAWN = " of committed capacity"
+COMP_COST = " of unrecognized equity compensation cost"
+COMP_END = " — future expense and dilution"
+UNDERFUNDED = " net underfunded across the disclosed plans"
+SUPPLIER_PROGRAMS = " outstanding under supplier-finance programs (reverse factoring — leverage parked in accounts payable)"
+UNOBSERVABLE = " of recurring fair-value measurements rely on unobservable (model) inputs"
 
 
 def _pct0(v: Column) -> Column:
@@ -67,15 +76,16 @@ def local_signals(df: DataFrame, key: str = "ticker") -> DataFrame:
 def share_history(shares: DataFrame, key: str = "ticker") -> DataFrame:
     """Earliest and latest share per party, by date where any point has one, else by ``position``; a single point has no earliest.
 
-    ``shares``: ticker, risk, party, period, share, and perhaps position (place in the payload). Undated
-    points never count beside dated ones.
+    ``shares``: ticker, risk, party, period, share, and perhaps position (place in the payload) and entry
+    (place of the party: parties of one name in several lists stay apart). Undated points never count beside dated ones.
     """
     place = F.col("position").cast("long") if "position" in shares.columns else F.lit(0).cast("long")
     d = shares.filter(F.col("share").isNotNull()).withColumn("_at", F.struct(F.col("period"), place))
     dated = F.col("period").isNotNull()
     known = F.when(dated, F.col("_at"))
     some = F.count_if(dated) > 0
-    return d.groupBy(key, "risk", "party").agg(
+    apart = ["entry"] if "entry" in shares.columns else []
+    return d.groupBy(key, "risk", "party", *apart).agg(
         F.when(some, F.max_by("share", known)).otherwise(F.max_by("share", "_at")).alias("latest"),
         F.when(some, F.when(F.count_if(dated) > 1, F.min_by("share", known))).otherwise(F.when(F.count("*") > 1, F.min_by("share", "_at"))).alias("earliest"))
 
@@ -87,7 +97,8 @@ def concentration_signals(shares: DataFrame, key: str = "ticker", alert: float =
     h = share_history(shares, key)
     kind = F.when(F.col("risk").contains("customer") | F.col("risk").contains("credit"), "customer").when(F.col("risk").contains("supplier"), "supplier")
     h = h.withColumn("kind", kind).filter("kind IS NOT NULL")
-    top = h.groupBy(key, "kind").agg(F.max_by(F.struct("risk", "party", "latest", "earliest"), F.struct("latest", "party")).alias("t")).select(key, "kind", "t.*")
+    tie = (-F.col("entry")) if "entry" in h.columns else F.col("party")
+    top = h.groupBy(key, "kind").agg(F.max_by(F.struct("risk", "party", "latest", "earliest"), F.struct(F.col("latest"), tie)).alias("t")).select(key, "kind", "t.*")
     moved = F.coalesce(F.abs(F.col("latest") - F.col("earliest")) >= TREND_STEP, F.lit(False))
     trend = F.when(moved, F.concat(F.lit(" ("), _pct0(F.col("earliest")), F.lit(" → "), _pct0(F.col("latest")), F.lit(" over the disclosed history)"))).otherwise("")
     of = F.when(F.col("risk").contains("credit"), "receivables").otherwise("revenue")
@@ -99,24 +110,8 @@ def concentration_signals(shares: DataFrame, key: str = "ticker", alert: float =
         signal(~is_c & (v >= supplier), "info", "Supplier concentration", supp)], FOOTNOTES, key)
 
 
-def maturity_wall(instruments: DataFrame, year: Column, key: str = "ticker") -> DataFrame:
-    """Debt due within two years over all face value.  ``instruments``: ticker, due_year, amount."""
-    ok = instruments.filter((F.col("amount") > 0) & F.col("due_year").isNotNull())
-    d = ok.groupBy(key).agg(F.sum("amount").alias("total"), F.sum(F.when(F.col("due_year") <= year + WALL_YEARS, F.col("amount")).otherwise(0.0)).alias("near"))
-    share = ratio("near", "total")
-    detail = F.concat(X.usd_text("near"), F.lit(" of "), X.usd_text("total"), F.lit(" face amount ("), _pct0(share), F.lit(") matures by "), (year + WALL_YEARS).cast("string"))
-    return _emit(d, [signal((F.col("near") > 0) & (share >= WALL_RATIO), "medium", "Debt maturity wall", detail)], FOOTNOTES, key)
-
-
-def facility_signals(facilities: DataFrame, key: str = "ticker") -> DataFrame:
-    d = facilities.groupBy(key).agg(F.max(share_norm("utilization")).alias("peak"))
-    p = F.col("peak")
-    return _emit(d, [
-        signal(p >= FACILITY_ALERT, "medium", "Credit facilities heavily drawn", F.concat(F.lit("peak utilization "), _pct0(p))),
-        signal((p >= FACILITY_WATCH) & (p < FACILITY_ALERT), "info", "High credit-line utilization", F.concat(F.lit("peak utilization "), _pct0(p)))], FOOTNOTES, key)
-
-
-def _against_cap(value: Column, cap: Column, watch: float | None, alert: float) -> tuple[Column, Column, Column]:
+def _against_cap(value: Column, watch: float | None, alert: float) -> tuple[Column, Column, Column]:
+    cap = F.col("market_cap")
     share = F.when(cap != 0, ratio(value, cap))
     show = value > 0
     if watch is not None:
@@ -124,39 +119,33 @@ def _against_cap(value: Column, cap: Column, watch: float | None, alert: float)
     return show, F.when(share >= alert, "medium").otherwise("info"), share
 
 
-def equity_comp_signals(costs: DataFrame, caps: DataFrame, key: str = "ticker") -> DataFrame:
-    """Unrecognised compensation against the market cap; info when the cap is unknown."""
-    d = costs.filter(F.col("amount") > 0).groupBy(key).agg(F.max("amount").alias("cost")).join(caps.select(key, "market_cap"), key, "left")
-    show, sev, share = _against_cap(F.col("cost"), F.col("market_cap"), COMP_WATCH, COMP_ALERT)
-    detail = F.concat(X.usd_text("cost"), F.lit(" of unrecognized equity compensation cost"), F.when(share.isNotNull(), F.concat(F.lit(" ("), _pct0(share), F.lit(" of market cap)"))).otherwise(""))
-    return _emit(d, [signal(show, sev, "Unvested equity compensation", detail)], FOOTNOTES, key)
+def _of_cap(share: Column, before: str, after: str, otherwise: str = "") -> Column:
+    return F.when(share.isNotNull(), F.concat(F.lit(before), _pct0(share), F.lit(after))).otherwise(otherwise)
 
 
-def pension_signals(plans: DataFrame, caps: DataFrame, key: str = "ticker") -> DataFrame:
-    d = (plans.groupBy(key).agg((-F.sum(F.least(F.lit(0.0), F.col("funded_status")))).alias("under"))
-         .join(caps.select(key, "market_cap"), key, "left"))
-    show, sev, share = _against_cap(F.col("under"), F.col("market_cap"), None, PENSION_ALERT)
-    detail = F.concat(X.usd_text("under"), F.lit(" net underfunded across the disclosed plans"), F.when(share.isNotNull(), F.concat(F.lit(" ("), _pct0(share), F.lit(" of market cap)"))).otherwise(""))
-    return _emit(d, [signal(show, sev, "Underfunded pension plans", detail)], FOOTNOTES, key)
+def fact_signals(facts: DataFrame, caps: DataFrame, year: Column, key: str = "ticker") -> DataFrame:
+    """Rules over the figures of ``footnote_facts``; a figure that is missing gives no signal.
 
-
-def supplier_finance_signals(amounts: DataFrame, caps: DataFrame, key: str = "ticker") -> DataFrame:
-    """Largest outstanding amount (totals and programs overlap, so never their sum).
-
-    ``amounts``: ticker, name, amount; names of flows (settled, added, paid, current) are skipped.
+    Debt due within two years over all face value; peak utilisation of a facility; unrecognised
+    compensation, underfunding and supplier finance against the market cap (info where it is unknown);
+    share of level-3 measurements.
     """
-    name = F.lower("name")
-    kept = amounts.filter(name.rlike("outstanding|obligation") & ~name.rlike("current|settled|added|paid") & (F.col("amount") > 0))
-    d = kept.groupBy(key).agg(F.max("amount").alias("owed")).join(caps.select(key, "market_cap"), key, "left")
-    show, sev, share = _against_cap(F.col("owed"), F.col("market_cap"), SUPPLIER_FINANCE_WATCH, COMP_ALERT)
-    detail = F.concat(X.usd_text("owed"), F.lit(" outstanding under supplier-finance programs"), F.when(share.isNotNull(), F.concat(F.lit(" — "), _pct0(share), F.lit(" of market cap"))).otherwise(""))
-    return _emit(d, [signal(show, sev, "Supplier-finance obligations", detail)], FOOTNOTES, key)
-
-
-def level3_signals(measures: DataFrame, key: str = "ticker") -> DataFrame:
-    d = measures.groupBy(key).agg(F.max(share_norm("level3_share")).alias("v"))
-    return _emit(d, [signal(F.col("v") >= LEVEL3_WATCH, "info", "Opaque Level 3 valuations",
-                            F.concat(_pct0(F.col("v")), F.lit(" of recurring fair-value measurements rely on unobservable inputs")))], FOOTNOTES, key)
+    d = facts.join(caps.select(key, "market_cap"), key, "left")
+    c = F.col
+    wall = ratio("near", "face")
+    peak = c("utilization")
+    comp_on, comp_sev, comp = _against_cap(c("comp_cost"), COMP_WATCH, COMP_ALERT)
+    pen_on, pen_sev, pen = _against_cap(c("underfunded"), None, PENSION_ALERT)
+    fin_on, fin_sev, fin = _against_cap(c("outstanding"), SUPPLIER_FINANCE_WATCH, COMP_ALERT)
+    return _emit(d, [
+        signal((c("near") > 0) & (wall >= WALL_RATIO), "medium", "Debt maturity wall", F.concat(
+            X.usd_text("near"), F.lit(" of "), X.usd_text("face"), F.lit(" face amount ("), _pct0(wall), F.lit(") matures by "), (year + WALL_YEARS).cast("string"))),
+        signal(peak >= FACILITY_ALERT, "medium", "Credit facilities heavily drawn", F.concat(F.lit("peak utilization "), _pct0(peak), F.lit(HEAVILY_DRAWN))),
+        signal((peak >= FACILITY_WATCH) & (peak < FACILITY_ALERT), "info", "High credit-line utilization", F.concat(F.lit("peak utilization "), _pct0(peak), F.lit(DRAWN))),
+        signal(comp_on, comp_sev, "Unvested equity compensation", F.concat(X.usd_text("comp_cost"), F.lit(COMP_COST), _of_cap(comp, " (", " of market cap)"), F.lit(COMP_END))),
+        signal(pen_on, pen_sev, "Underfunded pension plans", F.concat(X.usd_text("underfunded"), F.lit(UNDERFUNDED), _of_cap(pen, " (", " of market cap)"))),
+        signal(fin_on, fin_sev, "Supplier-finance obligations", F.concat(X.usd_text("outstanding"), F.lit(SUPPLIER_PROGRAMS), _of_cap(fin, " — ", " of market cap"))),
+        signal(c("level3") >= LEVEL3_WATCH, "info", "Opaque Level 3 valuations", F.concat(_pct0(c("level3")), F.lit(UNOBSERVABLE)))], FOOTNOTES, key)
 
 
 def geography_leaves(buckets: DataFrame, key: str = "ticker") -> DataFrame:
@@ -176,7 +165,7 @@ def geography_leaves(buckets: DataFrame, key: str = "ticker") -> DataFrame:
 
 def geography_signals(leaves: DataFrame, revenue: DataFrame, key: str = "ticker", watch: float = COUNTRY_WATCH) -> DataFrame:
     """Speaks only when the leaves add up to the filer's own revenue."""
-    d = (leaves.groupBy(key).agg(F.sum("value").alias("total"), F.max_by("party", F.struct("value", "party")).alias("party"), F.max("value").alias("value"))
+    d = (leaves.groupBy(key).agg(F.sum("value").alias("total"), F.max_by("party", F.when(F.col("party").isNotNull(), F.struct("value", "party"))).alias("party"), F.max(F.when(F.col("party").isNotNull(), F.col("value"))).alias("value"))
          .join(revenue.select(key, "revenue"), key, "left"))
     match = ratio("total", F.when(F.col("revenue") > 0, F.col("revenue"))).between(*RECONCILED)
     share = ratio("value", "total")
@@ -205,90 +194,99 @@ def segment_signals(segments: DataFrame, key: str = "ticker", watch: float = SEG
                             F.concat(_pct0(share), F.lit(" of revenue from the "), F.col("party"), F.lit(" segment")))], FOOTNOTES, key)
 
 
-# ---- payload readers: (ticker, kind, payload JSON) -> the tables above ---------------------------
+# ---- payload readers: (ticker, kind, payload VARIANT) -> the tables above ------------------------
 
-def _kind(footnotes: DataFrame, kind: str) -> DataFrame:
-    return footnotes.filter(F.col("kind") == kind)
+# Payload kinds and member names.
+WALKED = ["debt-structure", "credit-facilities", "stock-compensation", "retirement-plans", "supplier-finance", "fair-value-hierarchy"]
+KINDS = ["concentration", *WALKED, "revenue-segmentation", "business-segmentation"]
+INSTRUMENTS, FACE = ("instruments", "tranches", "data"), ("faceAmount", "face", "carryingAmount", "amount", "principal")
+VALUE = ("value", "revenue", "amount")
 
 
-def concentration_table(footnotes: DataFrame, key: str = "ticker") -> DataFrame:
-    whole = P.payload_map(F.col("payload"))
-    groups = F.coalesce(P.objects(whole, "series", "categories", "groups", "data"), F.from_json("payload", P.OBJECTS), F.array(whole))
-    d = _kind(footnotes, "concentration").select(key, F.explode(groups).alias("g"))
-    risk = F.lower(F.coalesce(P.first_text(F.col("g"), "riskType", "risk_type", "type", "category", "risk"), F.lit("")))
-    parties = F.coalesce(P.objects(F.col("g"), "counterparties", "parties", "items", "members", "series", "data"),
-                         F.when(F.map_contains_key("g", "history") | F.map_contains_key("g", "share"), F.array("g")))
-    d = d.select(key, risk.alias("risk"), F.posexplode(parties).alias("i", "p"))
-    points = F.coalesce(P.objects(F.col("p"), "history", "points", "values", "data"), F.array("p"))
-    name = F.coalesce(P.first_text(F.col("p"), "name", "label", "counterparty", "party"), P.first_text(F.col("p"), "member"), F.lit("a key counterparty"))
-    d = d.select(key, "risk", name.alias("party"), F.explode(points).alias("h"))
-    return d.select(key, "risk", "party", F.coalesce(F.try_element_at("h", F.lit("period")), F.lit("")).alias("period"),
-                    share_norm(P.first_number(F.col("h"), "share", "shareOfTotal", "value", "percent")).alias("share")).filter("share IS NOT NULL")
+def footnote_facts(footnotes: DataFrame, year: Column, key: str = "ticker") -> DataFrame:
+    """One row of figures per ticker from the payload kinds whose objects may stand at any depth.
 
-
-def debt_table(footnotes: DataFrame, key: str = "ticker") -> DataFrame:
-    block = P.latest_block("payload")
-    d = _kind(footnotes, "debt-structure").select(key, F.explode(P.objects(block, "instruments", "tranches", "data")).alias("i"))
-    return d.select(key, P.first_number(F.col("i"), "dueYear").alias("due_year"),
-                    P.first_number(F.col("i"), "faceAmount", "face", "carryingAmount", "amount", "principal").alias("amount"))
+    Facilities are read in the whole payload, the others in its newest block. Debt is the newest block's
+    list of instruments, or, where it has none, every object of the payload that names a due year. One walk
+    serves all kinds, and one aggregation all figures.
+    """
+    v = F.col("payload")
+    d = footnotes.filter(F.col("kind").isin(WALKED)).select(key, "kind", "payload", VA.latest_block(v).alias("block"))
+    debt = F.col("kind") == "debt-structure"
+    d = d.select(key, "kind", "payload", "block", F.when(debt, VA.objects(VA.fields(F.col("block")), *INSTRUMENTS)).alias("instruments"))
+    root = F.when(F.col("kind") == "credit-facilities", v).when(debt, F.when(F.col("instruments").isNull() & F.col("block").isNotNull(), v)).otherwise(F.col("block"))
+    d = stable(d.select(key, "kind", "instruments", root.alias("root")))
+    nodes = VA.object_nodes(d, "root", [key, "kind"])
+    nodes = nodes.unionByName(d.select(key, "kind", F.explode("instruments").alias("members")))
+    n = nodes.select(key, "kind", F.map_filter(F.transform_values("members", lambda _, x: VA.number(x)), lambda _, x: x.isNotNull()).alias("n"))
+    named = lambda *keys: F.coalesce(*[F.try_element_at("n", F.lit(k)) for k in keys])
+    largest = lambda keep: F.array_max(F.map_values(F.map_filter("n", lambda k, x: keep(F.lower(k)) & (x > 0))))
+    at = lambda kind, x: F.when(F.col("kind") == kind, x)
+    positive = lambda x: F.when(x > 0, x)
+    due, face = named("dueYear"), named(*FACE)
+    face = at("debt-structure", F.when(due.isNotNull() & (face > 0), face))
+    owed = lambda k: k.rlike("outstanding|obligation") & ~k.rlike("current|settled|added|paid")
+    return n.groupBy(key).agg(
+        F.sum(face).alias("face"), F.sum(F.when(due <= year + WALL_YEARS, face)).alias("near"),
+        F.max(at("credit-facilities", positive(share_norm(named("utilization"))))).alias("utilization"),
+        F.max(at("stock-compensation", largest(lambda k: k.contains("unrecognized")))).alias("comp_cost"),
+        (-F.sum(at("retirement-plans", F.least(F.lit(0.0), named("fundedStatus"))))).alias("underfunded"),
+        F.max(at("supplier-finance", largest(owed))).alias("outstanding"),
+        F.max(at("fair-value-hierarchy", positive(share_norm(named("level3Share"))))).alias("level3"))
 
 
-def item_table(footnotes: DataFrame, kind: str, lists: list[str], field: str, out: str, key: str = "ticker") -> DataFrame:
-    """One number per listed object of the newest block, or of the block itself."""
-    block = P.latest_block("payload")
-    d = _kind(footnotes, kind).select(key, F.explode(F.coalesce(P.objects(block, *lists), F.array(block))).alias("i"))
-    return d.select(key, P.first_number(F.col("i"), field).alias(out)).filter(F.col(out).isNotNull())
+def concentration_table(footnotes: DataFrame, key: str = "ticker") -> DataFrame:
+    """Shares of every counterparty's history with their places; a period that is missing or blank is null."""
+    groups = VA.listed(F.col("payload"), "series", "categories", "groups", "data")
+    d = footnotes.filter(F.col("kind") == "concentration").select(key, F.posexplode(groups).alias("g_at", "g"))
+    risk = F.lower(F.coalesce(VA.first_text(F.col("g"), "riskType", "risk_type", "type", "category", "risk"), F.lit("")))
+    parties = F.coalesce(VA.objects(F.col("g"), "counterparties", "parties", "items", "members", "series", "data"),
+                         F.when(F.map_contains_key("g", "history") | F.map_contains_key("g", "share"), F.array("g")))
+    d = d.select(key, risk.alias("risk"), "g_at", F.posexplode(parties).alias("p_at", "p"))
+    points = F.coalesce(VA.objects(F.col("p"), "history", "points", "values", "data"), F.array("p"))
+    name = F.coalesce(VA.first_text(F.col("p"), "name", "label", "counterparty", "party"), VA.first_text(F.col("p"), "member"), F.lit("a key counterparty"))
+    entry = F.shiftleft(F.col("g_at").cast("long"), 32) + F.col("p_at")
+    d = d.select(key, "risk", name.alias("party"), entry.alias("entry"), F.posexplode(points).alias("position", "h"))
+    period = F.nullif(F.try_variant_get(VA.member(F.col("h"), "period"), "$", "string"), F.lit(""))
+    return d.select(key, "risk", "party", "entry", "position", period.alias("period"),
+                    share_norm(VA.first_number(F.col("h"), "share", "shareOfTotal", "value", "percent")).alias("share")).filter("share IS NOT NULL")
 
 
-def named_amounts(footnotes: DataFrame, kind: str, pattern: str, key: str = "ticker") -> DataFrame:
-    """Numbers whose key matches ``pattern``, one and two levels below the newest block."""
-    block = P.latest_block("payload")
-    d = _kind(footnotes, kind).select(key, F.explode(block).alias("k", "v"))
-    listed = F.coalesce(F.from_json("v", P.OBJECTS), F.when(F.col("v").startswith("{"), F.array(P.payload_map(F.col("v")))))
-    nested = d.filter(F.col("v").startswith("{") | F.col("v").startswith("[")).select(key, F.explode(listed).alias("m")).select(key, F.explode("m").alias("k", "v"))
-    return (d.unionByName(nested).filter(F.lower("k").rlike(pattern))
-            .select(key, F.col("k").alias("name"), finite_number("v").alias("amount")).filter("amount IS NOT NULL"))
+def _block(footnotes: DataFrame, kind: str, key: str) -> DataFrame:
+    return footnotes.filter(F.col("kind") == kind).select(key, VA.fields(VA.latest_block(F.col("payload"))).alias("b"))
 
 
 def geography_table(footnotes: DataFrame, key: str = "ticker") -> DataFrame:
-    geo = P.payload_map(F.try_element_at(P.latest_block("payload"), F.lit("geography")))
-    d = _kind(footnotes, "revenue-segmentation").select(key, geo.alias("geo"))
-    parts = F.array(*[F.struct(F.lit(b).alias("bucket"), P.objects(F.col("geo"), b).alias("items")) for b in ("countries", "regions", "residuals")])
+    d = _block(footnotes, "revenue-segmentation", key).select(key, VA.fields(VA.member(F.col("b"), "geography")).alias("geo"))
+    parts = F.array(*[F.struct(F.lit(b).alias("bucket"), VA.objects(F.col("geo"), b).alias("items")) for b in ("countries", "regions", "residuals")])
     d = d.select(key, F.explode(parts).alias("b")).select(key, "b.bucket", F.explode("b.items").alias("i"))
     i = F.col("i")
-    return d.select(key, "bucket", P.first_text(i, "name", "code", "member").alias("name"), P.first_text(i, "continent").alias("continent"),
-                    P.first_number(i, "value", "revenue", "amount").alias("value"), P.first_number(i, "other").alias("other"),
-                    P.first_number(i, "explainedByCountries").alias("explained"))
+    return d.select(key, "bucket", VA.first_text(i, "name", "code", "member").alias("name"), VA.first_text(i, "continent").alias("continent"),
+                    VA.first_number(i, *VALUE).alias("value"), VA.first_number(i, "other").alias("other"), VA.first_number(i, "explainedByCountries").alias("explained"))
 
 
 def product_table(footnotes: DataFrame, key: str = "ticker") -> DataFrame:
-    d = _kind(footnotes, "revenue-segmentation").select(key, F.explode(P.objects(P.latest_block("payload"), "product")).alias("i"))
-    return d.select(key, P.first_text(F.col("i"), "name", "member").alias("product"),
-                    P.first_number(F.col("i"), "value", "revenue", "amount").alias("value")).filter("product IS NOT NULL")
+    d = _block(footnotes, "revenue-segmentation", key).select(key, F.explode(VA.objects(F.col("b"), "product")).alias("i"))
+    return d.select(key, VA.first_text(F.col("i"), "name", "member").alias("product"), VA.first_number(F.col("i"), *VALUE).alias("value")).filter("product IS NOT NULL")
 
 
 def segment_table(footnotes: DataFrame, key: str = "ticker") -> DataFrame:
-    d = _kind(footnotes, "business-segmentation").select(key, F.explode(P.objects(P.latest_block("payload"), "segments")).alias("i"))
-    role = F.coalesce(F.try_element_at("i", F.lit("role")), F.lit("segment"))
-    metrics = P.payload_map(F.try_element_at("i", F.lit("metrics")))
-    return d.filter(role == "segment").select(key, P.first_text(F.col("i"), "name", "member").alias("segment"),
-                                              P.first_number(metrics, "revenue").alias("value")).filter("segment IS NOT NULL")
+    d = _block(footnotes, "business-segmentation", key).select(key, F.explode(VA.objects(F.col("b"), "segments")).alias("i"))
+    i = F.col("i")
+    role = ~F.map_contains_key(i, "role") | F.coalesce(F.try_variant_get(VA.member(i, "role"), "$", "string") == "segment", F.lit(False))
+    return d.filter(role).select(key, VA.first_text(i, "name", "member").alias("segment"), VA.first_number(VA.fields(VA.member(i, "metrics")), "revenue").alias("value")).filter("segment IS NOT NULL")
+
+
+def segmentation_signals(footnotes: DataFrame, revenue: DataFrame, key: str = "ticker") -> DataFrame:
+    """Geography, product and segment rules over the payloads and the filer's own revenue."""
+    leaves = stable(geography_leaves(geography_table(footnotes, key), key))
+    return (geography_signals(leaves, revenue, key)
+            .unionByName(product_signals(product_table(footnotes, key), revenue, leaves.groupBy(key).agg(F.sum("value").alias("total")), key))
+            .unionByName(segment_signals(segment_table(footnotes, key), key)))
 
 
 def footnote_signals(footnotes: DataFrame, caps: DataFrame, revenue: DataFrame, year: Column, key: str = "ticker") -> DataFrame:
-    """All payload rules; ``footnotes`` is read once per kind, so partition it by kind in the lake."""
-    leaves = geography_leaves(geography_table(footnotes, key), key)
-    tables = [
-        concentration_signals(concentration_table(footnotes, key), key), maturity_wall(debt_table(footnotes, key), year, key),
-        facility_signals(item_table(footnotes, "credit-facilities", ["facilities"], "utilization", "utilization", key), key),
-        equity_comp_signals(named_amounts(footnotes, "stock-compensation", "unrecognized", key), caps, key),
-        pension_signals(item_table(footnotes, "retirement-plans", ["plans"], "fundedStatus", "funded_status", key), caps, key),
-        supplier_finance_signals(named_amounts(footnotes, "supplier-finance", "outstanding|obligation", key), caps, key),
-        level3_signals(item_table(footnotes, "fair-value-hierarchy", ["measures"], "level3Share", "level3_share", key), key),
-        geography_signals(leaves, revenue, key),
-        product_signals(product_table(footnotes, key), revenue, leaves.groupBy(key).agg(F.sum("value").alias("total")), key),
-        segment_signals(segment_table(footnotes, key), key)]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+    """All payload rules over (ticker, kind, payload VARIANT); partition the lake by kind, and each rule reads its kinds only."""
+    return (concentration_signals(concentration_table(footnotes, key), key)
+            .unionByName(fact_signals(footnote_facts(footnotes, year, key), caps, year, key))
+            .unionByName(segmentation_signals(footnotes, revenue, key)))

@@ -238,8 +238,18 @@ def read_sentiment(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_footnotes(spark: SparkSession, path: str) -> DataFrame:
-    """(ticker, kind, payload): partitioned by kind in the lake, payload kept as JSON text."""
-    return spark.read.schema("ticker STRING, kind STRING, payload STRING").json(path)
+    """(ticker, kind, payload VARIANT, broken): landed payload text, parsed once.
+
+    Text that is no JSON keeps its row with a null payload and the text in ``broken``, so nothing is lost silently.
+    """
+    d = spark.read.schema("ticker STRING, kind STRING, payload STRING").json(path)
+    v = F.try_parse_json("payload")
+    return d.select("ticker", "kind", v.alias("payload"), F.when(v.isNull(), F.col("payload")).alias("broken"))
+
+
+def footnote_lake(spark: SparkSession, path: str) -> DataFrame:
+    """Payloads as ``sinks.save_footnotes`` stored them: a filter on ``kind`` prunes partitions."""
+    return spark.read.schema("ticker STRING, payload VARIANT, broken STRING, kind STRING").parquet(path)
 
 
 CHART = "periods ARRAY<STRING>, series ARRAY<STRUCT<name: STRING, data: ARRAY<DOUBLE>>>, rates ARRAY<STRUCT<name: STRING, data: ARRAY<DOUBLE>>>"

@@ -49,6 +49,11 @@ def inventory(periods: DataFrame, key: str = "ticker") -> DataFrame:
                                     F.max(F.coalesce("stitched", F.lit(False)) if "stitched" in periods.columns else F.lit(False)).alias("stitched"))
 
 
+def save_footnotes(footnotes: DataFrame, path: str) -> None:
+    """Parsed payloads by kind."""
+    footnotes.select("ticker", "payload", "broken", "kind").write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
 def write_source_comparison(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 

@@ -97,16 +97,5 @@ def test_text(spark):
 
 
 def test_payload(spark):
-    j = '{"data":[{"fiscalYear":2023,"x":1},{"fiscalYear":2024,"x":2},{"x":3}]}'
-    assert one(spark, P.latest_block(F.lit(j)))["x"] == "2"
-    assert one(spark, P.latest_block(F.lit('[{"x":7},{"x":8}]')))["x"] == "7"
-    assert one(spark, P.latest_block(F.lit('{"x":9}')))["x"] == "9"
-    m = P.payload_map(F.lit('{"a":"","b":" t ","n":"x","k":1.5,"l":[{"q":1}]}'))
-    assert one(spark, P.first_text(m, "a", "b")) == "t" and one(spark, P.first_number(m, "n", "k")) == 1.5
-    assert one(spark, P.objects(m, "a", "l")) == [{"q": "1"}] and one(spark, P.objects(m, "k")) is None
     pct = one(spark, P.percent_form(F.create_map(F.lit("roe"), F.lit(40.0), F.lit("growth"), F.lit(0.2)), ["roe"]))
     assert pct == {"roe": 0.4, "growth": 0.2}
-    spark.udtf.register("walk_test", P.json_walk_udtf())
-    rows = spark.sql("""SELECT * FROM walk_test('{"a":{"b":[{"c":1},{"c":"x"}]},"d":null,"e":2}')""").collect()
-    assert {(r["key"], r["value"]) for r in rows} == {("c", "1"), ("c", "x"), ("e", "2")}
-    assert spark.sql("SELECT * FROM walk_test('not json')").count() == 0

@@ -86,7 +86,7 @@ def test_sessions(spark):
 
 
 def foot(spark, kind, payload):
-    return spark.createDataFrame([("A", kind, json.dumps(payload))], "ticker string, kind string, payload string")
+    return spark.createDataFrame([("A", kind, json.dumps(payload))], "ticker string, kind string, payload string").withColumn("payload", F.try_parse_json("payload"))
 
 
 def signals(spark, kind, payload, cap=None, revenue=None):
