@@ -52,7 +52,7 @@ INSTRUMENTS = 12
 
 def panel(spark, sf_dir):
     """Twelve instruments over the whole trade table, dense by session."""
-    t = V.trades(spark, sf_dir).withColumn("instrument", F.concat(F.lit("I"), (F.col("ticker") % INSTRUMENTS).cast("string")))
+    t = V.daily(spark, sf_dir).withColumn("instrument", F.concat(F.lit("I"), (F.col("ticker") % INSTRUMENTS).cast("string")))
     bars = t.groupBy("instrument", "session").agg(F.sum("ext").alias("ext"), F.sum("qty").alias("qty"))
     d = PA.dense_panel(V._smoothed(bars, "instrument"), "instrument")
     return d.withColumn("sleeve", F.concat(F.lit("S"), (F.substring("instrument", 2, 3).cast("int") % 3).cast("string")))

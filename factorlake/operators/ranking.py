@@ -42,10 +42,35 @@ def positions(df: DataFrame, group: list[str], value: str, key: str) -> DataFram
         *df.columns, "_ordinal", F.coalesce("_t", "_n").alias("_ties"), F.coalesce("_b", F.col("_before") + F.col("_first") - 1).alias("_below"), "_size")
 
 
+def value_ranks(df: DataFrame, group: list[str], values: list[str]) -> DataFrame:
+    """(group..., ``_side``, ``_v``, ``_rank``, ``_size``): the average rank of every different value of each named column.
+
+    Rows are first counted per value, with map-side combine, so a value that a third of all rows share is one
+    row from there on. The counts of all columns are sorted by range once and stored; a range adds up its
+    own counts, and only one total per range and group is added up over the ranges. NULL values have no rank.
+    """
+    # adding 0.0 folds -0.0 into 0.0 so that equal values are ties
+    sides = F.array(*[F.struct(F.lit(i).alias("_side"), (F.col(v).cast("double") + F.lit(0.0)).alias("_v")) for i, v in enumerate(values)])
+    counted = df.select(*group, F.explode(sides).alias("_s")).select(*group, "_s._side", "_s._v").filter("_v IS NOT NULL").groupBy(*group, "_side", "_v").agg(F.count("*").alias("_m"))
+    d = stable(counted.repartitionByRange(*group, "_side", "_v").withColumn("_range", F.spark_partition_id()))
+    column, cell = [*group, "_side"], [*group, "_side", "_range"]
+    so_far = F.sum("_m").over(Window.partitionBy(*cell).orderBy("_v"))
+    ranges = d.groupBy(*cell).agg(F.sum("_m").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*column).orderBy("_range")) - F.col("_rows")
+    ranges = ranges.select(*cell, before.alias("_before"), F.sum("_rows").over(Window.partitionBy(*column)).alias("_size"))
+    placed = d.withColumn("_to", so_far).join(ranges, cell)
+    rank = F.col("_before") + F.col("_to") - F.col("_m") + (F.col("_m") + 1) / 2.0
+    return placed.select(*column, "_v", rank.alias("_rank"), "_size")
+
+
+def _with_rank(df: DataFrame, ranks: DataFrame, group: list[str], value: str, side: int, out: str, centred: bool) -> DataFrame:
+    r = ranks.filter(F.col("_side") == side).select(*group, "_v", (F.col("_rank") - (F.col("_size") + 1) / 2.0 if centred else F.col("_rank")).alias(out))
+    return df.withColumn("_v", F.col(value).cast("double") + F.lit(0.0)).join(r, [*group, "_v"]).drop("_v")
+
+
 def average_rank(df: DataFrame, group: list[str], value: str, key: str, out: str) -> DataFrame:
-    """Rank with ties averaged, 1-based."""
-    d = positions(df, group, value, key)
-    return d.withColumn(out, F.col("_below") + (F.col("_ties") + 1) / 2.0).drop("_below", "_ties", "_ordinal", "_size")
+    """Rank with ties averaged, 1-based; rows without a value are left out."""
+    return _with_rank(df, value_ranks(df, group, [value]), group, value, 0, out, False).select(*df.columns, out)
 
 
 def percentile_score(df: DataFrame, group: list[str], value: str, key: str, out: str, higher_better: bool = True) -> DataFrame:
@@ -74,14 +99,12 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str, key: str, min_pair
     """Rank correlation per group over rows where both values are known.
 
     Pearson over average ranks; no result below ``min_pairs`` rows or with a constant side.  The mean
-    rank is always (n + 1) / 2, so centred ranks need one pass of plain sums.
+    rank is always (n + 1) / 2, so centred ranks need one pass of plain sums.  ``df`` is read twice, for the
+    counts and for the pairs: hand in a stored table.
     """
-    def centred(d: DataFrame, value: str, out: str) -> DataFrame:
-        p = positions(d, group, value, key)
-        rank = F.col("_below") + (F.col("_ties") + 1) / 2.0
-        return p.withColumn(out, rank - (F.col("_size") + 1) / 2.0).drop("_below", "_ties", "_ordinal", "_size")
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, key, x, y)
-    ranked = centred(centred(both, x, "_rx"), y, "_ry")
+    ranks = value_ranks(both, group, [x, y])
+    ranked = _with_rank(_with_rank(both, ranks, group, x, 0, "_rx", True), ranks, group, y, 1, "_ry", True)
     out = ranked.groupBy(*group).agg(
         F.count("*").alias("pairs"), F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"),
         F.sum(F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(F.col("_ry") * F.col("_ry")).alias("_yy"))

@@ -140,23 +140,37 @@ def with_macd(bars: DataFrame, key: str = "ticker") -> DataFrame:
                     F.when(ok, F.try_divide(F.col("_line") - F.col("_sig"), F.col("close"))).alias("macd_histogram"))
 
 
+def _asked(dates: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """One row, one struct: the dates to answer in order, each with its snapshot and horizon, the first of
+    them, and for every day of the calendar from there on how many lie on or before it."""
+    def answers(h: int) -> Column:
+        return F.transform("dates", lambda x: F.struct(F.date_add(x, h).alias("at"), x.alias("snapshot"), F.lit(h).alias("h")))
+    each = [answers(h) for h in (0, *horizons)]
+    d = dates.select(F.array_sort(F.flatten(F.array(*each))).alias("asked"))
+    first, last = F.get("asked", F.lit(0))["at"], F.get("asked", F.size("asked") - 1)["at"]
+    counts = F.transform(F.sequence(F.lit(0), F.datediff(last, first)), lambda i: F.size(F.filter("asked", lambda a: F.datediff(a["at"], first) <= i)))
+    return d.select(F.struct("asked", first.alias("first"), counts.alias("counts")))
+
+
 def features_at(prices: DataFrame, dates: DataFrame, horizons: tuple[int, ...] = (),
                 key: str = "ticker") -> DataFrame:
     """Features as of every snapshot date: (ticker, snapshot, session, price, features, close_<days>).
 
     ``dates`` is one row with one array of dates.  A bar answers for the dates in
     ``[its session, next session)``, the last bar for everything later, so the as-of join needs no
-    second shuffle: windows and the final pivot all run on the ticker partitioning.
+    second shuffle: windows and the final pivot all run on the ticker partitioning.  A bar finds its
+    dates by position, two lookups whatever the number of dates and horizons.
     ``horizons`` adds the as-of close that many days after the snapshot.
     """
-    d = _windowed(prices, key, with_averages=True).withColumn("_dates", dates.scalar())
-
-    def answered(days: int) -> Column:
-        hit = F.filter("_dates", lambda x: (F.date_add(x, days) >= F.col("session")) &
-                       (F.col("next").isNull() | (F.date_add(x, days) < F.col("next"))))
-        return F.transform(hit, lambda x: F.struct(x.alias("snapshot"), F.lit(days).alias("h")))
-    hits = [answered(h) for h in (0, *horizons)]
-    d = d.withColumn("hit", F.explode(F.concat(*hits) if len(hits) > 1 else hits[0])).withColumn("snapshot", F.col("hit.snapshot"))
+    d = _windowed(prices, key, with_averages=True).withColumn("_ask", _asked(dates, horizons).scalar())
+    asked, first, counts = F.col("_ask.asked"), F.col("_ask.first"), F.col("_ask.counts")
+
+    def until(day: Column) -> Column:
+        """How many of the asked dates lie before ``day``: looked up by the day's place in the calendar."""
+        at = F.datediff(day, first)
+        return F.when(at <= 0, 0).when(at > F.size(counts), F.size(asked)).otherwise(F.get(counts, at - 1))
+    d = d.withColumns({"_from": until(F.col("session")), "_to": F.when(F.col("next").isNull(), F.size(asked)).otherwise(until(F.col("next")))}).filter("_to > _from")
+    d = d.withColumn("hit", F.explode(F.slice(F.col("_ask.asked"), F.col("_from") + 1, F.col("_to") - F.col("_from")))).withColumn("snapshot", F.col("hit.snapshot"))
     # only the bars that answer for a date get their ratios computed
     d = _finished(d, [key, "session", "close", "n", "snapshot", "macd_line", "macd_histogram", "hit"])
     here = F.col("hit.h") == 0

@@ -1,16 +1,21 @@
 """Market-shaped views over the star-schema tables.
 
 A supplier plays the asset, its shipments the trades.  Money is summed as BIGINT cents so that no
-result depends on the order of summation.  Every view first aggregates with map-side combine on
-(ticker, day) or (ticker, quarter), so a supplier that holds a third of all rows never reaches a
-single task with its raw rows: after that step a ticker has at most one row per calendar day.
+result depends on the order of summation.  The trades are first combined per (ticker, day), with
+map-side combine, so a supplier that holds a third of all rows never reaches a single task with its
+raw rows: after that step a ticker has at most one row per calendar day.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_folder
+from .sinks import save_by_ticker
+
 #: Bars that smooth one close, filing delay, report delay.
 SMOOTH_BARS = 60
 FILING_BASE_DAYS = 45
@@ -64,35 +69,66 @@ def _smoothed(bars: DataFrame, key: str) -> DataFrame:
             .select(key, "session", "close"))
 
 
+_DAILY: dict[tuple, str] = {}
+#: A bucket of the daily table comes from about so many bytes of trades; more buckets than this are never made.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 20_000
+
+
+def _stamp(spark: SparkSession, path: str) -> int:
+    """When the table last changed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (ticker, day) with every sum the views need, bucketed by ticker.
+
+    Written once per data set and session, in one pass over the trades: all later windows, groupings and
+    joins on the ticker read it without an exchange. A changed table is summed anew.
+    """
+    source = read(spark, sf_dir, "lineitem")
+    path = f"{sf_dir}/lineitem.parquet"
+    key = (spark.sparkContext.applicationId, path, _stamp(spark, path))
+    if key not in _DAILY or not spark.catalog.tableExists(_DAILY[key]):
+        size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, size // BUCKET_BYTES))
+        name = f"daily_{uuid.uuid4().hex}"
+        save_by_ticker(_daily_sums(trades(spark, sf_dir)), name, f"{shared_folder(spark)}/{name}", buckets, ["session"])
+        _DAILY[key] = name
+    return spark.table(_DAILY[key])
+
+
+def _daily_sums(t: DataFrame) -> DataFrame:
+    ext, paid = F.col("ext"), (F.col("flag") == "N") & (F.col("line") == 1)
+
+    def part(cond):
+        return F.sum(F.when(cond, ext).otherwise(0))
+    return t.groupBy("ticker", "session").agg(
+        F.sum(ext).alias("ext"), F.sum("qty").alias("qty"), F.sum(ext * F.col("disc_pct")).alias("disc"), F.sum(ext * F.col("tax_pct")).alias("tax"),
+        part(F.col("flag") != "R").alias("kept"), part(F.col("flag") == "A").alias("a"), part(F.col("flag") == "N").alias("n"), part(F.col("status") == "O").alias("open"),
+        F.count_if(paid).alias("payments"), F.sum(F.when(paid, F.col("disc_pct")).otherwise(0)).alias("paid_pct"))
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = trades(spark, sf_dir).groupBy("ticker", "session").agg(F.sum("ext").alias("ext"), F.sum("qty").alias("qty"))
-    return _smoothed(bars, "ticker")
+    return _smoothed(daily(spark, sf_dir), "ticker")
 
 
 def market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All assets together: one row per day, so the one-key window is bounded by the calendar."""
-    bars = (trades(spark, sf_dir).groupBy("session").agg(F.sum("ext").alias("ext"), F.sum("qty").alias("qty"))
+    bars = (daily(spark, sf_dir).groupBy("session").agg(F.sum("ext").alias("ext"), F.sum("qty").alias("qty"))
             .withColumn("symbol", F.lit("MARKET")))
     return _smoothed(bars, "symbol")
 
 
 def last_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last session per asset straight from the trades: no window needed."""
-    return trades(spark, sf_dir).groupBy("ticker").agg(F.max("session").alias("session"))
+    """Last session per asset: no window needed."""
+    return daily(spark, sf_dir).groupBy("ticker").agg(F.max("session").alias("session"))
 
 
-def _raw_sums(df: DataFrame, *keys: str) -> DataFrame:
-    ext = F.col("ext")
-
-    def part(cond):
-        return F.sum(F.when(cond, ext).otherwise(0))
-    return df.groupBy(*keys).agg(
-        F.sum(ext).alias("s_ext"), F.sum("qty").alias("s_qty"),
-        F.sum(ext * F.col("disc_pct")).alias("s_disc"), F.sum(ext * F.col("tax_pct")).alias("s_tax"),
-        part(F.col("flag") != "R").alias("s_kept"), part(F.col("flag") == "A").alias("s_a"),
-        part(F.col("flag") == "N").alias("s_n"), part(F.col("status") == "O").alias("s_open"),
-        part(F.month("session") >= 7).alias("s_half2"),
-    )
+def _period_sums(days: DataFrame, period_end: Column) -> DataFrame:
+    named = {"ext": "s_ext", "qty": "s_qty", "disc": "s_disc", "tax": "s_tax", "kept": "s_kept", "a": "s_a", "n": "s_n", "open": "s_open"}
+    half = F.sum(F.when(F.month("session") >= 7, F.col("ext")).otherwise(0)).alias("s_half2")
+    return days.groupBy("ticker", period_end.alias("period_end")).agg(*[F.sum(c).alias(out) for c, out in named.items()], half)
 
 
 #: Long-form layout of the statement facts: statement -> fact columns.
@@ -141,15 +177,15 @@ def _acctbal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annual_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fiscal-year facts in cents, one wide row per ticker and year, with its filing day."""
-    t = trades(spark, sf_dir).withColumn("period_end", F.make_date(F.year("session"), F.lit(12), F.lit(31)))
-    facts = _with_facts(_raw_sums(t, "ticker", "period_end"), _acctbal(spark, sf_dir))
+    sums = _period_sums(daily(spark, sf_dir), F.make_date(F.year("session"), F.lit(12), F.lit(31)))
+    facts = _with_facts(sums, _acctbal(spark, sf_dir))
     filed = F.date_add("period_end", (F.lit(FILING_BASE_DAYS) + F.col("ticker") % 60).cast("int"))
     return facts.select("ticker", "period_end", filed.alias("date_filed"), *FACTS)
 
 
 def quarterly_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).withColumn("period_end", F.last_day(F.add_months(F.trunc("session", "quarter"), 2)))
-    facts = _with_facts(_raw_sums(t, "ticker", "period_end"), _acctbal(spark, sf_dir))
+    sums = _period_sums(daily(spark, sf_dir), F.last_day(F.add_months(F.trunc("session", "quarter"), 2)))
+    facts = _with_facts(sums, _acctbal(spark, sf_dir))
     return facts.select("ticker", "period_end", *FACTS)
 
 
@@ -172,13 +208,12 @@ def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amount in currency, one row per ticker and ex-date."""
-    t = trades(spark, sf_dir).filter((F.col("flag") == "N") & (F.col("line") == 1))
-    return t.groupBy("ticker", F.col("session").alias("ex_date")).agg((F.sum("disc_pct").cast("decimal(20,0)") / 100).cast("decimal(20,2)").alias("amount"))
+    return daily(spark, sf_dir).filter("payments > 0").select("ticker", F.col("session").alias("ex_date"), (F.col("paid_pct").cast("decimal(20,0)") / 100).cast("decimal(20,2)").alias("amount"))
 
 
 def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).withColumn("quarter_end", F.last_day(F.add_months(F.trunc("session", "quarter"), 2)))
-    per_quarter = t.groupBy("ticker", "quarter_end").agg(F.sum("ext").alias("eps_reported"))
+    quarter_end = F.last_day(F.add_months(F.trunc("session", "quarter"), 2)).alias("quarter_end")
+    per_quarter = daily(spark, sf_dir).groupBy("ticker", quarter_end).agg(F.sum("ext").alias("eps_reported"))
     w = Window.partitionBy("ticker").orderBy("quarter_end")
     est = F.lag("eps_reported").over(w)
     rep = F.col("eps_reported")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factorlake import stable
 from factorlake.operators import metrics as M, ranking as R
+from factorlake.session import shared_folder
 
 
 def cross_section(spark, seed, hot):
@@ -128,3 +130,17 @@ def test_top_n_breaks_ties_by_ticker_and_is_limited_early(spark):
     assert "WindowGroupLimit" in t._jdf.queryExecution().executedPlan().toString()
     many = R.top_n_many(d, ["snapshot"], [1, 3])
     assert sorted((r["n"], r["ticker"]) for r in many.collect()) == [(1, 2), (3, 1), (3, 2), (3, 3)]
+
+
+def test_value_ranks_take_one_write_and_spread_hot_values(spark):
+    rows, d = cross_section(spark, 4, 0.4)
+    tables = lambda: len(os.listdir(f"{shared_folder(spark)}/tables"))
+    before = tables()
+    R.spearman(d, ["g"], "v", "y", "k")
+    assert tables() == before + 1
+    ranks = R.value_ranks(d, ["g"], ["v", "y"])
+    assert ranks.count() == sum(len({r[i] + 0.0 for r in rows if r[0] == g and r[i] is not None}) for g in "ab" for i in (2, 3))
+    want = pd.DataFrame(rows, columns=["g", "k", "v", "y"])
+    want["r"] = (want["v"] + 0.0).groupby(want["g"]).rank()
+    got = R.average_rank(d, ["g"], "v", "k", "r").toPandas().merge(want, on=["g", "k"])
+    assert len(got) == len(want) and (got["r_x"] == got["r_y"]).all()
