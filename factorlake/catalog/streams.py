@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..sources import driver_views as V
-from ..streaming import market_streams as ST
+from ..streaming import keyed_state as KS, market_streams as ST
 from .registry import query, rnd
 
 
@@ -17,16 +17,19 @@ def _events(spark, sf_dir):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _in_batches(spark, sf_dir, files: int = 4):
-    """The events as several files, read one per micro-batch."""
+def _in_batches(spark, sf_dir, batches: int = 4):
+    """The events landed as files in order of time, read in several micro-batches; files and files per batch grow with the table."""
     events = V.read(spark, sf_dir, "events")
     source = f"{_folder(spark)}/events"
-    events.repartition(files).write.parquet(source)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = max(1, min(1_000_000, events.count() // batches))
+    events.repartitionByRange("ts").sortWithinPartitions("ts").write.option("maxRecordsPerFile", rows).parquet(source)
+    landed = spark.read.schema(events.schema).parquet(source)
+    per_batch = max(1, -(-len(landed.inputFiles()) // batches))
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", per_batch).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _feed(stream, apply, state: str) -> None:
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+def _feed(stream, apply, state: str, mode: str = "append") -> None:
+    stream.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 def _folder(spark) -> str:
@@ -57,12 +60,27 @@ def stream_filing_pulse(spark, sf_dir):
 @query("stream_latest_per_key", "STR-4", """SELECT event_type, user_id, MAX_BY(value, (ts, event_id)) AS value, MAX_BY(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2
  HAVING MAX(ts) >= (SELECT MAX(ts) FROM events) - INTERVAL 10 DAY""")
 def stream_latest_per_key(spark, sf_dir):
-    """Several micro-batches; keys without a record in the last ten days have expired."""
+    """Several micro-batches; a key without a record in the last ten days leaves the state, which is the result."""
     base = _folder(spark)
-    keys, order = ["event_type", "user_id"], ["ts", "event_id"]
     e = _in_batches(spark, sf_dir).select("ts", "event_id", "event_type", "user_id", "value")
-    _feed(e, ST.append_batches(f"{base}/latest", lambda d: ST.newest_per_key(d, keys, order)), f"{base}/state")
-    return ST.latest_per_key(spark, f"{base}/latest", keys, order, ttl_days=10).select("event_type", "user_id", "value", "event_id")
+    changes = KS.latest_changes(e, ["event_type", "user_id"], ["event_id"], "10 days")
+    with KS.rocks_state(spark):
+        _feed(changes, lambda d, i: d.write.mode("overwrite").parquet(f"{base}/changes/batch={i}"), f"{base}/state", "update")
+    return KS.latest_records(spark, f"{base}/state").select("event_type", "user_id", "value", "event_id")
+
+
+@query("stream_expired_keys", "STR-4", """SELECT event_type, COUNT(*) AS keys, COUNT(*) FILTER (newest < (SELECT MAX(ts) FROM events) - INTERVAL 10 DAY) AS expired FROM (
+ SELECT event_type, user_id, MAX(ts) AS newest FROM events GROUP BY 1, 2) GROUP BY 1""")
+def stream_expired_keys(spark, sf_dir):
+    """Keys ever seen and keys whose last change is their expiry."""
+    base = _folder(spark)
+    e = _in_batches(spark, sf_dir).select("ts", "event_id", "event_type", "user_id")
+    changes = KS.latest_changes(e, ["event_type", "user_id"], ["event_id"], "10 days")
+    with KS.rocks_state(spark):
+        _feed(changes, lambda d, i: d.write.mode("overwrite").parquet(f"{base}/changes/batch={i}"), f"{base}/state", "update")
+    log = spark.read.parquet(f"{base}/changes")
+    last = log.groupBy("event_type", "user_id").agg(F.max_by("op", F.struct("batch", F.col("op") == "upsert")).alias("op"))
+    return last.groupBy("event_type").agg(F.count("*").alias("keys"), F.count_if(F.col("op") == "expired").alias("expired"))
 
 
 @query("stream_bar_upsert", "STR-2 JOIN-17", """SELECT event_type AS ticker, CAST(ts AS DATE) AS session, MAX_BY(value, (CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END, ts, value)) AS close,

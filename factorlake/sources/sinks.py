@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
+from .upsert import upsert
+
 
 def write_report(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = rows.write.mode("overwrite")
@@ -22,25 +26,13 @@ def write_ic(ic: DataFrame, path: str) -> None:
 
 
 def save_periods(periods: DataFrame, path: str, buckets: int = 64, key: str = "ticker") -> None:
-    """Stores parsed periods by ticker bucket; a ticker that arrives empty keeps what it had.
+    """Stores parsed periods by ticker bucket; a ticker that arrives replaces what it had, one that does not keeps it.
 
-    Buckets with new rows are rewritten as a whole: stored tickers that the batch does not carry are
-    read back first.  The merged rows are checkpointed before the overwrite touches their source.
+    Only the buckets of the arriving tickers are read and rewritten (see ``upsert``).
     """
-    from ..session import stable
-    spark = periods.sparkSession
-    fresh = periods.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets)))
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as e:  # first save: nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        merged = fresh
-    else:
-        touched = stored.join(fresh.select("bucket").distinct(), "bucket", "left_semi")
-        kept = touched.join(fresh.select(key).distinct(), key, "left_anti")
-        merged = stable(fresh.unionByName(kept.select(*fresh.columns)))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    def merge(fresh: DataFrame, stored: DataFrame | None) -> DataFrame:
+        return fresh if stored is None else fresh.unionByName(stored.join(fresh.select(key).distinct(), key, "left_anti"))
+    upsert(periods.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets))), path, ["bucket"], merge, uuid.uuid4().hex)
 
 
 def inventory(periods: DataFrame, key: str = "ticker") -> DataFrame:

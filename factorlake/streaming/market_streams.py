@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import ratio
+from ..sources.upsert import upsert
 
 
 def daily_bars(ticks: DataFrame, key: str = "event_type", delay: str = "1 hour") -> DataFrame:
@@ -31,52 +30,35 @@ def newest_per_key(records: DataFrame, keys: list[str], order: list[str]) -> Dat
     return records.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-def append_batches(table: str, merge: Callable[[DataFrame], DataFrame]):
-    """``foreachBatch`` function that writes each micro-batch, merged in itself, to a folder of its own.
-
-    The cost of a batch follows the batch, not the table. A replayed batch rewrites the same folder, so
-    neither a replay nor a lost executor leaves a half-written or doubled batch.
-    """
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        merge(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-    return apply
-
-
-def read_batches(spark: SparkSession, table: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The merged content of all batches; a batch that is missing between others is an error, not an empty table."""
-    d = spark.read.option("recursiveFileLookup", "false").parquet(table)
-    low, high, n = d.select("batch").distinct().agg(F.min("batch"), F.max("batch"), F.count("*")).first()
-    if n and (low != 0 or high != n - 1):
-        raise ValueError(f"{table} lacks batches: {n} of {high + 1} are there")
-    return merge(d.drop("batch"))
-
-
-def latest_per_key(spark: SparkSession, table: str, keys: list[str], order: list[str], ttl_days: int | None = None, stamp: str = "ts") -> DataFrame:
-    """Newest record per key of the batches below ``table``; keys whose newest record is more than ``ttl_days`` older
-    than the newest of all have expired."""
-    d = read_batches(spark, table, lambda x: newest_per_key(x, keys, order))
-    if ttl_days is None:
-        return d
-    newest = d.agg(F.max(stamp).alias("_now"))
-    return d.filter(F.col(stamp) >= newest.scalar() - F.expr(f"INTERVAL {ttl_days} DAYS"))
-
-
-def merge_bars(bars: DataFrame, key: str = "ticker") -> DataFrame:
-    """One bar per (ticker, session): a real bar outranks a quote bar, a later one of a kind wins, then the higher close.
+def merge_bars(bars: DataFrame, key: str = "ticker", last: list[str] | None = None) -> DataFrame:
+    """One bar per (ticker, session): a real bar outranks a quote bar, a later one of a kind wins, then the higher close, then ``last``.
 
     Columns: key, session, close, origin ('bar' or 'quote'), seen_at.
     """
     ranked = bars.withColumn("_real", (F.col("origin") == "bar").cast("int"))
-    return newest_per_key(ranked, [key, "session"], ["_real", "seen_at", "close"]).drop("_real")
+    return newest_per_key(ranked, [key, "session"], ["_real", "seen_at", "close", *(last or [])]).drop("_real")
+
 
+def bar_upsert(table: str, key: str = "ticker", buckets: int = 16):
+    """``foreachBatch`` function that merges a micro-batch of bars into the table that ``read_bars`` reads.
 
-def bar_upsert(table: str, key: str = "ticker"):
-    """``foreachBatch`` function that adds a micro-batch of bars to the table that ``read_bars`` reads."""
-    return append_batches(table, lambda d: merge_bars(d, key))
+    The table is partitioned by month and ticker bucket; a batch reads and replaces only the partitions it
+    has bars for. ``batch`` names the batch a bar came from, so a replay can be told from a new batch: it changes nothing.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        placed = {"month": F.date_format("session", "yyyy-MM"), "bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")}
+        fresh = merge_bars(batch, key).withColumn("batch", F.lit(batch_id).cast("long")).withColumns(placed)
+
+        def merge(new: DataFrame, stored: DataFrame | None) -> DataFrame:
+            # of equal bars the one stored first stays
+            both = new if stored is None else stored.unionByName(new)
+            return merge_bars(both.withColumn("_first", -F.col("batch")), key, ["_first"])
+        upsert(fresh, table, ["month", "bucket"], merge, f"batch={batch_id}")
+    return apply
 
 
-def read_bars(spark: SparkSession, table: str, key: str = "ticker") -> DataFrame:
-    return read_batches(spark, table, lambda d: merge_bars(d, key))
+def read_bars(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.parquet(table).drop("month", "bucket")
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:

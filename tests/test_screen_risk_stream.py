@@ -139,32 +139,6 @@ def test_field_comparison(spark):
     assert cov == {"x": 100.0, "y": 50.0}
 
 
-def test_bar_upsert_prefers_real_bars_and_is_replayable(spark, tmp_path):
-    schema = "ticker string, session date, close double, origin string, seen_at timestamp"
-    d, t = dt.date(2024, 7, 3), lambda h: dt.datetime(2024, 7, 3, h)
-    path = str(tmp_path / "bars")
-    apply = MS.bar_upsert(path)
-    apply(spark.createDataFrame([("A", d, 12.0, "quote", t(21))], schema), 0)
-    second = spark.createDataFrame([("A", d, 12.5, "bar", t(20)), ("B", d, 1.0, "quote", t(20))], schema)
-    apply(second, 1)
-    apply(second, 1)
-    got = {r["ticker"]: (r["close"], r["origin"]) for r in MS.read_bars(spark, path).collect()}
-    assert got == {"A": (12.5, "bar"), "B": (1.0, "quote")}
-    apply(second, 3)
-    with pytest.raises(ValueError, match="lacks batches"):
-        MS.read_bars(spark, path)
-
-
-def test_the_newest_record_of_a_key_survives_and_old_keys_expire(spark, tmp_path):
-    path, schema = str(tmp_path / "latest"), "k string, ts timestamp, v int"
-    apply = MS.append_batches(path, lambda d: MS.newest_per_key(d, ["k"], ["ts"]))
-    day = lambda n: dt.datetime(2024, 7, n)
-    apply(spark.createDataFrame([("a", day(1), 1), ("a", day(3), 3), ("b", day(1), 9)], schema), 0)
-    apply(spark.createDataFrame([("a", day(2), 2), ("c", day(5), 5)], schema), 1)
-    read = lambda ttl: {r["k"]: r["v"] for r in MS.latest_per_key(spark, path, ["k"], ["ts"], ttl).collect()}
-    assert read(None) == {"a": 3, "b": 9, "c": 5} and read(2) == {"a": 3, "c": 5}
-
-
 def test_stream_bars_equal_batch_for_closed_days(spark, tmp_path):
     src, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
     rows = [("k", dt.datetime(2024, 1, day, h), float(day * 10 + h)) for day in (1, 2, 3) for h in (1, 5, 23)]
