@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from .prefix_join import best_by_prefix
 
 # Concept order per fact (the first one holding a value wins).
 CONCEPTS = {
@@ -95,23 +96,17 @@ def stitch_entities(periods: DataFrame, entities: DataFrame, today: Column) -> D
     """A successor with few annual periods takes over the longest live series of a like-named filer.
 
     ``periods``: cik, period_end.  ``entities``: cik, ticker (NULL for candidates only), name, kind.
-    Candidates share a normalised name prefix with one of the successor's search variants: an
-    equi-join on exploded prefixes, never a cross join of names.
+    A candidate's normalised name starts with one of the successor's search variants, found by an ordered
+    merge of names and variants. Two candidates per variant do: the best one may be the successor itself.
     """
     stats = periods.groupBy("cik").agg(F.count("*").alias("n"), F.max("period_end").alias("newest"))
     e = entities.join(stats, "cik", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     norm = lambda c: F.lower(F.regexp_replace(c, r"[^A-Za-z0-9]+", ""))
     short = e.filter(F.col("ticker").isNotNull() & (F.col("n") < MIN_ANNUAL_PERIODS))
-    wanted = short.select(F.col("ticker"), F.col("cik").alias("own"), F.col("n").alias("own_n"),
-                          F.explode(X.search_variants("name")).alias("q")).withColumn("prefix", norm(F.col("q"))).filter(F.length("prefix") >= 4)
-    # every prefix of a candidate name of 4 characters or more
-    live = e.filter((F.col("kind") == "stock") & (F.datediff(today, F.col("newest")) <= MAX_PERIOD_AGE_DAYS)).withColumn("nn", norm(F.col("name")))
-    cand = live.filter(F.length("nn") >= 4).select(F.col("cik").alias("cand"), F.col("n").alias("cand_n"), F.explode(F.transform(
-        F.sequence(F.lit(4), F.length("nn")), lambda k: F.substring("nn", F.lit(1), k))).alias("prefix"))
-    # a prefix shared by many filers keeps its two best: the best one may be the successor itself
-    best = Window.partitionBy("prefix").orderBy(F.col("cand_n").desc(), "cand")
-    cand = cand.distinct().withColumn("_k", F.row_number().over(best)).filter("_k <= 2").drop("_k")
-    hits = wanted.join(cand, "prefix").filter((F.col("cand") != F.col("own")) & (F.col("cand_n") > F.col("own_n")))
+    wanted = short.select(F.col("ticker"), F.col("cik").alias("own"), F.col("n").alias("own_n"), F.explode(X.search_variants("name")).alias("v")).withColumn("q", norm(F.col("v"))).drop("v")
+    live = e.filter((F.col("kind") == "stock") & (F.datediff(today, F.col("newest")) <= MAX_PERIOD_AGE_DAYS))
+    best = best_by_prefix(wanted.select("q"), live.select(norm(F.col("name")).alias("name"), F.col("cik").alias("id"), F.col("n").alias("weight")))
+    hits = wanted.join(best.select("q", F.col("id").alias("cand"), F.col("weight").alias("cand_n")), "q").filter((F.col("cand") != F.col("own")) & (F.col("cand_n") > F.col("own_n")))
     return hits.groupBy("ticker", "own", "own_n").agg(
         F.max_by(F.struct("cand", "cand_n"), F.struct("cand_n", (-F.col("cand")).alias("k"))).alias("b")).select(
         "ticker", "own", "own_n", F.col("b.cand").alias("cik"), F.col("b.cand_n").alias("periods"))

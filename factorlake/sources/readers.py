@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType, StructField, StructType
 
-from ..functions import payload as P
+from ..functions import payload as P, variants as VA
 from ..functions.numeric import finite, finite_number, sanitize_yield
 
 # Flat field -> (module, key) of the nested quote payload; text fields are listed apart.
@@ -39,14 +39,34 @@ QUOTE_TEXT = ["ticker", "quoteType", "shortName", "longName", "sector", "currenc
 
 def flatten_quotes(raw: DataFrame) -> DataFrame:
     """Quote text columns to typed ones: finite numbers only, ETF or STOCK by quote type."""
-    d = raw.select(*QUOTE_TEXT, *[finite_number(c).alias(c) for c in QUOTE_NUMBERS])
+    aside = ["_extra"] if "_extra" in raw.columns else []
+    d = raw.select(*QUOTE_TEXT, *[finite_number(c).alias(c) for c in QUOTE_NUMBERS], *aside)
     return d.withColumn("asset_type", F.when(F.upper("quoteType") == "ETF", "ETF").otherwise("STOCK")).withColumn(
         "name", F.coalesce(F.nullif("shortName", F.lit("")), F.col("longName"))).withColumn("dividendYield", sanitize_yield("dividendYield"))
 
 
+def json_objects(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Landed JSON lines: the named members as text, the others aside in ``_extra``, a line that is no object in ``_broken``."""
+    line = F.col("value")
+    m = VA.fields(F.try_parse_json(line))
+    d = spark.read.text(path).select(m.alias("m"), F.when(m.isNull(), line).alias("_broken"))
+    as_text = lambda v: F.try_variant_get(v, "$", "string")
+    extra = F.transform_values(F.map_filter("m", lambda k, _: ~k.isin(names)), lambda _, v: as_text(v))
+    return d.select(*[as_text(VA.member(F.col("m"), n)).alias(n) for n in names], F.when(F.size(extra) > 0, extra).alias("_extra"), "_broken")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """The lines of a landed file that could not be read."""
+    return rows.filter("_broken IS NOT NULL").select("_broken")
+
+
+def quote_lines(spark: SparkSession, path: str) -> DataFrame:
+    return json_objects(spark, path, QUOTE_TEXT + QUOTE_NUMBERS)
+
+
 def read_quotes(spark: SparkSession, path: str) -> DataFrame:
-    fields = [StructField(c, StringType()) for c in QUOTE_TEXT + QUOTE_NUMBERS]
-    return flatten_quotes(spark.read.schema(StructType(fields)).json(path))
+    """Typed quotes of the readable lines; members nobody knows yet stay in ``_extra``."""
+    return flatten_quotes(quote_lines(spark, path).filter("_broken IS NULL"))
 
 
 def flatten_quote_modules(df: DataFrame, modules: Column | str = "modules", key: str = "ticker") -> DataFrame:
@@ -64,16 +84,23 @@ def flatten_quote_modules(df: DataFrame, modules: Column | str = "modules", key:
 
 
 def normalise_bars(raw: DataFrame) -> DataFrame:
-    """Adjusted closes preferred to plain ones; dates without a zone."""
-    close = F.coalesce(finite("adjclose"), finite("close")) if "adjclose" in raw.columns else finite("close")
-    keep = [c for c in ("open", "high", "low", "volume") if c in raw.columns]
-    return raw.select("ticker", F.to_date("session").alias("session"), *keep, close.alias("close")).filter("close IS NOT NULL")
+    """Adjusted closes preferred to plain ones; dates without a zone; rows without a date or a close drop out."""
+    close = F.coalesce(finite_number("adjclose"), finite_number("close")) if "adjclose" in raw.columns else finite_number("close")
+    keep = [finite_number(c).alias(c) for c in ("open", "high", "low") if c in raw.columns] + [F.col("volume").cast("string").try_cast("bigint").alias("volume") for _ in range("volume" in raw.columns)]
+    return raw.select("ticker", F.col("session").cast("string").try_cast("date").alias("session"), *keep, close.alias("close")).filter("session IS NOT NULL AND close IS NOT NULL")
 
 
-def read_prices(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    schema = "ticker STRING, session DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, adjclose DOUBLE, volume BIGINT"
+def price_rows(spark: SparkSession, path: str, fmt: str = "parquet", months: tuple[str, str] | None = None) -> DataFrame:
+    """Landed bars below month partitions, CSV values as text; ``months`` (first, last) prunes partitions."""
+    kind = (lambda t: "STRING") if fmt == "csv" else (lambda t: t)
+    schema = ", ".join([f"ticker STRING, session {kind('DATE')}", *[f"{c} {kind('DOUBLE')}" for c in ("open", "high", "low", "close", "adjclose")], f"volume {kind('BIGINT')}", "month STRING"])
     r = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return normalise_bars(r.schema(schema).format(fmt).load(path))
+    d = r.schema(schema).format(fmt).load(path)
+    return d if months is None else d.filter(F.col("month").between(*months))
+
+
+def read_prices(spark: SparkSession, path: str, fmt: str = "parquet", months: tuple[str, str] | None = None) -> DataFrame:
+    return normalise_bars(price_rows(spark, path, fmt, months))
 
 
 def adjust_ohlc(raw: DataFrame) -> DataFrame:
@@ -233,8 +260,9 @@ def parse_sentiment(raw: DataFrame, text: str = "value") -> DataFrame:
                                                      finite_number(F.try_element_at(F.col("s.n"), F.lit("score"))).alias("sub_score"), rating(F.col("s.n")).alias("sub_rating"))
 
 
-def read_sentiment(spark: SparkSession, path: str) -> DataFrame:
-    return parse_sentiment(spark.read.option("wholetext", True).text(path))
+def read_sentiment(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """One payload per file, or per line; what is no payload gives no row."""
+    return parse_sentiment(spark.read.option("wholetext", not per_line).text(path))
 
 
 def read_footnotes(spark: SparkSession, path: str) -> DataFrame:
@@ -307,6 +335,11 @@ def statement_rows(wide: DataFrame, label: str = "label", keys: tuple[str, ...]
                        F.col("value").cast("double").alias("value")).filter("fact IS NOT NULL AND period_end IS NOT NULL")
 
 
+def read_statements(spark: SparkSession, path: str) -> DataFrame:
+    """Landed statement tables as long facts."""
+    return statement_rows(spark.read.parquet(path))
+
+
 # Statement label -> canonical fact.
 STATEMENT_LABELS = {"Net Income": "net_income", "Total Revenue": "revenue", "Basic EPS": "eps", "Diluted EPS": "eps_diluted", "Gross Profit": "gross_profit",
                     "EBIT": "ebit", "Stockholders Equity": "equity", "Total Assets": "total_assets", "Total Debt": "total_debt", "Current Assets": "current_assets",

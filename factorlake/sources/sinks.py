@@ -41,6 +41,13 @@ def inventory(periods: DataFrame, key: str = "ticker") -> DataFrame:
                                     F.max(F.coalesce("stitched", F.lit(False)) if "stitched" in periods.columns else F.lit(False)).alias("stitched"))
 
 
+def save_prices(bars: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Bars by month of session, as ``readers.price_rows`` expects them."""
+    columns = ["ticker", "session", "open", "high", "low", "close", "adjclose", "volume"]
+    writer = bars.select(*columns, "month").write.mode("overwrite").partitionBy("month")
+    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+
+
 def save_footnotes(footnotes: DataFrame, path: str) -> None:
     """Parsed payloads by kind."""
     footnotes.select("ticker", "payload", "broken", "kind").write.mode("overwrite").partitionBy("kind").parquet(path)
