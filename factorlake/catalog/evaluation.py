@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M, scoring as S
@@ -228,3 +231,16 @@ def run_comparison(spark, sf_dir):
     before, after = E.evaluation(m, CFG, st, at).withColumn("k", F.lit(1)), E.evaluation(m, FILED, st, at).withColumn("k", F.lit(1))
     d = M.verdict(before, after, ["k"])
     return d.select(*rounded(d, *[f"delta_{c}" for c in _EM]), "verdict")
+
+
+@query("evaluation_diagnosis", "PIP-2", compose("""SELECT * FROM (SELECT 'whole' AS run, COUNT(*) AS snapshots, CAST(NULL AS VARCHAR) AS error FROM snaps)
+ UNION ALL SELECT 'no assets', NULL, 'Empty universe' UNION ALL SELECT 'no benchmark', NULL, 'Could not fetch benchmark MARKET' UNION ALL SELECT 'no bars', NULL, 'No historical data available'
+ UNION ALL SELECT 'young assets', NULL, 'Not enough history for any snapshot'"""))
+def evaluation_diagnosis(spark, sf_dir):
+    """Runs over the whole tables and with one input after the other taken away."""
+    m, every = market(spark, sf_dir), stocks(spark, sf_dir)
+    young = m.sessions.withColumn("session", F.lit("1993-01-04").cast("date"))
+    cases = {"whole": (m, every), "no assets": (m, every.filter("ticker < 0")), "no benchmark": (replace(m, benchmark=m.benchmark.filter("close < 0")), every),
+             "no bars": (replace(m, prices=m.prices.filter("close < 0")), every), "young assets": (replace(m, sessions=young), every)}
+    runs = [E.diagnosed(a, CFG, b, "MARKET").select(F.lit(name).alias("run"), "snapshots", "error") for name, (a, b) in cases.items()]
+    return reduce(lambda x, y: x.unionByName(y), runs)

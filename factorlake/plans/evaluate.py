@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.dates import months_to_days
 from ..operators import asof as A, fundamentals as U, metrics as M, ranking as R, scoring as S, technicals as T
+from ..session import stable
 
 H6, H12 = months_to_days(6), months_to_days(12)
 
@@ -110,6 +113,38 @@ def evaluation(m: Market, cfg: EvalConfig, stocks: DataFrame | None = None, at:
     return M.evaluation_metrics(rows, ["run"]).drop("run")
 
 
+# Messages of an evaluation that cannot be made.
+EMPTY_UNIVERSE, NO_BENCHMARK, NO_HISTORY, NO_SNAPSHOT = "Empty universe", "Could not fetch benchmark %s", "No historical data available", "Not enough history for any snapshot"
+
+
+def _observed(o: Observation) -> int:
+    """The observed count; 0 where the adaptive plan has replaced the observed part by an empty relation, which then has no figures."""
+    try:
+        return o.get.get("n", 0)
+    except Py4JJavaError:
+        return 0
+
+
+def diagnosed(m: Market, cfg: EvalConfig, stocks: DataFrame, benchmark: str) -> DataFrame:
+    """``evaluation`` with an ``error`` column: its metrics, or one row of nulls that says why there are none.
+
+    What the run has read is observed while it runs: the counts of assets, benchmark closes and bars come
+    back with the stored result, without a second pass. The first reason that applies is named.
+    """
+    seen = {name: Observation(f"{name}-{uuid.uuid4().hex}") for name in ("universe", "benchmark", "bars")}
+    watched = lambda df, name: df.observe(seen[name], F.count("*").alias("n"))
+    run = replace(m, prices=watched(m.prices.join(stocks, "ticker", "left_semi"), "bars"), benchmark=watched(m.benchmark, "benchmark"))
+    result = stable(evaluation(run, cfg, watched(stocks, "universe")))
+    rows = {name: _observed(o) for name, o in seen.items()}
+    if not result.isEmpty() and rows["benchmark"]:
+        return result.withColumn("error", F.lit(None).cast("string"))
+    # a part of the plan that needed no running after an empty input has nothing to report
+    found = lambda name, df: rows[name] > 0 or not df.isEmpty()
+    error = (EMPTY_UNIVERSE if not found("universe", stocks) else NO_BENCHMARK % benchmark if not found("benchmark", m.benchmark)
+             else NO_HISTORY if not found("bars", m.prices.join(stocks, "ticker", "left_semi")) else NO_SNAPSHOT)
+    return result.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in result.schema], F.lit(error).alias("error"))
+
+
 Strategy = Callable[[DataFrame], DataFrame]
 
 
