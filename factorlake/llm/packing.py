@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -185,18 +186,142 @@ class _Completion:
             yield items, times
 
 
-def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
+class _Spent(Exception):
+    """The search has used up its work."""
+
+
+class _Search:
+    """Branch and bound over bins: a packing that wastes at most ``slack`` in all, or the proof that there is none.
+
+    Each level fills the bin of the largest piece left. Its fillings come in order of their waste, up to
+    what is left of the slack: that is the bound that prunes. The sums that the smaller lengths reach are bits of
+    a number, so only fillings of exactly the asked sum are built. A filling is dominated, and skipped, if a piece
+    left over could take the place of one or two of its pieces. States that failed with as much slack are
+    not entered again. A filling is used as often as its lengths last or, unless ``whole``, once.
+    ``work`` bounds the number of levels entered times their lengths.
+    """
+
+    def __init__(self, capacity: int, work: int, whole: bool):
+        self.capacity, self.work, self.whole, self.failed = capacity, work, whole, {}
+
+    def _exact(self, sizes: list[int], left: dict[int, int], sums: list[int], i: int, target: int) -> Iterator[list[int]]:
+        """Fillings of exactly ``target`` from the ``i`` smallest sizes, larger pieces first."""
+        while target and i:
+            i -= 1
+            x = sizes[i]
+            for n in range(min(left[x], target // x), 0, -1):
+                if sums[i] >> target - n * x & 1:
+                    for rest in self._exact(sizes, left, sums, i, target - n * x):
+                        yield [x] * n + rest
+            if not sums[i] >> target & 1:
+                return
+        if not target:
+            yield []
+
+    def _dominated(self, filling: list[int], left: dict[int, int], sizes: list[int], waste: int) -> bool:
+        spare = [x for x in sizes if left[x] > filling.count(x)]
+        distinct = sorted(set(filling))
+        swaps = set(distinct) | {a + b for k, a in enumerate(distinct) for b in distinct[k:] if a != b or filling.count(a) > 1}
+        for y in swaps:  # a single piece must grow; two pieces may give way to one of their own sum
+            k = bisect.bisect_right(spare, y + waste)
+            if k and (spare[k - 1] > y or spare[k - 1] == y and y not in distinct):
+                return True
+        return False
+
+    def run(self, left: dict[int, int], slack: int) -> list[tuple[list[int], int]] | None:
+        if not left:
+            return []
+        state = tuple(sorted(left.items()))
+        if self.failed.get(state, -1) >= slack:
+            return None
+        self.work -= len(left)
+        if self.work < 0:
+            raise _Spent
+        top = max(left)
+        room, rest = self.capacity - top, {x: n - (x == top) for x, n in left.items() if n > (x == top)}
+        sizes = sorted(x for x in rest if x <= room)
+        every, sums = (1 << room + 1) - 1, [1]
+        for x in sizes:
+            reach, n, step = sums[-1], min(rest[x], room // x), 1
+            while n and reach != every:
+                step = min(step, n)
+                reach |= reach << step * x & every
+                n, step = n - step, 2 * step
+            sums.append(reach)
+        for waste in range(min(slack, room) + 1):
+            if not sums[-1] >> room - waste & 1:
+                continue
+            for filling in self._exact(sizes, rest, sums, len(sizes), room - waste):
+                if waste and self._dominated(filling, rest, sizes, waste):
+                    continue
+                items = [top, *filling]
+                most = min(left[x] // items.count(x) for x in set(items))
+                most = min(most, slack // waste) if waste else most
+                for times in (most,) if self.whole else dict.fromkeys((most, 1)):
+                    after = {x: m for x, n in left.items() if (m := n - times * items.count(x))}
+                    found = self.run(after, slack - times * waste)
+                    if found is not None:
+                        return [(items, times), *found]
+        self.failed[state] = slack
+        return None
+
+
+def _repacked(part: list[tuple[list[int], int]], capacity: int, bins: int, work: int, whole: bool) -> list[tuple[list[int], int]] | None:
+    """The pieces of ``part`` in ``bins`` bins, if the search finds such a packing."""
+    left: dict[int, int] = {}
+    for items, times in part:
+        for x in items:
+            left[x] = left.get(x, 0) + times
+    slack = bins * capacity - sum(x * n for x, n in left.items())
+    if slack < 0:
+        return None
+    try:
+        return _Search(capacity, work, whole).run(left, slack)
+    except (_Spent, RecursionError):
+        return None
+
+
+def _improved(patterns: list[tuple[list[int], int]], capacity: int, fewest: int, work: int) -> list[tuple[list[int], int]] | None:
+    """A plan of fewer sequences, if the search finds one: first over all pieces, then over the bins that waste most."""
+    used = sum(n for _, n in patterns)
+    if len(patterns) <= 400:
+        low, high, best = fewest, used - 1, None
+        while low <= high:  # fillings used as often as they last; a goal that was not met is taken as too low
+            goal = (low + high) // 2
+            found = _repacked(patterns, capacity, goal, work, True)
+            low, high, best = (low, goal - 1, found) if found is not None else (goal + 1, high, best)
+        best = best if best is not None else _repacked(patterns, capacity, used - 1, work, False)
+        if best is not None:
+            return best
+    single = [(items, 1) for items, times in sorted(patterns, key=lambda p: sum(p[0])) for _ in range(min(times, 64))][:64]
+    for size in (4, 8, 16, 32, 64):
+        found = _repacked(single[:size], capacity, size - 1, work, False) if len(single) >= size else None
+        if found is not None:
+            kept: dict[tuple, int] = {}
+            for items, times in patterns:
+                kept[tuple(items)] = kept.get(tuple(items), 0) + times
+            for items, _ in single[:size]:
+                kept[tuple(items)] -= 1
+            return [(list(items), times) for items, times in kept.items() if times] + found
+    return None
+
+
+def plan(counts: np.ndarray, capacity: int, work: int = 100_000) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset): the pieces of a length take sequences by their rank.
 
     ``counts[n]`` is the number of pieces of length n. Every pattern uses up a length, so there are not many
-    more patterns than lengths, whatever the number of pieces. Least waste now can use up small pieces that later
-    bins need, so bins that take the largest fitting piece first are tried as well unless the total length
-    admits no fewer sequences; the plan of fewer sequences is taken.
+    more patterns than lengths, whatever the number of pieces. The best-fit plan and one that takes the largest
+    fitting piece first are the incumbents; while the better one needs more sequences than the total length
+    admits, branch and bound looks for a plan of fewer, each search within ``work`` (levels entered times lengths):
+    what it returns is an improvement, and without one the incumbent stays.
     """
     fewest = -(-int(counts @ np.arange(len(counts))) // capacity)
+    used = lambda p: sum(n for _, n in p)
     patterns = list(_Completion(counts, capacity).patterns())
-    if sum(n for _, n in patterns) > fewest:
-        patterns = min(patterns, list(_Completion(counts, capacity, lead=True).patterns()), key=lambda p: sum(n for _, n in p))
+    if used(patterns) > fewest:
+        patterns = min(patterns, list(_Completion(counts, capacity, lead=True).patterns()), key=used)
+    while used(patterns) > fewest and (better := _improved(patterns, capacity, fewest, work)) is not None:
+        patterns = better
     nextrank, rows, sequence = np.zeros(capacity + 1, np.int64), [], 0
     for items, times in patterns:
         offset = 0

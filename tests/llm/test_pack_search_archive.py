@@ -280,3 +280,47 @@ def test_pipeline_removes_near_copies_of_similarity_above_four_fifths(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def sequences_of(pieces, capacity):
+    """Number of sequences of the plan for ``pieces`` {length: count}; every slot is checked."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.items():
+        counts[length] = n
+    slots = P.plan(counts, capacity).tolist()
+    taken = defaultdict(list)
+    for (length, rank, sequence, offset), after in zip(slots, [*slots[1:], None]):
+        for k in range((after[1] if after and after[0] == length else pieces[length]) - rank):
+            taken[sequence + k].append((offset, length))
+    for row in taken.values():
+        ends = np.cumsum([length for _, length in sorted(row)])
+        assert [o for o, _ in sorted(row)] == [0, *ends[:-1]] and ends[-1] <= capacity
+    assert sum(map(len, taken.values())) == sum(pieces.values())
+    return len(taken)
+
+
+def fewest_bins(pieces, capacity):
+    """Optimum over all subsets."""
+    best = [(99, 0)] * (1 << len(pieces))
+    best[0] = (1, 0)
+    for done in range(1 << len(pieces)):
+        bins, full = best[done]
+        for i, p in enumerate(pieces):
+            if not done >> i & 1:
+                step = (bins, full + p) if full + p <= capacity else (bins + 1, p)
+                best[done | 1 << i] = min(best[done | 1 << i], step)
+    return best[-1][0]
+
+
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_branch_and_bound_beats_the_best_fit_plan(copies):
+    assert sequences_of({x: copies for x in (48, 44, 42, 39, 35, 31, 29, 20)}, 100) == 3 * copies
+
+
+def test_small_instances_are_packed_optimally():
+    rng = np.random.default_rng(8)
+    for _ in range(2000):
+        capacity = int(rng.choice([10, 30, 100]))
+        pieces = [int(rng.integers(1, capacity + 1)) if rng.random() < .3 else int(rng.integers(max(1, capacity // 8), capacity // 2 + 1)) for _ in range(int(rng.integers(1, 10)))]
+        lengths, n = np.unique(pieces, return_counts=True)
+        assert sequences_of(dict(zip(lengths.tolist(), n.tolist())), capacity) == fewest_bins(pieces, capacity)
