@@ -271,7 +271,7 @@ def metrics_sql(source: str, group: str) -> str:
 
 
 #: Views that read themselves.
-RECURSIVE = ("ema", "steps", "hold")
+RECURSIVE = ("ema", "steps", "hold", "walk")
 #: Names that are also column names need the view to be read after FROM or JOIN.
 _READ = re.compile(r"(?:FROM|JOIN|,)\s*\(*\s*([A-Za-z_][A-Za-z_0-9]*)", re.IGNORECASE)
 

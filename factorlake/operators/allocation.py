@@ -135,44 +135,58 @@ def target_weights(df: DataFrame, group: list[str], key: str, vol_target: Column
                     F.when(F.col("total") > 1.0, F.try_divide("z.ws", "total")).otherwise(F.col("z.ws")).alias("weight"))
 
 
-def equity_curve(panel: DataFrame, targets: DataFrame, group: list[str], key: str) -> DataFrame:
+def equity_curve(panel: DataFrame, targets: DataFrame, group: list[str], key: str, start: dict[str, float] | None = None) -> DataFrame:
     """Net curve of a strategy: weights decided at a rebalance day trade after the next day's return.
 
     Inside a holding period the value relative to its first close is ``1 - sum w + sum w * P / P0``
     and the drifted weights follow from it, so no day-by-day loop is needed; costs are charged on the
     turnover between drifted and new weights on the first day after the rebalance.
     ``targets``: group, decided DATE, key, weight (one row per instrument, zero weights included).
+    ``start``: weights held from the first session on, without a cost; else all is cash until the first trade.
+    The curve has every session of the panel and begins at one; ``exposure`` is the invested share at the
+    close, unknown on the first session. An instrument has the return zero until its first close.
     """
     order = Window.orderBy("session")  # one row per calendar session
     calendar = panel.select("session").distinct().withColumn("next_session", F.lead("session").over(order))
+    days = calendar.agg(F.array_sort(F.collect_list("session")).alias("days"))
+    groups = targets.select(*group).distinct()
     # the period of a decision starts at the close of the trading day after it
     decided = targets.select(*group, "decided").distinct().join(
         calendar.select(F.col("session").alias("decided"), F.col("next_session").alias("traded")), "decided").filter("traded IS NOT NULL")
-    held = targets.join(decided, [*group, "decided"])
+    trades = targets.join(decided, [*group, "decided"]).select(*group, "traded", key, "weight")
+    held, marks = trades, decided.select(*group, "traded")
+    if start:
+        legs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("v")) for k, v in start.items()])
+        first = groups.withColumn("traded", F.get(days.scalar(), F.lit(0)))
+        held = held.unionByName(first.withColumn("_l", F.explode(legs)).select(*group, "traded", F.col("_l.k").alias(key), F.col("_l.v").alias("weight")))
+        marks = marks.unionByName(first)
     # every session belongs to the last trade strictly before it: a carry-forward per curve, no range join
-    days = calendar.agg(F.array_sort(F.collect_list("session")).alias("days"))
     before = Window.partitionBy(*group).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    grid = (decided.select(*group).distinct().withColumn("session", F.explode(days.scalar()))
-            .join(decided.select(*group, F.col("traded").alias("session"), F.col("traded").alias("mark")), [*group, "session"], "left")
+    grid = (groups.withColumn("session", F.explode(days.scalar()))
+            .join(marks.select(*group, F.col("traded").alias("session"), F.col("traded").alias("mark")), [*group, "session"], "left")
             .withColumn("traded", F.last("mark", ignorenulls=True).over(before))
-            .withColumn("ends", F.col("mark").isNotNull()).filter("traded IS NOT NULL").drop("mark"))
-    p0 = panel.select(F.col(key), F.col("session").alias("traded"), F.col("close").alias("p0"))
-    px = panel.select(key, "session", "close")
-    inside = held.join(p0, [key, "traded"]).join(grid, [*group, "traded"]).join(px, [key, "session"])
-    value = inside.groupBy(*group, "traded", "session", "ends").agg(
-        (F.lit(1.0) - F.sum("weight") + F.sum(F.col("weight") * ratio("close", "p0"))).alias("v"), F.sum("weight").alias("w_sum"))
+            .withColumn("ends", F.col("mark").isNotNull()).drop("mark"))
+    own = panel.groupBy(key).agg(F.min("session").alias("_s0"), F.min_by("close", "session").alias("close"))
+    early = own.withColumn("session", F.explode(days.scalar())).filter(F.col("session") < F.col("_s0")).select(key, "session", "close")
+    px = panel.select(key, "session", "close").unionByName(early)
+    p0 = px.select(key, F.col("session").alias("traded"), F.col("close").alias("p0"))
+    inside = held.join(p0, [key, "traded"]).join(grid.filter("traded IS NOT NULL"), [*group, "traded"]).join(px, [key, "session"])
+    now = F.sum(F.col("weight") * ratio("close", "p0"))
+    value = inside.groupBy(*group, "traded", "session", "ends").agg((F.lit(1.0) - F.sum("weight") + now).alias("v"), now.alias("invested"))
     # drifted weights at the trade that ends the period
     end = inside.filter("ends").join(value.filter("ends").select(*group, "traded", "v"), [*group, "traded"])
     drifted = end.select(*group, F.col("session").alias("traded"), key, ratio(F.col("weight") * ratio("close", "p0"), "v").alias("drifted"))
-    turnover = (held.select(*group, "traded", key, "weight").join(drifted, [*group, "traded", key], "left")
-                .groupBy(*group, "traded").agg(F.sum(F.abs(F.col("weight") - F.coalesce("drifted", F.lit(0.0)))).alias("turnover")))
+    turnover = (trades.join(drifted, [*group, "traded", key], "left")
+                .groupBy(*group, F.col("traded").alias("session"))
+                .agg(F.sum(F.abs(F.col("weight") - F.coalesce("drifted", F.lit(0.0)))).alias("turnover"), F.sum("weight").alias("placed")))
     # the value at the trade itself is one
     w = Window.partitionBy(*group, "traded").orderBy("session")
-    daily = value.select(*group, "session", (ratio("v", F.coalesce(F.lag("v").over(w), F.lit(1.0))) - 1.0).alias("r"), "w_sum")
-    costs = turnover.select(*group, F.col("traded").alias("session"), (F.col("turnover") * (COST_BPS / 10000.0)).alias("cost"), "turnover")
-    net = (daily.join(costs, [*group, "session"], "full_outer")
-           .withColumn("net", F.coalesce("r", F.lit(0.0)) - F.coalesce("cost", F.lit(0.0))))
-    return equity_chain(net, group, "session", "net", "equity")
+    daily = value.select(*group, "session", (ratio("v", F.coalesce(F.lag("v").over(w), F.lit(1.0))) - 1.0).alias("r"), ratio("invested", "v").alias("kept"))
+    first_day = F.col("session") == F.get(days.scalar(), F.lit(0))
+    net = (grid.select(*group, "session").join(daily, [*group, "session"], "left").join(turnover, [*group, "session"], "left")
+           .withColumn("net", F.coalesce("r", F.lit(0.0)) - F.coalesce(F.col("turnover") * (COST_BPS / 10000.0), F.lit(0.0)))
+           .withColumn("exposure", F.when(~first_day, F.coalesce("placed", "kept", F.lit(0.0)))))
+    return equity_chain(net.drop("r", "kept", "placed"), group, "session", "net", "equity")
 
 
 def benchmark_curve(panel: DataFrame, weights: dict[str, float], key: str) -> DataFrame:
@@ -184,7 +198,9 @@ def benchmark_curve(panel: DataFrame, weights: dict[str, float], key: str) -> Da
 
 
 def equal_weight_curve(panel: DataFrame, key: str) -> DataFrame:
-    per_day = with_plain_returns(panel, key).groupBy("session").agg(F.avg("ret").alias("ret"))
+    """Daily rebalanced equal shares of all instruments; one without a close yet returns zero."""
+    names = panel.agg(F.countDistinct(key).alias("names"))
+    per_day = with_plain_returns(panel, key).groupBy("session").agg((F.sum("ret") / names.scalar()).alias("ret"))
     return equity_chain(per_day.withColumn("curve", F.lit("equal")), ["curve"], "session", "ret", "equity")
 
 
@@ -201,11 +217,13 @@ def with_plain_returns(panel: DataFrame, key: str) -> DataFrame:
 
 
 def overlay_targets(panel: DataFrame, key: str, equity: str, bond: str, rotate: bool = True, filter_bond: bool = False) -> DataFrame:
-    """60/40 with a 12-1 trend rule on the equity leg (and on the bond leg when asked)."""
+    """60/40 with a 12-1 trend rule on the equity leg (and on the bond leg when asked), at every month end of the panel."""
+    ends = rebalance_flag(panel.select("session").distinct(), []).filter("rebalance").select(F.col("session").alias("decided"))
     d = rebalance_flag(trend_flag(panel.filter(F.col(key).isin(equity, bond)), [key]), [key])
     off = (F.col("bar") > 274) & ~F.coalesce(F.col("trend") > 0, F.lit(False))
     per = d.filter("rebalance").groupBy(F.col("session").alias("decided")).agg(
         F.max(F.when((F.col(key) == equity), off)).alias("eq_off"), F.max(F.when((F.col(key) == bond), off)).alias("bd_off"))
+    per = ends.join(per, "decided", "left")  # a leg without a close yet is not off
     base_eq, base_bd = SPLIT_WEIGHTS
     bd_out = F.col("bd_off") if filter_bond else F.lit(False)
     w_eq = F.when(F.col("eq_off"), 0.0).otherwise(base_eq)
@@ -220,9 +238,9 @@ def overlay_targets(panel: DataFrame, key: str, equity: str, bond: str, rotate:
 
 
 def turnover_exposure(curve: DataFrame, group: list[str]) -> DataFrame:
-    """Mean turnover per rebalance, number of rebalances, mean gross exposure."""
+    """Mean turnover per rebalance, number of rebalances, mean share invested."""
     return curve.groupBy(*group).agg(F.avg("turnover").alias("avg_turnover"), F.count("turnover").alias("rebalances"),
-                                     F.avg(F.coalesce("w_sum", F.lit(0.0))).alias("avg_exposure"))
+                                     F.avg("exposure").alias("avg_exposure"))
 
 
 def split_labels(curve: DataFrame, splits: list[tuple[str, str, str]]) -> DataFrame:

@@ -20,11 +20,14 @@ def dense_panel(panel: DataFrame, key: str) -> DataFrame:
 
 
 def grid_targets(panel: DataFrame, key: str, lookbacks_m: list[int], vol_targets: list[float], sleeve: bool = False,
-                 cash_allowed: bool = True) -> DataFrame:
-    """Weights at every month end for lookback x volatility target: (lookback, vol_target, decided, key, weight)."""
+                 cash_allowed: bool = True, from_start: bool = False) -> DataFrame:
+    """Weights at every month end for lookback x volatility target: (lookback, vol_target, decided, key, weight).
+
+    ``from_start`` also gives the month ends before an instrument has a full volatility window (weight zero).
+    """
     keys = [key, "sleeve"] if sleeve else [key]
     d = AL.rebalance_flag(AL.with_returns(panel, [key]), [key])
-    d = AL.trend_flags(d, keys, lookbacks_m).filter(F.col("rebalance") & (F.size("window_rets") == AL.VOL_WINDOW))
+    d = AL.trend_flags(d, keys, lookbacks_m).filter(F.col("rebalance") & (F.lit(from_start) | (F.size("window_rets") == AL.VOL_WINDOW)))
     group = ["lookback", "session"]
     weigh = AL.sleeve_budget if sleeve else AL.inverse_vol
     d = weigh(d, group, F.col("trending"))

@@ -19,19 +19,21 @@ def make_panel(spark, names, days, seed):
     return spark.createDataFrame(rows, "instrument string, session date, close double"), dates, closes
 
 
-def loop_curve(dates, closes, targets):
-    """Equity with weights decided at day i-1, traded after day i's return; 10 bp on turnover."""
+def loop_curve(dates, closes, targets, start=None):
+    """(equity, turnover, exposure) with weights decided at day i-1, traded after day i's return; 10 bp on turnover."""
     r = np.vstack([np.zeros(closes.shape[1]), closes[1:] / closes[:-1] - 1])
-    w, eq, out = np.zeros(closes.shape[1]), 1.0, {}
+    w, eq, out = np.zeros(closes.shape[1]) if start is None else np.array(start), 1.0, {dates[0]: (1.0, None, None)}
     for i in range(1, len(dates)):
+        turn = None
         port = float((w * r[i]).sum())
         if 1 + port > 0:
             w = w * (1 + r[i]) / (1 + port)
         if dates[i - 1] in targets:
-            port -= np.abs(targets[dates[i - 1]] - w).sum() * 0.001
+            turn = np.abs(targets[dates[i - 1]] - w).sum()
+            port -= turn * 0.001
             w = targets[dates[i - 1]].copy()
         eq *= 1 + port
-        out[dates[i]] = eq
+        out[dates[i]] = (eq, turn, w.sum())
     return out
 
 
@@ -43,12 +45,31 @@ def test_equity_curve_matches_loop(spark):
     targets = {d: rng.dirichlet(np.ones(3)) * 0.8 for d in ends}
     rows = [("s", d, n, float(w)) for d, ws in targets.items() for n, w in zip(names, ws)]
     t = spark.createDataFrame(rows, "strategy string, decided date, instrument string, weight double")
-    got = {r["session"]: r["equity"] for r in AL.equity_curve(panel, t, ["strategy"], "instrument").collect()}
-    want = loop_curve(dates, closes, targets)
-    assert got
-    for d, v in got.items():
-        assert v == pytest.approx(want[d], rel=1e-10)
-    assert max(got) == dates[-1]
+    for start in (None, {"A": 0.6, "B": 0.4, "C": 0.0}):
+        got = {r["session"]: r for r in AL.equity_curve(panel, t, ["strategy"], "instrument", start).collect()}
+        want = loop_curve(dates, closes, targets, start and list(start.values()))
+        assert sorted(got) == dates
+        for d, (equity, turnover, exposure) in want.items():
+            assert got[d]["equity"] == pytest.approx(equity, rel=1e-10)
+            assert got[d]["turnover"] == (None if turnover is None else pytest.approx(turnover, rel=1e-9))
+            assert got[d]["exposure"] == (None if exposure is None else pytest.approx(exposure, rel=1e-9))
+
+
+def test_late_instruments_return_zero_until_their_first_close(spark):
+    names = ["A", "B"]
+    panel, dates, closes = make_panel(spark, names, 100, 7)
+    late = panel.filter((F.col("instrument") == "A") | (F.col("session") >= dates[40]))
+    filled = closes.copy()
+    filled[:40, 1] = closes[40, 1]
+    ends = [d for i, d in enumerate(dates) if i + 1 == len(dates) or dates[i + 1].month != d.month]
+    t = AL.overlay_targets(late, "instrument", "A", "B")
+    assert sorted({r["decided"] for r in t.collect()}) == ends
+    got = {r["session"]: r["equity"] for r in AL.equity_curve(late, t.withColumn("s", F.lit(1)), ["s"], "instrument", {"A": 0.6, "B": 0.4}).collect()}
+    want = loop_curve(dates, filled, {d: np.array([0.6, 0.4]) for d in ends}, [0.6, 0.4])
+    assert [got[d] for d in dates] == pytest.approx([want[d][0] for d in dates], rel=1e-10)
+    r = np.vstack([np.zeros(2), filled[1:] / filled[:-1] - 1])
+    equal = {x["session"]: x["equity"] for x in AL.equal_weight_curve(late, "instrument").collect()}
+    assert [equal[d] for d in dates] == pytest.approx(list(np.cumprod(1 + r.mean(axis=1))), rel=1e-10)
 
 
 def test_cap_weights_redistributes(spark):
