@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -11,10 +12,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+                   + "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas video audio select".split())
+RAW = frozenset("script style title textarea iframe".split())  # no markup inside
+SILENT = RAW | {"template", "select", "datalist"}  # never text of the page
+CONTENT = frozenset(("body", "main", "article"))
+PARAGRAPH, NOTHING = frozenset({"p"}), frozenset()
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {tag: ends | PARAGRAPH for tag, ends in CLOSES_ITSELF.items()}
 STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -41,20 +47,25 @@ class _Open:
     tags: frozenset[str]
     names: frozenset[str]
     hidden: bool
+    silent: bool
     label: int | None
 
 
-_ROOT = _Open("", frozenset(), frozenset(), False, None)
+_ROOT = _Open("", frozenset(), frozenset(), False, False, None)
 
 
 def blocks(html: str) -> list[Block]:
     """Leaf blocks in page order: inline tags and line breaks do not end a block, every other tag does.
 
     Character references are decoded, white space becomes single spaces, blocks without text are left
-    out. Contents of scripts, styles, titles and other raw elements never count. Unclosed and stray tags are
-    tolerated: an end tag closes up to its start tag if there is one.
+    out. Contents of scripts, styles, titles, templates, selections and other silent elements never count; other
+    embedded elements (svg, math, object, noscript and the like) are elements like any. Unclosed and stray tags are
+    tolerated: an end tag closes up to its start tag if there is one, a silent element without an end tag
+    ends with its parent or where the page's content starts. The work is linear in the page.
     """
     stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
+    endless: set[str] = set()  # raw elements that have no end tag from here on
     found: list[Block] = []
     parts: list[str] = []
     linked = links = at = 0
@@ -72,7 +83,7 @@ def blocks(html: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not (stack and stack[-1].silent):
             text = unescape(text) if "&" in text else text
             parts.append(text)
             if links:
@@ -81,9 +92,23 @@ def blocks(html: str) -> list[Block]:
     def close(k: int) -> None:
         nonlocal links
         flush()
+        for e in stack[k:]:
+            places[e.tag].pop()
         del stack[k:]
         links = 0
 
+    def deepest(tags: Iterable[str]) -> int:
+        return max([places[t][-1] for t in tags if places.get(t)], default=-1)
+
+    def raw_end(tag: str) -> int:
+        """Behind the end tag of a raw element that starts here; -1 if there is none."""
+        if tag in endless:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
+        if m is None:
+            endless.add(tag)
+        return m.end() if m else -1
+
     last = html.rfind(">")
     while at < end:
         m = MARKUP.search(html, at) if at <= last else None
@@ -103,34 +128,31 @@ def blocks(html: str) -> list[Block]:
         elif tag in INLINE:
             if tag == "a":
                 links = max(0, links + (-1 if closing else 1))
-        elif tag in RAW and not closing:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at) if not attributes.endswith("/") else None
-            at = stop.end() if stop else at if attributes.endswith("/") else end
+        elif tag in RAW and not closing and (attributes.endswith("/") or (stop := raw_end(tag)) >= 0):
+            at = at if attributes.endswith("/") else stop
             if tag not in ("script", "style"):
                 flush()
         elif closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if k is None:
-                flush()
-            else:
-                close(k)
+            k = deepest((tag,))
+            flush() if k < 0 else close(k)
         elif tag in VOID:
             flush()
         else:
-            ends, stops = CLOSES_ITSELF.get(tag, set()) | {"p"}, STOPS.get(tag, set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in stops:
+            if tag in CONTENT and stack and stack[-1].silent:
+                close(next(i for i, e in enumerate(stack) if e.silent))
+            ends, stop_at = ENDS.get(tag, PARAGRAPH), deepest(STOPS.get(tag, NOTHING))
+            while (i := deepest(ends)) > stop_at:
+                close(i)
+                if tag not in CLOSES_ITSELF:
                     break
-                if stack[i].tag in ends:
-                    close(i)
-                    if tag not in CLOSES_ITSELF:
-                        break
             flush()
             links = 0
             names = frozenset(w for v in NAMES.findall(attributes) for w in WORDS.findall("".join(v).lower())) if "=" in attributes else frozenset()
             label = re.search(r'data-label="(\d)"', attributes) if "data-label" in attributes else None
             above = stack[-1] if stack else _ROOT
-            stack.append(_Open(tag, above.tags | {tag}, above.names | names, above.hidden or bool(attributes and HIDDEN.search(attributes)), int(label[1]) if label else above.label))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(_Open(tag, above.tags if tag in above.tags else above.tags | {tag}, above.names if names <= above.names else above.names | names,
+                               above.hidden or bool(attributes and HIDDEN.search(attributes)), above.silent or tag in SILENT, int(label[1]) if label else above.label))
     flush()
     return found
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -142,6 +143,29 @@ def test_blocks_tolerate_broken_markup():
     assert C.blocks("<a" * 20_000) is not None
 
 
+@pytest.mark.parametrize("html, texts", [
+    ("<article><p>one</p><svg><path></article><p>two</p><p>three</p>", ["one", "two", "three"]),
+    ("<article><p>one</p><select><option>a<option>b</article><p>two</p>", ["one", "two"]),
+    ("<head><title>lost<body><p>one</p>", ["one"]),
+    ("<div><script>var a = 1;</div><p>two</p>", ["two"]),
+    ("<p>a<math><mi>x</mi></math>b</p>", ["axb"]),
+    ("<object><object>in</object></object><p>out</p>", ["in", "out"]),
+    ("<template><template><p>n</p></template><p>x</p></template><p>y</p>", ["y"]),
+    ("<ul><li>a<p>b<li>c<ul><li>d</ul><li>e</ul>", ["a", "b", "c", "d", "e"])])
+def test_embedded_and_unclosed_elements_lose_no_text(html, texts):
+    assert [b.text for b in C.blocks(html)] == texts
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<script>", "<li><p>", "<svg>"])
+def test_deep_markup_is_read_in_linear_time(tag):
+    def seconds(n):
+        start = time.process_time()
+        C.blocks(tag * n + "x")
+        return time.process_time() - start
+    seconds(1000)
+    assert seconds(40_000) < 12 * max(seconds(8_000), 0.02)
+
+
 def test_viterbi_of_blocks_is_exact(page_model):
     rng = random.Random(3)
     for _ in range(30):
